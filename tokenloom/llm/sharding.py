@@ -74,13 +74,13 @@ def rebalance(spark: SparkSession, path: str, sums: DataFrame, shards: int, slac
     """Edits the latest map for new sums and stores it as the next version.
 
     Slots stay where they are while their shard holds at most (1 + slack) times the mean; the
-    smallest slots of a fuller shard, and those of shards that no longer exist, are dealt anew to the
+    largest slots of a fuller shard, and those of shards that no longer exist, are dealt anew to the
     emptiest shards. The work is on the map's rows only, whose number is fixed.
     """
     old = latest_map(spark, path)
     version = old.agg(F.max("map_version").alias("v")).head()["v"] or 0
     sized_map = old.select("virtual_slot", F.col("shard").alias("was")).join(F.broadcast(sums), "virtual_slot", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)).cast("bigint"))
-    w = Window.partitionBy("was").orderBy(F.col("bytes").desc(), "virtual_slot")
+    w = Window.partitionBy("was").orderBy("bytes", "virtual_slot")
     mean = sums.agg((F.sum("bytes") / shards).alias("mean"))
     held = sized_map.crossJoin(F.broadcast(mean)).withColumn("upto", F.sum("bytes").over(w))
     stays = F.col("was").isNotNull() & (F.col("was") < shards) & (F.col("upto") <= F.col("mean") * (1 + slack))
