@@ -48,6 +48,12 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of at most a thousand or 8 MB: texts are long, and each batch is held several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def fan_out(spark: SparkSession) -> int:
     """As many ranges as a shuffle has partitions: this follows the size of the cluster and of the job."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

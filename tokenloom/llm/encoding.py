@@ -9,6 +9,7 @@ cache only: what it holds never changes a result.
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -19,7 +20,8 @@ _PLAIN = f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[{SPACE}.,;:!?#$%&*|()\"]|$)"
 CHUNK = re.compile(f"{_PLAIN}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
-HELD = 300_000  # chunks in a generation of the cache
+HELD = 250_000  # chunks in a generation of the cache
+LONG = 1 << 20  # characters of a text that is worked on in stretches
 
 
 class ChunkEncoder:
@@ -41,20 +43,50 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each text; a text of None has none."""
-        out = []
-        for start in range(0, len(texts), 256):
-            cut = [CHUNK.findall(t) if t else [] for t in texts[start : start + 256]]
-            self._learn(set().union(*cut))
-            out += [b"".join(map(self._new.__getitem__, c)) for c in cut]
+        out: list[bytes] = []
+        for start in range(0, len(texts), 128):
+            flat: list[str] = []
+            ends: list[int] = []
+            for t in texts[start : start + 128]:
+                if t and len(t) > LONG:
+                    self._flush(flat, ends, out)
+                    out.append(self._long(t))
+                else:
+                    flat += CHUNK.findall(t or "")
+                    ends.append(len(flat))
+            self._flush(flat, ends, out)
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        missing = chunks.difference(self._new)
+    def _flush(self, flat: list[str], ends: list[int], out: list[bytes]) -> None:
+        ids, at = self._look_up(flat), 0
+        for end in ends:
+            out.append(b"".join(ids[at:end]))
+            at = end
+        flat.clear()
+        ends.clear()
+
+    def _long(self, text: str) -> bytes:
+        """A long text a stretch at a time."""
+        chunks, parts = (m.group() for m in CHUNK.finditer(text)), []
+        while some := list(islice(chunks, 1 << 17)):
+            parts.append(b"".join(self._look_up(some)))
+        return b"".join(parts)
+
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        ids = list(map(self._new.get, chunks))
+        if missing := [i for i, x in enumerate(ids) if x is None]:
+            self._learn({chunks[i] for i in missing})
+            for i in missing:
+                ids[i] = self._new[chunks[i]]
+        return ids
+
+    def _learn(self, missing: set[str]) -> None:
+        old = self._old
+        known = {c: old[c] for c in missing if c in old}
         if len(self._new) + len(missing) > self._held:
-            self._old, self._new, missing = self._new, {}, chunks
-        again = missing.intersection(self._old)
-        self._new.update((c, self._old[c]) for c in again)
-        unseen = list(missing.difference(again))
+            self._old, self._new = self._new, {}
+        self._new.update(known)
+        unseen = [c for c in missing if c not in known]
         for start in range(0, len(unseen), 8192):
             some = unseen[start : start + 8192]
             self._take(*self._run([c for c in some if WORD.fullmatch(c)]))
@@ -67,7 +99,7 @@ class ChunkEncoder:
         """ids of plain words, many in one string: the bytes that the ids stand for show where each word ends."""
         spaced = [w for w in words if w[0] == " "]
         bare = [w for w in words if w[0] != " "]  # a line feed before each keeps them apart
-        parts = ["".join(x[i : i + 512]) for x in (spaced, ["\n" + w for w in bare]) for i in range(0, len(x), 512)]
+        parts = ["".join(x[i : i + 64]) for x in (spaced, ["\n" + w for w in bare]) for i in range(0, len(x), 64)]
         got = [e.ids for e in self._tok.encode_batch_fast(parts, add_special_tokens=False)]
         ids = np.fromiter((i for x in got for i in x), dtype="<u2", count=sum(map(len, got)))
         ids = ids[ids != self._feed]

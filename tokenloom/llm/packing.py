@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import session, small_batches, written
 from .encoding import encoder
 
 LENGTH, END_ID, MAX_QUEUES = 4096, 2, 4096
@@ -178,6 +178,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
 
     targets: source to weight (None key: rows without a source); None for the corpus's own shares.
     """
+    small_batches(session(docs))
     queue = _queue(docs, max_queues)
     rows = docs.select("doc_id", "text", queue.alias("queue"))
     ids = written(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id bigint, queue string, task int, at bigint, ids binary"), "packing-ids")

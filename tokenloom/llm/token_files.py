@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, fan_out, forget, range_bounds, range_of, scratch_path, session, written
+from .common import OWN, fan_out, forget, range_bounds, range_of, scratch_path, session, small_batches, written
 from .encoding import encoder
 
 END_ID = 0
@@ -47,15 +47,16 @@ def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     codes[: len(v)] = size - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    used = np.arange(4, dtype=np.uint8) < size[:, None]
-    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    wide = int(size.max(initial=1))
+    used = np.arange(wide, dtype=np.uint8) < size[:, None]
+    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[:, :wide][used].tobytes()
 
 
 def decode_values(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The inverse of encode_values; the table gives the lengths of four values at a time."""
     size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:count]
-    out = np.zeros((count, 4), dtype=np.uint8)
-    out[np.arange(4, dtype=np.uint8) < size[:, None]] = np.frombuffer(data, dtype=np.uint8)
+    out, wide = np.zeros((count, 4), dtype=np.uint8), int(size.max(initial=1))
+    out[:, :wide][np.arange(wide, dtype=np.uint8) < size[:, None]] = np.frombuffer(data, dtype=np.uint8)
     return out.reshape(-1).view("<u4") if count else np.zeros(0, "<u4")
 
 
@@ -138,7 +139,8 @@ def _rows(by_rank: np.ndarray):
         for b in batches:
             for r in b.to_pylist():
                 n = np.array(r["n_tokens"], dtype=np.int64)
-                raw = by_rank[decode_values(r["control"], r["data"], int(n.sum()))].astype("<u4").tobytes()
+                raw = by_rank[decode_values(r["control"], r["data"], int(n.sum()))].astype("<u4")
+                raw = memoryview(raw).cast("B") if len(raw) else b""
                 ends = np.cumsum(n)
                 crc = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), r["n_tokens"])]
                 yield pa.record_batch([pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + ends - n), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -149,6 +151,7 @@ def _rows(by_rank: np.ndarray):
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Writes path/ranks and path/blocks. tokenizer: a file of the tokenizers library; block_ids: ids after which a block ends with its document."""
     spark = session(docs)
+    small_batches(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     tasks = fan_out(spark)
     bounds = range_bounds(docs, "doc_id", 4 * tasks)
