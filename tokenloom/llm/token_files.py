@@ -42,22 +42,31 @@ LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.ui
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
     v = np.ascontiguousarray(values, dtype="<u4")
-    size = 1 + (v >= 1 << 8).astype(np.uint8) + (v >= 1 << 16) + (v >= 1 << 24)
+    top = int(v.max(initial=0))
+    wide = 1 + (top >= 1 << 8) + (top >= 1 << 16) + (top >= 1 << 24)
+    used = np.empty((len(v), wide), dtype=bool)
+    used[:, 0] = True
     codes = np.zeros(-(-len(v) // 4) * 4, dtype=np.uint8)
-    codes[: len(v)] = size - 1
-    codes = codes.reshape(-1, 4)
-    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    wide = int(size.max(initial=1))
-    used = np.arange(wide, dtype=np.uint8) < size[:, None]
-    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[:, :wide][used].tobytes()
+    for k in range(1, wide):
+        np.greater_equal(v, 1 << 8 * k, out=used[:, k])
+        codes[: len(v)] += used[:, k]
+    four = codes.view("<u4")
+    control = (four | four >> 6 | four >> 12 | four >> 18).astype(np.uint8)
+    return control.tobytes(), v.astype("<u2").view(np.uint8).reshape(-1, 2)[:, :wide][used].tobytes() if wide < 3 else v.view(np.uint8).reshape(-1, 4)[:, :wide][used].tobytes()
 
 
 def decode_values(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The inverse of encode_values; the table gives the lengths of four values at a time."""
     size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:count]
-    out, wide = np.zeros((count, 4), dtype=np.uint8), int(size.max(initial=1))
-    out[:, :wide][np.arange(wide, dtype=np.uint8) < size[:, None]] = np.frombuffer(data, dtype=np.uint8)
-    return out.reshape(-1).view("<u4") if count else np.zeros(0, "<u4")
+    wide = int(size.max(initial=1))
+    cells = 2 if wide < 3 else 4
+    out = np.zeros((count, cells), dtype=np.uint8)
+    used = np.empty((count, wide), dtype=bool)
+    used[:, 0] = True
+    for k in range(1, wide):
+        np.greater(size, k, out=used[:, k])
+    out[:, :wide][used] = np.frombuffer(data, dtype=np.uint8)
+    return out.reshape(-1).view(f"<u{cells}")
 
 
 def _ids(tokenizer: str, end_id: int):
