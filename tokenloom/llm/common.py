@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -48,6 +49,12 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files of finished steps now, not when the driver next collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Rows go to Python in batches of at most a thousand or 8 MB: texts are long, and each batch is held several times over."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

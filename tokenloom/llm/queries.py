@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, packing, quality, sharding, token_files
+from . import fingerprints, language, near_dup, packing, quality, sharding, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def tokenizer(name: str) -> str:
     """Path of a public vocabulary file; the package that names it stands beside the library, not in it."""
     import public_tokenizers
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language": op2_language,
     "op3_quality": op3_quality,
+    "op4_near_dup": op4_near_dup,
     "op6_token_files": op6_token_files,
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,

@@ -20,7 +20,6 @@ file table. Further columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, fan_out, forget, range_bounds, range_of, scratch_path, session, small_batches, written
+from .common import OWN, fan_out, forget, range_bounds, range_of, release, scratch_path, session, small_batches, written
 from .encoding import encoder
 
 END_ID = 0
@@ -169,8 +168,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     dealt = dealt.repartition(tasks, "part").sortWithinPartitions("part", "doc_id", tie).select("part", "doc_id", "text")
     ids = written(dealt.mapInArrow(_ids(tokenizer, end_id), "part int, seq bigint, before bigint, doc_id bigint, ids binary"), "token-ids")
     del dealt
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffled texts before the files are written
+    release(spark)  # the shuffled texts go before the files are written
     counts = ids.select("ids").mapInArrow(_count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     ranks = counts.select((F.row_number().over(Window.orderBy(F.col("n").desc(), "id")) - 1).alias("rank"), "id", "n")  # at most 65,536 rows
     ranks.coalesce(1).write.parquet(f"{path}/ranks")
