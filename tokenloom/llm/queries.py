@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, near_dup, packing, quality, sharding, token_files
+from . import fingerprints, language, mixing, near_dup, packing, quality, sharding, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def tokenizer(name: str) -> str:
     """Path of a public vocabulary file; the package that names it stands beside the library, not in it."""
     import public_tokenizers
@@ -53,9 +57,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_quality": op3_quality,
     "op4_near_dup": op4_near_dup,
+    "op5_mixing": op5_mixing,
     "op6_token_files": op6_token_files,
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_mixing": mixing.oracle(),
+}
