@@ -16,8 +16,9 @@ at least 75 times the union.
    each class keeps the ``PIVOTS`` nearest. These are confirmed on full sets, and their components found.
 4. Second pass, complete: buckets that still span several components are compared in full by
    signature, between components only and in blocks of at most ``BLOCK`` classes, so a large group that
-   is one component already costs nothing. A pair is emitted by the first key it shares, within both
-   thresholds, and confirmed on full sets. Components of all confirmed links are the result.
+   is one component already costs nothing. A pair within both thresholds is looked at under the first
+   key it shares; rows with such a pair get their full sets, block by block, and only confirmed links leave
+   the block, one for each row and other component. Components of all links are the result.
 
 Nothing of document order reaches the driver, no bucket is held whole in a task, and all
 intermediate tables are written to the shared folder.
@@ -44,7 +45,7 @@ from .words import WordHashes, windows
 WIDTH, PERCENT = 5, 75
 INDEXED, SYMBOLS, CHUNK = 64, 128, 4
 RADIUS, RADIUS_ALL = 31, 51
-PIVOTS, BLOCK = 2, 1024
+PIVOTS, BLOCK = 2, 512
 
 _rng = np.random.default_rng(20240607)  # a fixed seed: signatures of all runs and workers agree
 _FACTORS = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,8 +136,8 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([b.column("a").filter(mask), b.column("b").filter(mask), far], names=["a", "b", "far"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs between components of each block; rows come in order of block."""
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each block; they come in order of block."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         at = 0
@@ -144,34 +145,76 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(1, len(block) + 1):
             if i == len(block) or block[i] != block[at]:
                 if held and held[-1].column("block")[0].as_py() != block[at]:
-                    yield from _compare(held)
+                    yield held
                     held = []
                 held.append(b.slice(at, i - at))
                 at = i
     if held:
-        yield from _compare(held)
-
-
-def _compare(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    get = lambda c: np.concatenate([p.column(c).to_numpy() for p in parts])
-    node, comp, n, side, key = (get(c) for c in ("node", "comp", "n", "side", "key"))
-    sig = np.concatenate([_symbols(p.column("sig")) for p in parts])
-    for i in range(len(node)):
-        other = comp != comp[i]
-        # one block against itself (side 0): each pair once; two blocks (1, 2): across only
-        other &= (side == 2) if side[i] == 1 else (side == 0) & (np.arange(len(node)) > i) if side[i] == 0 else False
-        j = np.flatnonzero(other & _long_enough(n, n[i]))
-        if len(j):
-            j = j[close(sig[j], sig[i])]
-        if len(j):
-            same = (sig[j, :INDEXED] == sig[i, :INDEXED]).reshape(len(j), -1, CHUNK)
-            agree = same.sum(-1)
-            fits = agree == CHUNK
-            keys = (agree[:, :, None] - same == CHUNK - 1) & (same | ~fits[:, :, None])  # all places but the dropped one agree
-            first = keys.reshape(len(j), -1).argmax(1)
-            j = j[first == key[i] >> 48]
-            a, b = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
-            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+        yield held
+
+
+class _Block:
+    """Rows of one block and their near pairs between components, each at the first key that it shares."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        get = lambda c: np.concatenate([p.column(c).to_numpy() for p in parts])
+        self.node, self.comp, self.n, self.side, self.key = (get(c) for c in ("node", "comp", "n", "side", "key"))
+        self.sig = np.concatenate([_symbols(p.column("sig")) for p in parts])
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        row = np.arange(len(self.node))
+        for i in row:
+            if self.side[i] == 2:
+                continue
+            # one block against itself (side 0): each pair once; two blocks (1, 2): across only
+            other = (self.side == 2) if self.side[i] == 1 else (self.side == 0) & (row > i)
+            j = np.flatnonzero(other & (self.comp != self.comp[i]) & _long_enough(self.n, self.n[i]))
+            j = j[close(self.sig[j], self.sig[i])]
+            if not len(j):
+                continue
+            same = (self.sig[j, :INDEXED] == self.sig[i, :INDEXED]).reshape(len(j), -1, CHUNK)
+            agree = same.sum(-1)[:, :, None]
+            shared = agree - same == CHUNK - 1  # all places but the dropped one agree
+            j = j[shared.reshape(len(j), -1).argmax(1) == self.key[i] >> 48]
+            if len(j):
+                yield i, j
+
+
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block, the rows that have a near pair."""
+    for parts in _by_block(batches):
+        block = _Block(parts)
+        hit = np.zeros(len(block.node), dtype=bool)
+        for i, j in block.pairs():
+            hit[i] = hit[j] = True
+        if hit.any():
+            mask, table = pa.array(hit), pa.Table.from_batches(parts)
+            yield from table.filter(mask).combine_chunks().to_batches()
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block, a confirmed link from each row to each other component that it links to, nearest first."""
+    for parts in _by_block(batches):
+        block = _Block(parts)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for p in parts for x in p.column("set")]
+        a, b = [], []
+        for i, j in block.pairs():
+            j = j[np.argsort((block.sig[j] != block.sig[i]).sum(1), kind="stable")]
+            done: set[int] = set()
+            for some in (j[:8], j[8:]):
+                some = np.array([x for x in some.tolist() if block.comp[x] not in done], dtype=np.int64)
+                if not len(some):
+                    continue
+                every = np.concatenate([sets[x] for x in some])
+                at = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+                starts = np.concatenate([[0], np.cumsum([len(sets[x]) for x in some[:-1]])]).astype(np.int64)
+                shared = np.add.reduceat((sets[i][at] == every).astype(np.int64), starts)
+                for x in some[100 * shared >= PERCENT * (block.n[some] + block.n[i] - shared)].tolist():
+                    if block.comp[x] not in done:
+                        done.add(block.comp[x])
+                        a.append(max(block.node[i], block.node[x]))
+                        b.append(min(block.node[i], block.node[x]))
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,12 +241,17 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar enough."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def sets_of(nodes: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """node, set of the given nodes, from the texts of their classes' first documents."""
     texts = docs.join(nodes.join(reps.select("node", "doc_id"), "node"), "doc_id").select("node", "text")
     sets = written(texts.mapInArrow(_sets, "node bigint, set binary").dropDuplicates(["node"]), "near-sets")
     release(session(docs))
+    return sets
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are similar enough."""
+    sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), docs, reps)
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("a_set"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("b_set"))
     links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(_confirm, "a bigint, b bigint"), "near-links")
@@ -235,11 +283,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = written(best, "near-best")
     links = confirmed(best, docs, reps)
     roots = written(components(links), "near-roots")
-    more = _completed(entries, roots, reps)
-    more = written(more.join(best, ["a", "b"], "left_anti"), "near-more")
+    more = _completed(entries, roots, reps, docs)
     if more.head(1):
-        links = links.unionByName(confirmed(more, docs, reps))
-        roots = written(components(links), "near-roots")
+        roots = written(components(links.unionByName(more)), "near-roots")
     member = reps.select("node", "doc_id").join(roots, "node")
     names = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = member.join(names, "root").select("node", "component_id")
@@ -249,23 +295,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _completed(entries: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
-    """Near pairs between different components that share a key."""
+def _completed(entries: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between different components, of classes that share a key."""
     own = entries.select("key", "size", "node").join(roots, "node", "left").select("key", "size", "node", F.coalesce("root", "node").alias("comp"))
     own = written(own, "near-open")
     mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
     rows = own.join(mixed, "key").join(reps.select("node", "n", "sig"), "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    # block i meets every block: (i, i) once, and (lower, higher) with each other one
-    rows = rows.withColumn("blocks", blocks).withColumn("mine", mine)
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    lo, hi = F.least("mine", "with"), F.greatest("mine", "with")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    # a block meets itself (side 0) and every other one (sides 1 and 2)
     rows = rows.select(
-        F.xxhash64("key", lo, hi).alias("block"), "key", "node", "comp", "n", "sig",
+        F.xxhash64("key", F.least("mine", "with"), F.greatest("mine", "with")).alias("block"), "key", "node", "comp", "n", "sig",
         F.when(F.col("mine") == F.col("with"), 0).when(F.col("mine") < F.col("with"), 1).otherwise(2).cast("int").alias("side"),
     )
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_across, "a bigint, b bigint")
+    shape = "block bigint, key bigint, node bigint, comp bigint, n bigint, sig binary, side int"
+    needed = written(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_needed, shape), "near-needed")
+    release(session(docs))
+    sets = sets_of(needed.select("node").distinct(), docs, reps)
+    full = needed.join(sets, "node").repartition("block").sortWithinPartitions("block").select("block", "key", "node", "comp", "n", "sig", "side", "set")
+    links = written(full.mapInArrow(_linked, "a bigint, b bigint"), "near-links")
+    forget(session(docs), sets)
+    release(session(docs))
+    return links
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
