@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import text_queries
+
+QUERIES: dict = {**text_queries.QUERIES}
+ORACLES: dict = {**text_queries.ORACLES}
 FLAGSHIP = "bpe_train_k"
