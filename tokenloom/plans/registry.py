@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import tensor_queries, text_queries
 
-QUERIES: dict = {**text_queries.QUERIES}
-ORACLES: dict = {**text_queries.ORACLES}
+QUERIES: dict = {**text_queries.QUERIES, **tensor_queries.QUERIES}
+ORACLES: dict = {**text_queries.ORACLES, **tensor_queries.ORACLES}
 FLAGSHIP = "bpe_train_k"
