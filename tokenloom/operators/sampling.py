@@ -70,7 +70,7 @@ def generate_lm(w: dict, heads: int, prompt: list[int], new: int, context: int,
             chosen = np.zeros_like(probs)
             chosen[order[keep]] = probs[order[keep]]
             probs = chosen / chosen.sum()
-        token = int(min(np.searchsorted(np.cumsum(probs), uniforms(step)), len(probs) - 1))
+        token = int(min(np.searchsorted(np.cumsum(probs), uniforms(step), side="right"), len(probs) - 1))
         if token == end:
             if keep_end:
                 ids.append(token)

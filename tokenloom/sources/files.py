@@ -44,7 +44,6 @@ def chunk_boundaries(path: str, chunks: int, delimiter: bytes, window: int = 409
                 if hit >= 0:
                     found.add(base + hit)
                     break
-                keep = max(0, len(delimiter) - 1)
-                base += len(held) - keep if keep else len(held)
-                held = held[-keep:] if keep else b""
+                done = max(0, len(held) - len(delimiter) + 1)
+                base, held = base + done, held[done:]
         return sorted(found)
