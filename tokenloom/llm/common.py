@@ -49,6 +49,19 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean() -> None:
+    """Called where a Python task begins: workers live on from step to step, so memory of earlier steps goes back first."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files of finished steps now, not when the driver next collects its garbage."""
     gc.collect()

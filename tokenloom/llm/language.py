@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import session, small_batches, written
+from .common import lean, session, small_batches, written
 
 SAMPLE_DOCS, MAX_WORDS, ORDERS, SHARPNESS = 2000, 50_000, (5, 4, 3, 2, 1), 4.0
 UNKNOWN = "und"
@@ -133,6 +133,7 @@ class Scorer:
 
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         scorer = Scorer(model.value)
         for b in batches:
             rest = [c for c in b.schema.names if c != "text"]
@@ -162,6 +163,7 @@ def in_known_language(docs: DataFrame, least: float, sample_docs: int = SAMPLE_D
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         scorer = Scorer(shared.value)
         for b in batches:
             for at in range(0, b.num_rows, 1024):

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, forget, release, session, small_batches, written
+from .common import OWN, forget, lean, release, session, small_batches, written
 from .graph import components
 from .words import WordHashes, windows
 
@@ -79,6 +79,7 @@ def node_of(key: bytes) -> int:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lean()
     hashes = WordHashes()
     for b in batches:
         out: list[list] = [[], [], [], []]
@@ -218,6 +219,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lean()
     hashes = WordHashes()
     for b in batches:
         node, sets = [], []

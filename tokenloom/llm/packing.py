@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import session, small_batches, written
+from .common import lean, session, small_batches, written
 from .encoding import encoder
 
 LENGTH, END_ID, MAX_QUEUES = 4096, 2, 4096
@@ -124,6 +124,7 @@ def _encode(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        lean()
         enc, task, at = encoder(tokenizer), TaskContext.get().partitionId(), {}
         for b in batches:
             for i in range(0, b.num_rows, 512):
@@ -144,35 +145,38 @@ def _cut(shares: Shares, place: dict, length: int):
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 some = b.slice(i, 512)
                 rows = list(zip(*(some.column(c).to_pylist() for c in ("doc_id", "queue", "base", "at", "ids"))))
                 spans: dict = {}
                 for r, (_, q, base, at, ids) in enumerate(rows):
-                    begin = base + at
-                    spans.setdefault((q, base), []).append((begin, begin + len(ids) // 2, r))
-                out: list[list] = [[] for _ in columns]
-                for (q, _), group in spans.items():
-                    t, own, before = shares.pieces(place[q], min(g[0] for g in group), max(g[1] for g in group), length)
-                    cuts = own.tolist()
-                    firsts = np.searchsorted(own, [g[0] for g in group], side="right") - 1
-                    for (begin, end, r), w in zip(group, firsts.tolist()):
-                        doc, ids, s = rows[r][0], rows[r][4], begin
-                        while s < end:
-                            while cuts[w + 1] <= s:
-                                w += 1
-                            e = min(end, cuts[w + 1])
-                            wide = np.frombuffer(ids, dtype="<u2", count=e - s, offset=2 * (s - begin)).astype("<u4")
-                            ahead = int(before[w + 1] - before[w])  # what the queues before this one give the window
-                            for col, v in zip(out, (doc, s - begin, e - s, zlib.crc32(wide.tobytes()), end - begin, int(t[w]), ahead + s - cuts[w])):
-                                col.append(v)
-                            s = e
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=columns)
+                    spans.setdefault((q, base), []).append((base + at, base + at + len(ids) // 2, r))
+                wide = [memoryview(np.frombuffer(r[4], dtype="<u2").astype("<u4")).cast("B") for r in rows]
+                parts = [_group(shares, place[q], sorted(group), length) for (q, _), group in spans.items()]
+                row, start, size, doc_size, window, offset = (np.concatenate(x) for x in zip(*parts))
+                crc = [zlib.crc32(wide[r][4 * s : 4 * (s + n)]) for r, s, n in zip(row.tolist(), start.tolist(), size.tolist())]
+                doc = pa.array([rows[r][0] for r in row.tolist()], pa.int64())
+                yield pa.record_batch([doc, *(pa.array(x, pa.int64()) for x in (start, size, crc, doc_size, window, offset))], names=columns)
 
     return run
 
 
+def _group(shares: Shares, q: int, group: list[tuple[int, int, int]], length: int) -> tuple[np.ndarray, ...]:
+    """Row, start, length, document's length, window and offset of each piece of documents (begin, end, row) of queue q."""
+    begin, end, row = (np.array(x, dtype=np.int64) for x in zip(*group))
+    t, own, before = shares.pieces(q, int(begin[0]), int(end.max()), length)
+    cuts = np.unique(np.concatenate([begin, end, own[(own > begin[0]) & (own < end.max())]]))
+    s, e = cuts[:-1], cuts[1:]
+    r = np.searchsorted(begin, s, side="right") - 1
+    inside = s < end[r]  # documents of other tasks may lie between
+    s, e, r = s[inside], e[inside], r[inside]
+    w = np.searchsorted(own, s, side="right") - 1
+    ahead = before[w + 1] - before[w]  # what the queues before this one give the window
+    return row[r], s - begin[r], e - s, (end - begin)[r], t[w], ahead + s - own[w]
+
+
 def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, targets: dict | None = None, max_queues: int = MAX_QUEUES) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 

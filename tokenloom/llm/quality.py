@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session, small_batches
+from .common import lean, session, small_batches
 from .words import WordHashes, windows
 
 SAMPLE_DOCS, SHARE = 1000, 0.5
@@ -239,6 +239,7 @@ def judged(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFram
     field = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         hashes = WordHashes()
         for b in batches:
             for at, some in _batched(b.column("text")):
@@ -254,6 +255,7 @@ def good(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:
     field = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         hashes = WordHashes()
         for b in batches:
             for at, some in _batched(b.column("text")):

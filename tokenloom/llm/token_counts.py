@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import session, small_batches
+from .common import lean, session, small_batches
 
 MARK = "▁"
 _CHAR = 21  # bits of a code point
@@ -94,6 +94,7 @@ def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
     shared = session(docs).sparkContext.broadcast(PieceCounter(vocabulary(model_file)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         counter, known = shared.value, {}
         for b in batches:
             out: list[list[int]] = [[], [], []]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, fan_out, forget, range_bounds, range_of, release, scratch_path, session, small_batches, written
+from .common import OWN, fan_out, forget, lean, range_bounds, range_of, release, scratch_path, session, small_batches, written
 from .encoding import encoder
 
 END_ID = 0
@@ -73,6 +73,7 @@ def _ids(tokenizer: str, end_id: int):
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         enc = encoder(tokenizer)
         part, seq, before = None, 0, 0
         for b in batches:
@@ -115,6 +116,7 @@ def _blocks(rank: np.ndarray, bases: dict[int, int], block_ids: int):
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         docs: list = []
         ids: list[bytes] = []
         first, last, size = (0, 0, 0), None, 0
