@@ -8,6 +8,7 @@ cache only: what it holds never changes a result.
 
 from __future__ import annotations
 
+import os
 import re
 from itertools import islice
 
@@ -28,6 +29,7 @@ class ChunkEncoder:
     """Texts to little-endian unsigned 16-bit ids (the vocabularies hold fewer than 65,536)."""
 
     def __init__(self, path: str, held: int = HELD):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism; idle threads would spin
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)

@@ -7,9 +7,9 @@ so every window but the last is full.
 
 The state of the round-robin after n tokens has a closed form, so no task waits for another: the
 sources are the leaves of a binary tree, and a node with t tokens below it, l of them on the left,
-passes floor(n * l / t) of its first n to the left and the rest to the right. Both counts never
-fall, add up to n, and end at the exact totals; each source is within two tokens of its target
-share in every prefix, which is the bounded deficit of the round-robin. A task that holds tokens
+passes n * l / t, rounded, of its first n to the left and the rest to the right. Both counts never
+fall, add up to n, and end at the exact totals; in every prefix each source is within half a token a
+level of the tree of its target share, which is the bounded deficit of the round-robin. A task that holds tokens
 [a, b) of a queue finds their windows and offsets from this alone, so deficits cross windows
 and partitions alike.
 
@@ -47,10 +47,10 @@ BROADCAST_ROWS = 500_000
 
 
 def _scale(n: np.ndarray, left: int, all_: int) -> np.ndarray:
-    """floor(n * left / all_), exact at any size."""
-    if all_ < 1 << 31:
-        return n * left // all_
-    return np.array([x * left // all_ for x in n.tolist()], dtype=np.int64)
+    """n * left / all_ rounded to the nearest whole number (halves up), exact at any size."""
+    if all_ < 1 << 30:
+        return (2 * n * left + all_) // (2 * all_)
+    return np.array([(2 * x * left + all_) // (2 * all_) for x in n.tolist()], dtype=np.int64)
 
 
 class Shares:
