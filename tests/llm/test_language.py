@@ -41,6 +41,8 @@ def test_edges(edges, empty, clashing, docs):
     assert all(got[d]["lang_pred"] == "und" and got[d]["score"] == 0 for d in (3, 4, 5, 10))
     assert language.identified(edges).count() == edges.count()
     assert language.identified(empty).count() == 0
+    numbers = edges.withColumn("text", F.when(F.col("doc_id") == 10, F.lit("½ ² 12 _ !!")).otherwise(F.col("text")))
+    assert {r["lang_pred"] for r in language.identified(numbers).collect() if r["doc_id"] == 10} == {"und"}
     unlabelled = edges.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in language.identified(unlabelled).collect()} == {"und"}
     assert language.identified(clashing).columns == ["doc_id", "held_out", "lang_pred", "score"]

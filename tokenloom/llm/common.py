@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import json
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -87,6 +88,11 @@ def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     return sorted(set(row["b"] or []))
 
 
+def longs(values: list[int | None]) -> Column:
+    """An array<bigint> that stays one literal in the plan, however long."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
 def range_of(key: Column, bounds: list[int]) -> Column:
     """How many bounds are at or below key (null: -1), by binary search inside the JVM."""
     if not bounds:
@@ -95,8 +101,7 @@ def range_of(key: Column, bounds: list[int]) -> Column:
     while w <= len(bounds):
         steps.insert(0, w)
         w *= 2
-    table = F.lit(bounds) if len(bounds) < 2 else F.array(*[F.lit(b).cast("bigint") for b in bounds])
-    table = F.array(F.lit(bounds[0]).cast("bigint")) if len(bounds) < 2 else table
+    table = longs(bounds)
     found = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),

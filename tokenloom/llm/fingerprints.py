@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, fan_out, range_bounds, range_of, session
+from .common import OWN, fan_out, longs, range_bounds, range_of, session
 
 K, ELL, BIN_BITS = 5, 2, 6
 POS_BITS = 23
@@ -84,16 +84,16 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, object]:
     bounds = range_bounds(docs, "doc_id", fan_out(spark))
     part = f"{OWN}part"
     docs = docs.withColumn(part, range_of(F.col("doc_id"), bounds))
-    tops = sorted(((r[part], r["top"]) for r in docs.groupBy(part).agg(F.max("doc_id").alias("top")).collect()), reverse=True)  # at most as many rows as ranges
-    goes_to = {p: tops[i - 1][0] for i, (p, _) in enumerate(tops)}  # the first range's top row closes the last range
-    targets = F.create_map(*[x for p, q in goes_to.items() for x in (F.lit(p), F.lit(q))]) if goes_to else None
-    first = F.lit(False)
-    for p, top in tops:
-        first = first | ((F.col(part) == p) & F.col("doc_id").eqNullSafe(F.lit(top)))
-    copies = F.array(F.struct(F.col(part).alias("p"), F.lit(False).alias("c")))
-    if targets is not None:
-        copies = F.when(first, F.concat(copies, F.array(F.struct(targets[F.col(part)].alias("p"), F.lit(True).alias("c"))))).otherwise(copies)
-    dealt = docs.select("doc_id", "text", F.explode(copies).alias("x")).select("doc_id", "text", F.col("x.p").alias(part), F.col("x.c").alias(f"{OWN}copy"))
+    top = {r[part]: r["top"] for r in docs.groupBy(part).agg(F.max("doc_id").alias("top")).collect()}  # at most as many rows as ranges
+    order = sorted(top, reverse=True)
+    goes_to = {p: order[i - 1] for i, p in enumerate(order)}  # the first range's top row closes the last range
+    every = range(-1, len(bounds) + 1)
+    at = F.col(part) + 1
+    first = F.col("doc_id").eqNullSafe(F.get(longs([top.get(p) for p in every]), at))
+    target = F.get(longs([goes_to.get(p) for p in every]), at).cast("int")
+    own = F.array(F.struct(F.col(part).alias("p"), F.lit(False).alias("c")))
+    both = F.concat(own, F.array(F.struct(target.alias("p"), F.lit(True).alias("c"))))
+    dealt = docs.select("doc_id", "text", F.explode(F.when(first, both).otherwise(own)).alias("x")).select("doc_id", "text", F.col("x.p").alias(part), F.col("x.c").alias(f"{OWN}copy"))
     w = Window.partitionBy(part).orderBy(F.col(f"{OWN}copy"), F.col("doc_id").desc_nulls_last(), F.col(f"{OWN}tie"))
     return dealt.withColumn(f"{OWN}tie", F.xxhash64("text")).withColumn("next_text", F.lead("text").over(w)), w
 

@@ -119,9 +119,9 @@ class Scorer:
         return self._table[np.fromiter(map(self._at.__getitem__, words), dtype=np.int64, count=len(words))]
 
     def text(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text and self.langs else []
-        if not words:
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
+        words = WORD.findall(text.lower())
         total = np.zeros(len(self.langs))
         for at in range(0, len(words), 1 << 16):
             total += self._rows(words[at : at + (1 << 16)]).sum(axis=0)
