@@ -11,11 +11,15 @@ def con(sf_dir):
     return compare.connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+#: No SQL form: draws of a Transformer and half precision; test_operators.py holds them against plain numpy.
+WITHOUT = {"lm_generate_topp", "lm_generate_topk", "linear_half"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - WITHOUT))
 def test_query_equals_oracle(name, spark, sf_dir, con):
     got = compare.rows(registry.QUERIES[name](spark, sf_dir).toPandas())
     assert got == compare.rows(con.sql(registry.ORACLES[name]).df())
 
 
 def test_every_query_has_an_oracle():
-    assert set(registry.QUERIES) == set(registry.ORACLES)
+    assert set(registry.QUERIES) == set(registry.ORACLES) | WITHOUT

@@ -78,3 +78,8 @@ def language_model(ids: np.ndarray, w: dict, heads: int, theta: float | None = 1
     if norm != "none":
         x = rms_norm(x, w["ln_final"])
     return x @ w["head"].T
+
+
+def linear_half(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x W^T computed from half-precision copies of both, summed in single precision; the master weights stay as they are."""
+    return (x.astype(np.float16).astype(np.float32) @ w.astype(np.float16).astype(np.float32).T).astype(np.float64)

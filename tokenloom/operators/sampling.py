@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,3 +78,14 @@ def generate_lm(w: dict, heads: int, prompt: list[int], new: int, context: int,
             break
         ids.append(token)
     return ids if return_prompt else ids[len(prompt) :]
+
+
+def generate_lm_rows(prompts: DataFrame, w: dict, heads: int, **options) -> DataFrame:
+    """b, ids for prompts (b, ids): each row continued by generate_lm; row b's draws come from a congruential generator started at b."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [generate_lm(w, heads, list(ids), uniforms=lambda s, b=b: ((b * 7919 + s * 104729 + 13) % 1000) / 1000.0, **options) for b, ids in zip(pdf["b"], pdf["ids"])]
+            yield pd.DataFrame({"b": pdf["b"], "ids": out})
+
+    return prompts.select("b", "ids").mapInPandas(run, "b bigint, ids array<int>")

@@ -37,6 +37,12 @@ def whole_text(spark, d):
     return t.agg(F.sum(F.length("value")).cast("bigint").alias("n_chars"), F.sum(F.length(F.regexp_replace("value", "[^\n]", ""))).cast("bigint").alias("n_lines"))
 
 
+def chunked_counts(spark, d):
+    """Pre-token counts over delimiter-aligned splits of text files: partial sums in each, then one total."""
+    r = files.records(spark, _text_files(spark, d), DELIMITER).select(F.regexp_replace("value", "^\n", "").alias("text"))
+    return bpe.pretoken_counts(r)
+
+
 def vocab_roundtrip(spark, d):
     merges = written(bpe.train(T.docs(spark, d), T.MERGES), "merges")
     path = scratch_path(spark, "vocab")
@@ -86,15 +92,16 @@ def distinct_boundaries(spark, d):
 
 
 QUERIES = {
-    "text_records": text_records, "text_lines": text_lines, "whole_text": whole_text, "vocab_roundtrip": vocab_roundtrip, "merges_roundtrip": merges_roundtrip, "byte_letter_codec": byte_letter_codec,
+    "text_records": text_records, "text_lines": text_lines, "whole_text": whole_text, "chunked_counts": chunked_counts, "vocab_roundtrip": vocab_roundtrip, "merges_roundtrip": merges_roundtrip, "byte_letter_codec": byte_letter_codec,
     "token_array": token_array, "streaming_encode": streaming_encode, "streaming_token_counts": streaming_token_counts, "distinct_boundaries": distinct_boundaries,
 }
 ORACLES = {
     "text_records": "SELECT md5(text) AS text_md5, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1",
     "text_lines": "SELECT md5(l || chr(10)) AS line_md5, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY 1",
     "whole_text": "SELECT CAST(sum(length(text) + length(CAST(doc_id AS VARCHAR)) + 2) AS BIGINT) AS n_chars, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_lines FROM documents",
+    "chunked_counts": T.G.WORDS,
     "vocab_roundtrip": T.BPE_VOCABULARY_SQL,
-    "merges_roundtrip": T.BPE_TRAIN_SQL.replace("SELECT CAST(", "SELECT CAST(").replace(", l, r, n FROM m", ", l, r FROM m"),
+    "merges_roundtrip": T.BPE_TRAIN_SQL.replace(", l, r, n FROM m", ", l, r FROM m"),
     "byte_letter_codec": f"WITH w AS ({T.G.WORDS}) SELECT word, CAST(strlen(word) AS INT) AS n_letters, true AS same FROM w",
     "token_array": f"{T.ENCODED} SELECT doc_id, count(*) AS n, CAST(sum(id * ((p - 1) % 1000 + 1)) AS BIGINT) AS checksum FROM (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM e) GROUP BY doc_id",
     "streaming_encode": T.BPE_ENCODE_SQL,

@@ -343,6 +343,24 @@ LM_SQL = seq_sql(
 )
 
 
+def linear_half(spark, d):
+    w = weights(16, D)
+    return out(R.dense_rows(vectors(spark, d), lambda x: dense.linear_half(x, w), "vec_id"), "y", "vec_id")
+
+
+def config_capture(spark, d):
+    """The model's constructor arguments as one row, written and read back."""
+    from ..sources import vocab
+    from ..sources.scratch import scratch_path
+
+    path = scratch_path(spark, "config")
+    spark.createDataFrame([(VOCAB, SEQ, D, LAYERS, HEADS, FF, THETA)], "vocab_size int, context_length int, d_model int, num_layers int, num_heads int, d_ff int, rope_theta double").coalesce(1).write.json(path)
+    return vocab.config(spark, path, "vocab_size int, context_length int, d_model int, num_layers int, num_heads int, d_ff int, rope_theta double")
+
+
+CONFIG_SQL = f"SELECT {VOCAB} AS vocab_size, {SEQ} AS context_length, {D} AS d_model, {LAYERS} AS num_layers, {HEADS} AS num_heads, {FF} AS d_ff, CAST({THETA} AS DOUBLE) AS rope_theta"
+
+
 def parameters(spark) -> DataFrame:
     """name, i, j, v of all parameters of the test model."""
     w = lm_weights()
@@ -365,7 +383,7 @@ QUERIES = {
     "swiglu": _ffn("swiglu"), "swiglu_columns": swiglu_columns, "silu_ffn": _ffn("silu"), "rope": _rope(False), "rope_halves": _rope(True),
     "softmax": softmax, "softmax_over_rows": softmax_over_rows, "log_softmax": log_softmax, "logsumexp": logsumexp, "cross_entropy": cross_entropy, "cross_entropy_large": cross_entropy_large,
     "sdpa": sdpa, "sdpa_causal": sdpa_causal, "sdpa_mask": sdpa_mask, "sdpa_tiled": sdpa_tiled, "attention_lse": attention_lse, "sdpa_backward": sdpa_backward,
-    "mha": mha, "mha_rope": mha_rope, "transformer_block": _block("pre"), "transformer_block_post": _block("post"), "transformer_block_none": _block("none", "silu"), "transformer_lm": transformer_lm, "param_count": param_count,
+    "mha": mha, "mha_rope": mha_rope, "transformer_block": _block("pre"), "transformer_block_post": _block("post"), "transformer_block_none": _block("none", "silu"), "transformer_lm": transformer_lm, "param_count": param_count, "linear_half": linear_half, "config_capture": config_capture,
 }
 ORACLES = {
     "linear": done([X, lin("y", "x", 16, 0)], "y"),
@@ -398,4 +416,5 @@ ORACLES = {
     "transformer_block_none": seq_sql([S, *block_ctes("x", "0", 10, "none", "silu")], "y0"),
     "transformer_lm": LM_SQL,
     "param_count": PARAM_COUNT_SQL,
+    "config_capture": CONFIG_SQL,
 }

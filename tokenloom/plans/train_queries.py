@@ -10,7 +10,7 @@ from ..sources import state as S
 from ..sources import vocab as V
 from ..sources.scratch import scratch_path, written
 from .sqlgen import weight
-from .tensor_queries import _SHAPES, D, cell, parameters, rounded, vectors
+from .tensor_queries import _SHAPES, D, HEADS, VOCAB, cell, lm_weights, parameters, rounded, vectors
 
 ROWS = 8
 
@@ -186,6 +186,15 @@ g(b, ids, step) AS (SELECT b, [CAST(b + 97 AS INT)], 0 FROM range(26) a(b)
 SELECT b, array_to_string(ids, ',') AS ids FROM g WHERE step = 6"""
 
 
+def _prompts(spark, d) -> DataFrame:
+    ids = vectors(spark, d).select(F.col("vec_id").alias("b"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: ((F.col("vec_id") * 7 + k * 11) % VOCAB).cast("int")).alias("ids"))
+    return ids
+
+
+def _generate(**options):
+    return lambda spark, d: sampling.generate_lm_rows(_prompts(spark, d), lm_weights(), HEADS, new=4, context=6, **options).select("b", F.size("ids").alias("n"), F.array_join("ids", ",").alias("ids"))
+
+
 # ---- training, checkpoints, logs
 
 
@@ -261,7 +270,7 @@ QUERIES = {
     "lr_cosine": lr_cosine, "grad_norm": grad_norm, "grad_clip": _clip(False), "grad_clip_always": _clip(True), "grad_clip_unchanged": clip_unchanged,
     "adamw_step": _adamw(1), "adamw_three_steps": _adamw(3), "adamw_step_eps_variant": _adamw(2, True),
     "ddp_grad_avg": ddp_grad_avg, "fsdp_shards": fsdp_shards, "fsdp_gather": fsdp_gather, "fsdp_reduce_scatter": fsdp_reduce_scatter, "sharded_adamw": sharded_adamw, "replica_check": replica_check,
-    "temperature": temperature, "topp_filter": topp_filter, "topk_filter": topk_filter, "inverse_cdf_sample": inverse_cdf_sample, "greedy_generate": greedy_generate,
+    "temperature": temperature, "topp_filter": topp_filter, "topk_filter": topk_filter, "inverse_cdf_sample": inverse_cdf_sample, "greedy_generate": greedy_generate, "lm_generate_topp": _generate(t=0.8, p=0.9, end=7), "lm_generate_topk": _generate(t=0.8, k=5, end=7, keep_end=False, return_prompt=False),
     "train_loop": train_loop, "checkpoint_roundtrip": checkpoint_roundtrip, "pretrained_names": pretrained_names,
     "snapshot_compare": snapshot_compare, "key_compare": key_compare, "object_compare": object_compare, "deviation_bound": deviation_bound,
 }
