@@ -66,7 +66,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_
     """The model, from rows with text and lang. sample_docs: labelled documents a language; max_words: entries an order."""
     small_batches(session(docs))
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return {"langs": [], "orders": {}}
