@@ -263,6 +263,17 @@ def test_records_cut_at_delimiters(spark, tmp_path):
     assert [r["value"] for r in files.records(spark, str(tmp_path / "t.txt")).collect()] == ["one\ntwo", "three"]
 
 
+def test_whole_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"x\r\ny\rz\n")
+    assert [r["value"] for r in files.whole_files(spark, str(tmp_path / "a.txt")).collect()] == ["x\ny\nz\n"]
+    (tmp_path / "b.txt").write_bytes(b"a\xffb")
+    assert files.whole_files(spark, str(tmp_path / "b.txt"), strict=False).head()["value"] == "a\ufffdb"
+    with pytest.raises(Exception, match="UTF"):
+        files.whole_files(spark, str(tmp_path / "b.txt")).collect()
+    (tmp_path / "c.txt").write_bytes(b"one\ntwo\n")
+    assert [r["value"] for r in files.lines(spark, str(tmp_path / "c.txt")).collect()] == ["one\n", "two\n"]
+
+
 def test_byte_letters_are_a_bijection():
     t = vocab.byte_letters()
     assert len(set(t.values())) == 256 and t[ord("A")] == "A" and t[32] == "Ġ" and t[10] == "Ċ"

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """value: each file's text, with CRLF and CR read as LF."""
-    return spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r\n?", "\n").alias("value"))
+def whole_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """value: each file's text, with CRLF and CR read as LF. strict: bytes that are not UTF-8 raise an error, else they become U+FFFD."""
+    raw = F.col("value")
+    text = F.validate_utf8(raw) if strict else F.make_valid_utf8(raw)
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace(text, "\r\n?", "\n").alias("value"))
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
