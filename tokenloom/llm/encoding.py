@@ -21,7 +21,7 @@ _PLAIN = f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[{SPACE}.,;:!?#$%&*|()\"]|$)"
 CHUNK = re.compile(f"{_PLAIN}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
-HELD = 500_000  # chunks in a generation of the cache
+HELD = 800_000  # chunks in a generation of the cache
 LONG = 1 << 20  # characters of a text that is worked on in stretches
 
 
@@ -117,12 +117,12 @@ class ChunkEncoder:
             at = end
 
 
-_MADE: dict[str, ChunkEncoder] = {}
+_MADE: dict[tuple[str, int], ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, held: int = HELD) -> ChunkEncoder:
     """One encoder a worker process."""
-    if path not in _MADE:
+    if (path, held) not in _MADE:
         _MADE.clear()
-        _MADE[path] = ChunkEncoder(path)
-    return _MADE[path]
+        _MADE[path, held] = ChunkEncoder(path, held)
+    return _MADE[path, held]

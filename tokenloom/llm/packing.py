@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lean, session, small_batches, written
-from .encoding import encoder
+from .encoding import HELD, encoder
 
 LENGTH, END_ID, MAX_QUEUES = 4096, 2, 4096
 BROADCAST_ROWS = 500_000
@@ -118,14 +118,14 @@ class Shares:
         return t, own, before
 
 
-def _encode(tokenizer: str, end_id: int):
+def _encode(tokenizer: str, end_id: int, held: int):
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         lean()
-        enc, task, at = encoder(tokenizer), TaskContext.get().partitionId(), {}
+        enc, task, at = encoder(tokenizer, held), TaskContext.get().partitionId(), {}
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 some = b.slice(i, 512)
@@ -177,15 +177,16 @@ def _group(shares: Shares, q: int, group: list[tuple[int, int, int]], length: in
     return row[r], s - begin[r], e - s, (end - begin)[r], t[w], ahead + s - own[w]
 
 
-def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, targets: dict | None = None, max_queues: int = MAX_QUEUES) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, targets: dict | None = None, max_queues: int = MAX_QUEUES, held: int = HELD) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     targets: source to weight (None key: rows without a source); None for the corpus's own shares.
+    held: chunks that a worker's cache holds, which changes its memory and time only.
     """
     small_batches(session(docs))
     queue = _queue(docs, max_queues)
     rows = docs.select("doc_id", "text", queue.alias("queue"))
-    ids = written(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id bigint, queue string, task int, at bigint, ids binary"), "packing-ids")
+    ids = written(rows.mapInArrow(_encode(tokenizer, end_id, held), "doc_id bigint, queue string, task int, at bigint, ids binary"), "packing-ids")
     sums = ids.groupBy("task", "queue").agg(F.max(F.col("at") + (F.octet_length("ids") / 2).cast("bigint")).alias("n"))
     earlier = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
     bases = written(sums.select("task", "queue", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "packing-bases")
