@@ -15,6 +15,8 @@ from tokenloom.session import ship
 
 #: Share of a text's language under the model below which the language stage rejects it.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Workers have served four stages before the last; its cache is a smaller one.
+CACHED_CHUNKS = 200_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens, at the mixture's shares in every sequence."""
     ship(spark)
-    return packing.packed(docs, tokenizer("word_bpe_49k.json"))
+    return packing.packed(docs, tokenizer("word_bpe_49k.json"), held=CACHED_CHUNKS)
 
 
 STAGES = [
