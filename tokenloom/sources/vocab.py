@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def byte_letters() -> dict[int, str]:
     """The public byte-to-letter table: printable bytes stand for themselves, the others for code points from 256 in their order."""
+    # The printable byte ranges of the public table.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = iter(range(256, 512))
     return {b: chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)}
