@@ -21,7 +21,7 @@ _PLAIN = f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[{SPACE}.,;:!?#$%&*|()\"]|$)"
 CHUNK = re.compile(f"{_PLAIN}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
-HELD = 800_000  # chunks in a generation of the cache
+HELD = 650_000  # chunks in a generation of the cache
 LONG = 1 << 20  # characters of a text that is worked on in stretches
 
 
@@ -126,3 +126,8 @@ def encoder(path: str, held: int = HELD) -> ChunkEncoder:
         _MADE.clear()
         _MADE[path, held] = ChunkEncoder(path, held)
     return _MADE[path, held]
+
+
+def drop_encoders() -> None:
+    """Called where a task of a later step begins: its worker needs the memory."""
+    _MADE.clear()

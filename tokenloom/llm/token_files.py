@@ -9,7 +9,7 @@ Decoding expands control bytes through a 256-row numpy table of lengths and gath
 there is no step per id.
 
 Plan: one shuffle of the texts into doc_id ranges; each is encoded once and kept as 16-bit ids in a
-scratch table; id counts are summed per task (at most one row per id) before they meet; the scratch
+scratch table, where each task also leaves the counts of its ids, which are summed per id; the scratch
 table is then coded in its own order. Every task holds one Arrow batch and one block. A task
 that is run again writes the same rows, under Spark's commit protocol.
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import OWN, fan_out, forget, lean, range_bounds, range_of, release, scratch_path, session, small_batches, written
-from .encoding import encoder
+from .encoding import drop_encoders, encoder
 
 END_ID = 0
 BLOCK_IDS = 1 << 18
@@ -69,17 +69,23 @@ def decode_values(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 def _ids(tokenizer: str, end_id: int):
-    """Adds to each row its ids, its number in its part and the ids before it there; rows come in order of part."""
+    """Adds to each row its ids, its number in its part and the ids before it there; rows come in order of part.
+
+    The last row of a task has no part but the counts of all its ids, as 64-bit numbers in id order.
+    """
     end = np.array([end_id], dtype="<u2").tobytes()
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("before", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         enc = encoder(tokenizer)
         part, seq, before = None, 0, 0
+        counts = np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 some = b.slice(at, 512)
                 ids = [x + end for x in enc.encode(some.column("text").to_pylist())]
+                counts += np.bincount(np.frombuffer(b"".join(ids), dtype="<u2"), minlength=1 << 16)
                 seqs, befores = [], []
                 for p, x in zip(some.column("part").to_pylist(), ids):
                     if p != part:
@@ -87,26 +93,18 @@ def _ids(tokenizer: str, end_id: int):
                     seqs.append(seq)
                     befores.append(before)
                     seq, before = seq + 1, before + len(x) // 2
-                yield pa.record_batch([some.column("part"), pa.array(seqs, pa.int64()), pa.array(befores, pa.int64()), some.column("doc_id"), pa.array(ids, pa.binary())], names=["part", "seq", "before", "doc_id", "ids"])
+                yield pa.record_batch([some.column("part"), pa.array(seqs, pa.int64()), pa.array(befores, pa.int64()), some.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_pylist([{"counts": counts.tobytes()}], schema=schema)
 
     return run
 
 
-_COUNT_MEMORY = 1 << 20
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of ids over all texts of a task: one bincount for about a million ids."""
+    """Sums of the counts of tasks."""
     n = np.zeros(1 << 16, dtype=np.int64)
-    held, size = [], 0
     for b in batches:
-        for x in b.column("ids").to_pylist():
-            held.append(x)
-            size += len(x)
-            if size >= _COUNT_MEMORY:
-                n += np.bincount(np.frombuffer(b"".join(held), dtype="<u2"), minlength=1 << 16)
-                held, size = [], 0
-    n += np.bincount(np.frombuffer(b"".join(held), dtype="<u2"), minlength=1 << 16)
+        for x in b.column("counts").to_pylist():
+            n += np.frombuffer(x, dtype=np.int64)
     at = np.flatnonzero(n)
     yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["id", "n"])
 
@@ -116,6 +114,7 @@ def _blocks(rank: np.ndarray, bases: dict[int, int], block_ids: int):
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         lean()
         docs: list = []
         ids: list[bytes] = []
@@ -168,10 +167,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     tie = f"{OWN}tie"
     dealt = docs.withColumn("part", range_of(F.col("doc_id"), bounds)).withColumn(tie, F.xxhash64("text"))
     dealt = dealt.repartition(tasks, "part").sortWithinPartitions("part", "doc_id", tie).select("part", "doc_id", "text")
-    ids = written(dealt.mapInArrow(_ids(tokenizer, end_id), "part int, seq bigint, before bigint, doc_id bigint, ids binary"), "token-ids")
+    coded = written(dealt.mapInArrow(_ids(tokenizer, end_id), "part int, seq bigint, before bigint, doc_id bigint, ids binary, counts binary"), "token-ids")
+    ids = coded.where("part IS NOT NULL").drop("counts")
     del dealt
     release(spark)  # the shuffled texts go before the files are written
-    counts = ids.select("ids").mapInArrow(_count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = coded.where("counts IS NOT NULL").select("counts").mapInArrow(_count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     ranks = counts.select((F.row_number().over(Window.orderBy(F.col("n").desc(), "id")) - 1).alias("rank"), "id", "n")  # at most 65,536 rows
     ranks.coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(1 << 16, dtype="<u4")
@@ -183,7 +183,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         bases[r["part"]], total = total, total + r["n"]
     blocks = ids.mapInArrow(_blocks(rank, bases, block_ids), "part int, seq bigint, start bigint, doc_ids array<bigint>, n_tokens array<bigint>, control binary, data binary")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
-    forget(spark, ids)
+    forget(spark, coded)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
