@@ -21,7 +21,7 @@ _PLAIN = f" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[{SPACE}.,;:!?#$%&*|()\"]|$)"
 CHUNK = re.compile(f"{_PLAIN}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
-HELD = 650_000  # chunks in a generation of the cache
+HELD = 1_000_000  # chunks in a generation of the cache
 LONG = 1 << 20  # characters of a text that is worked on in stretches
 
 

@@ -34,38 +34,37 @@ from .encoding import drop_encoders, encoder
 END_ID = 0
 BLOCK_IDS = 1 << 18
 
-#: lengths[c] are the byte lengths of the four values that control byte c describes.
+#: Row c: the byte lengths of the four values that control byte c describes.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
+#: Row c, for cells of 2 and of 4 bytes: which bytes of the four cells are stored.
+USED = {cell: (np.arange(cell)[None, None, :] < LENGTHS[:, :, None]).reshape(256, 4 * cell) for cell in (2, 4)}
 
 
 def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
-    v = np.ascontiguousarray(values, dtype="<u4")
-    top = int(v.max(initial=0))
-    wide = 1 + (top >= 1 << 8) + (top >= 1 << 16) + (top >= 1 << 24)
-    used = np.empty((len(v), wide), dtype=bool)
-    used[:, 0] = True
+    cell = 2 if int(values.max(initial=0)) < 1 << 16 else 4
+    v = np.ascontiguousarray(values, dtype=f"<u{cell}")
     codes = np.zeros(-(-len(v) // 4) * 4, dtype=np.uint8)
-    for k in range(1, wide):
-        np.greater_equal(v, 1 << 8 * k, out=used[:, k])
-        codes[: len(v)] += used[:, k]
+    raw = v.view(np.uint8)
+    if cell == 2:
+        used = raw != 0
+        codes[: len(v)] = used[1::2]
+        used[::2] = True
+    else:
+        for k in range(1, cell):
+            codes[: len(v)] += v >= 1 << 8 * k
+        used = (np.arange(cell, dtype=np.uint8) <= codes[: len(v), None]).reshape(-1)
     four = codes.view("<u4")
-    control = (four | four >> 6 | four >> 12 | four >> 18).astype(np.uint8)
-    return control.tobytes(), v.astype("<u2").view(np.uint8).reshape(-1, 2)[:, :wide][used].tobytes() if wide < 3 else v.view(np.uint8).reshape(-1, 4)[:, :wide][used].tobytes()
+    return (four | four >> 6 | four >> 12 | four >> 18).astype(np.uint8).tobytes(), raw[used].tobytes()
 
 
 def decode_values(control: bytes, data: bytes, count: int) -> np.ndarray:
-    """The inverse of encode_values; the table gives the lengths of four values at a time."""
-    size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:count]
-    wide = int(size.max(initial=1))
-    cells = 2 if wide < 3 else 4
-    out = np.zeros((count, cells), dtype=np.uint8)
-    used = np.empty((count, wide), dtype=bool)
-    used[:, 0] = True
-    for k in range(1, wide):
-        np.greater(size, k, out=used[:, k])
-    out[:, :wide][used] = np.frombuffer(data, dtype=np.uint8)
-    return out.reshape(-1).view(f"<u{cells}")
+    """The inverse of encode_values: tables give the places of the data bytes of four values at a time."""
+    c = np.frombuffer(control, dtype=np.uint8)
+    cell = 4 if (c & 0b10101010).any() else 2
+    out = np.zeros(count * cell, dtype=np.uint8)
+    out[np.take(USED[cell], c, axis=0).reshape(-1)[: count * cell]] = np.frombuffer(data, dtype=np.uint8)
+    return out.view(f"<u{cell}")
 
 
 def _ids(tokenizer: str, end_id: int):
@@ -174,7 +173,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     counts = coded.where("counts IS NOT NULL").select("counts").mapInArrow(_count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     ranks = counts.select((F.row_number().over(Window.orderBy(F.col("n").desc(), "id")) - 1).alias("rank"), "id", "n")  # at most 65,536 rows
     ranks.coalesce(1).write.parquet(f"{path}/ranks")
-    rank = np.zeros(1 << 16, dtype="<u4")
+    rank = np.zeros(1 << 16, dtype="<u2")
     for r in spark.read.parquet(f"{path}/ranks").select("rank", "id").collect():
         rank[r["id"]] = r["rank"]
     sums = ids.groupBy("part").agg(F.max(F.col("before") + (F.octet_length("ids") / 2).cast("bigint")).alias("n")).collect()  # one row a part
