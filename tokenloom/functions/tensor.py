@@ -12,6 +12,11 @@ def vec(c: Column | str) -> Column:
     return F.col(c).cast("array<double>") if isinstance(c, str) else c.cast("array<double>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, not once for each element that uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -43,7 +48,7 @@ def linear(x: Column, w: Column) -> Column:
 def rms_norm(x: Column, gain: Column, eps: float = 1e-5) -> Column:
     """x / sqrt(mean(x^2) + eps) * gain."""
     size = F.sqrt(total(F.transform(x, lambda v: v * v)) / F.size(x) + F.lit(eps))
-    return F.zip_with(x, gain, lambda v, g: v / size * g)
+    return let(size, lambda s: F.zip_with(x, gain, lambda v, g: v / s * g))
 
 
 def silu(x: Column) -> Column:
@@ -78,14 +83,13 @@ def rope(x: Column, position: Column, theta: float = 10000.0, halves: bool = Fal
 
 def softmax(x: Column) -> Column:
     """Shifted by the maximum."""
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / total(e))
+    shifted = lambda e: let(total(e), lambda t: F.transform(e, lambda v: v / t))
+    return let(F.array_max(x), lambda m: let(F.transform(x, lambda v: F.exp(v - m)), shifted))
 
 
 def log_sum_exp(x: Column) -> Column:
-    top = F.array_max(x)
-    return top + F.log(total(F.transform(x, lambda v: F.exp(v - top))))
+    return let(F.array_max(x), lambda m: m + F.log(total(F.transform(x, lambda v: F.exp(v - m)))))
 
 
 def log_softmax(x: Column) -> Column:
-    return F.transform(x, lambda v: v - log_sum_exp(x))
+    return let(log_sum_exp(x), lambda t: F.transform(x, lambda v: v - t))
