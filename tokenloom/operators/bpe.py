@@ -53,7 +53,7 @@ def merged(words: DataFrame, left: str | Column, right: str | Column) -> DataFra
 def train_rounds(words: DataFrame, merges: int) -> list[tuple[str, str, int]]:
     """Merges (l, r, n) in rank order; every round is a distributed aggregation and rewrite.
 
-    Only words that hold the pair are rewritten; words are cut from their lineage every 8 rounds.
+    Only words that hold the pair are rewritten; words are written every second round, which cuts their lineage.
     """
     out: list[tuple[str, str, int]] = []
     for i in range(merges):
@@ -64,7 +64,7 @@ def train_rounds(words: DataFrame, merges: int) -> list[tuple[str, str, int]]:
         holds = F.array_contains(F.col("tokens"), best["l"]) & F.array_contains(F.col("tokens"), best["r"])
         new = merge_pair(F.col("tokens"), F.lit(best["l"]), F.lit(best["r"]))
         words = words.withColumn("tokens", F.when(holds, new).otherwise(F.col("tokens")))
-        if i % 8 == 7:
+        if i % 2 == 1:
             words = written(words, "bpe-words")
     return out
 
