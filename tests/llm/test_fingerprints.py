@@ -34,6 +34,30 @@ def test_sensitive_to_order_and_repetition(spark):
     assert got[3]["near_next"] < 0.9  # repeated k-mers count
 
 
+def test_moved_half_of_short_texts(spark):
+    """Mean likeness of texts and their swapped halves is that of independent permutations, by simulation."""
+    import numpy as np
+
+    rng, rounds = np.random.default_rng(5), 60
+    for n in (20, 30, 60, 100):
+        grams = lambda w: [tuple(w[i : i + 5]) for i in range(n - 4)]
+        a, b = grams(list(range(n))), grams([*range(n // 2, n), *range(n // 2)])
+        number = {g: i for i, g in enumerate({*a, *b})}
+        a, b, same = np.array([number[g] for g in a]), np.array([number[g] for g in b]), 0
+        for _ in range(4000):
+            h = rng.random(len(number))
+            x, y = (t[np.sort(np.argsort(h[t])[:2])] for t in (a, b))
+            same += (x == y).all()
+        want = same / 4000
+        texts = []
+        for r in range(rounds):
+            words = [f"r{r}w{i}" for i in range(n)]
+            texts += [(2 * r + 1, " ".join(words)), (2 * r, " ".join(words[n // 2 :] + words[: n // 2]))]
+        got = {r["doc_id"]: r for r in fingerprints(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        assert abs(sum(got[2 * r + 1]["near_next"] for r in range(rounds)) / rounds - want) < 0.04
+        assert not any("----" in r["fingerprint"] for r in got.values())
+
+
 def test_edges(edges, empty, clashing):
     got = fingerprints(edges).collect()
     assert len(got) == edges.count()

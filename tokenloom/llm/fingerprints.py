@@ -1,11 +1,15 @@
 """Document fingerprints by Order MinHash (operator 1), in DataFrame functions only.
 
 A text is its words (runs without ASCII white space); its k-mers are k words in a row, numbered by
-occurrence, so that a repeated k-mer counts as often as it stands. One hash of (k-mer, occurrence)
-deals each into one of ``bins`` bins (one-permutation hashing, Li, Owen and Zhang 2012, in place of
-``bins`` separate permutations) and orders it there; each bin selects its ``ell`` smallest, puts
-them back into text order and hashes the tuple (Marcais et al. 2019). Moving or editing
-text changes tuples even where the set of k-mers stays. All work on a text is array functions on
+occurrence, so that a repeated k-mer counts as often as it stands. Each of ``2**BIN_BITS`` slots has an order
+of its own over all k-mers, selects the ``ell`` first, puts them back into text order and hashes the
+tuple (Marcais et al. 2019). Moving or editing text changes tuples even where the set of k-mers stays.
+
+The order of a slot: one hash of (k-mer, occurrence) deals each k-mer to one slot, where it comes before all
+that are dealt to others, by that hash; those follow by a further hash of (k-mer, occurrence, slot). In every
+slot, k-mers draw their places independently and alike, so each slot is a random permutation, as of plain Order
+MinHash, at any length of text; but only a slot that was dealt fewer than ``ell`` looks at the k-mers of others,
+so long texts cost one hash a k-mer. All work on a text is array functions on
 its own row: no k-mer is ever shuffled, and memory is bounded by one text.
 
 Edge cases: null counts as the empty text; a text with no word has only empty slots; one of fewer
@@ -29,8 +33,8 @@ _REST = (1 << (_RANK + POS_BITS)) - 1
 
 
 def sketch(df: DataFrame, text: str, out: str, k: int = K, ell: int = ELL) -> DataFrame:
-    """df with column out: array<int> of 2**BIN_BITS slots, -1 where a slot is empty. k words a k-mer, ell k-mers a slot."""
-    w, s, t = f"{OWN}w", f"{OWN}s", f"{OWN}t"
+    """df with column out: array<int> of 2**BIN_BITS slots, all -1 for a text without words. k words a k-mer, ell k-mers a slot."""
+    w, s, t, every = f"{OWN}w", f"{OWN}s", f"{OWN}t", f"{OWN}every"
     keep = [c for c in df.columns if c != out]
     bin_of, rank = f"shiftrightunsigned({{}}, {_RANK + POS_BITS})", f"shiftleft(shiftrightunsigned(xxhash64({{}}, {{}}), 24), {POS_BITS})"
     grams = ", ".join(f"{w}[i + {j}]" for j in range(k))
@@ -49,14 +53,20 @@ def sketch(df: DataFrame, text: str, out: str, k: int = K, ell: int = ELL) -> Da
     df = df.withColumn(t, F.expr(f"if({s} IS NULL, null, filter(sequence(0, size({s}) - 1), i -> i = 0 OR shiftrightunsigned({s}[i], {POS_BITS}) != shiftrightunsigned({s}[i - 1], {POS_BITS})))"))
     once = f"transform({w}, (x, i) -> {rank.format('x', '0')} | least(i, {_POS}))"
     runs = f"flatten(transform({t}, (a, r) -> transform(sequence(a, if(r + 1 < size({t}), {t}[r + 1], size({s})) - 1), j -> {rank.format(f'shiftrightunsigned({s}[j], {POS_BITS})', 'j - a')} | ({s}[j] & {_POS}))))"
-    df = df.withColumn(w, F.concat(F.expr(f"if({s} IS NULL, {once}, {runs})"), F.array(*[F.lit(e).cast("bigint") for e in ends]))).drop(s, t)
+    df = df.withColumn(every, F.expr(f"if({s} IS NULL, {once}, {runs})")).drop(s, t)
+    df = df.withColumn(w, F.concat(every, F.array(*[F.lit(e).cast("bigint") for e in ends])))
     df = df.withColumn(w, F.expr(f"sort_array({w})"))
     df = df.withColumn(w, F.expr(f"filter({w}, (x, i) -> i < {ell} OR {bin_of.format(f'{w}[i - {ell}]')} != {bin_of.format('x')})"))
     df = df.withColumn(t, F.expr(f"filter(sequence(0, size({w}) - 1), i -> i = 0 OR {bin_of.format(f'{w}[i - 1]')} != {bin_of.format(f'{w}[i]')})"))
     chosen = f"filter(slice({w}, i + 1, {ell}), y -> {bin_of.format('y')} = {bin_of.format(f'{w}[i]')} AND (y & {_REST}) != {_REST})"
-    in_order = f"sort_array(transform({chosen}, y -> shiftleft(y & {_POS}, {_RANK}) | (shiftrightunsigned(y, {POS_BITS}) & {(1 << _RANK) - 1})))"
+    # A slot with fewer than ell takes the rest from the k-mers of others, by a hash of its own.
+    others = f"if(size(g.own) = 0, {every}, filter({every}, y -> {bin_of.format('y')} != g.bin))"
+    mixed = f"transform({others}, y -> shiftleft(shiftrightunsigned(xxhash64(shiftrightunsigned(y, {POS_BITS}), g.bin), 24), {POS_BITS}) | (y & {_POS}))"
+    full = f"if(size(g.own) = {ell}, g.own, concat(g.own, slice(sort_array({mixed}), 1, {ell} - size(g.own))))"
+    in_order = f"sort_array(transform({full}, y -> shiftleft(y & {_POS}, {_RANK}) | (shiftrightunsigned(y, {POS_BITS}) & {(1 << _RANK) - 1})))"
     slot = f"transform({in_order}, z -> z & {(1 << _RANK) - 1})"
-    tuples = f"transform(transform({t}, i -> {slot}), g -> if(size(g) = 0, -1, cast(shiftrightunsigned(xxhash64(g), 48) as int)))"
+    dealt = f"transform({t}, i -> named_struct('bin', {bin_of.format(f'{w}[i]')}, 'own', {chosen}))"
+    tuples = f"transform(transform({dealt}, g -> {slot}), g -> if(size(g) = 0, -1, cast(shiftrightunsigned(xxhash64(g), 48) as int)))"
     return df.select(*[F.col(f"`{c}`") for c in keep], F.expr(tuples).alias(out))
 
 
