@@ -185,6 +185,30 @@ def test_packing_edges(edges, unique, empty, clashing):
     assert packing.packed(empty, tokenizer(WORD)).count() == 0
 
 
+def test_packing_of_many_sources(spark):
+    """Past max_queues, sources keep queues of their own: shares, targets and pieces are those of a larger limit."""
+    rows = [(i, f"text {i} " * (1 + i * 7 % 23), None if i % 41 == 0 else f"s{i % 41}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3, "doc_id")
+    source = {i: s for i, _, s in rows}
+    for targets in (None, {"s7": 3.0, None: 1.0, "absent": 2.0, "s9": 0.0}):
+        run = lambda most: sorted(tuple(p) for p in packed_rows(df, most, targets))  # noqa: E731, B023
+        want = run(4096)
+        assert run(5) == run(2) == want
+        first, size = defaultdict(int), defaultdict(int)
+        for d, _, n, _, _, s, _ in want:
+            size[source[d]] += n
+            if s < 2:
+                first[source[d]] += n
+        if targets:
+            assert set(first) == {"s7", None} and abs(first["s7"] - 3 * first[None]) < 10
+        else:
+            assert all(abs(first[q] - 256 * size[q] / sum(size.values())) < 4 for q in size)
+
+
+def packed_rows(df, most, targets):
+    return packing.packed(df, tokenizer(WORD), length=128, targets=targets, max_queues=most).collect()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 400), min_size=1, max_size=12), st.integers(1, 64), st.booleans())
 def test_shares_are_monotone_and_exact(totals, length, weighted):

@@ -15,14 +15,17 @@ and partitions alike.
 
 Targets: None gives the corpus's own shares, which keeps every window at the mixture to the end
 (in the pipeline, the mixture that the stage before made). Other targets run in phases: while all
-sources last, at the targets; when one runs dry, the rest share in proportion.
+sources last, at the targets; when one runs dry, the rest share in proportion; sources without a target
+come last, at their own shares.
 
 Plan: texts are encoded once, in the order they are read, into a scratch table with each row's
 position inside its task's part of its queue; parts and sources are summed (narrow), and a second
 pass over the scratch table cuts the pieces. No text and no ids are shuffled, so a hot source is
-only a long queue. The driver holds one count for each queue; beyond ``MAX_QUEUES`` sources, sources
-share queues by hash, which bounds it. The counts of each (task, queue) are broadcast up to
-``BROADCAST_ROWS`` and joined by a shuffle beyond.
+only a long queue. Every source is a queue of its own at any count. Up to ``MAX_QUEUES`` the driver holds
+one count for each; beyond, the counts stay a table, the driver holds the top of the tree and the sources
+with a target, and each queue's row carries the counts on its path, of the same tree: the pieces are the same. The
+counts of each (task, queue) are broadcast up to ``BROADCAST_ROWS`` (an eighth of it with paths) and joined by a
+shuffle beyond.
 
 Edge cases: null text counts as empty (only the end id); null source is a source of its own; rows
 of no table give no pieces; repeated rows are packed as often as they stand, each at its own place.
@@ -32,14 +35,14 @@ Further columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, session, small_batches, written
+from .common import fan_out, lean, longs, range_of, session, small_batches, written
 from .encoding import HELD, encoder
 
 LENGTH, END_ID, MAX_QUEUES = 4096, 2, 4096
@@ -53,14 +56,52 @@ def _scale(n: np.ndarray, left: int, all_: int) -> np.ndarray:
     return np.array([(2 * x * left + all_) // (2 * all_) for x in n.tolist()], dtype=np.int64)
 
 
+class Sparse:
+    """Tokens of the queues before a place, where few of all have any."""
+
+    def __init__(self, places: list[int], counts: list[int]):
+        self.places, self.sums = np.array(places, np.int64), np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
+
+    def __getitem__(self, place: int) -> int:
+        return int(self.sums[np.searchsorted(self.places, place)])
+
+
+class Path:
+    """Tokens of the queues before a place, for the places on one queue's path down the tree."""
+
+    def __init__(self, place: int, size: int, cuts: list[int], total: int):
+        self.known = {0: 0, size: total, **dict(zip(middles(place, size), cuts))}
+
+    def __getitem__(self, place: int) -> int:
+        return self.known[place]
+
+
+def middles(place: int, size: int) -> Iterator[int]:
+    """Where the tree of size queues is cut, from its root to the leaf at place."""
+    lo, hi = 0, size
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        yield mid
+        lo, hi = (lo, mid) if place < mid else (mid, hi)
+
+
 class Shares:
     """How many of the first n tokens of the merged order each queue gives."""
 
     def __init__(self, totals: list[int], targets: list[float] | None = None):
-        self.totals = [int(t) for t in totals]
-        self.phases = [np.array(p, dtype=np.int64) for p in self._phases(self.totals, targets)]
-        self.sums = [np.concatenate([[0], np.cumsum(p)]) for p in self.phases]
-        self.starts = [0, *np.cumsum([int(p.sum()) for p in self.phases]).tolist()]
+        self._hold(len(totals), [np.concatenate([[0], np.cumsum(np.array(p, dtype=np.int64))]) for p in self._phases([int(t) for t in totals], targets)])
+
+    @classmethod
+    def of(cls, size: int, sums: list) -> Shares:
+        """From the tokens of the queues before each place, phase by phase."""
+        out = cls.__new__(cls)
+        out._hold(size, sums)
+        return out
+
+    def _hold(self, size: int, sums: list) -> None:
+        self.size, self.sums, self.starts = size, sums, [0]
+        for s in sums:
+            self.starts.append(self.starts[-1] + int(s[size]))
 
     @staticmethod
     def _phases(totals: list[int], targets: list[float] | None) -> list[list[int]]:
@@ -70,7 +111,10 @@ class Shares:
         left, out = list(totals), []
         while any(left):
             live = [i for i, t in enumerate(left) if t]
-            weight = {i: targets[i] for i in live if targets[i] > 0} or {i: 1.0 for i in live}  # queues without a target come last
+            weight = {i: targets[i] for i in live if targets[i] > 0}
+            if not weight:  # queues without a target come last
+                out.append(left)
+                break
             stretch = min(left[i] / w for i, w in weight.items())
             give = [0] * len(left)
             for i, w in weight.items():
@@ -86,10 +130,9 @@ class Shares:
     def upto(self, q: int, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of queue q, and of the queues before it, among the first n."""
         own, before = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-        for phase, sums, start in zip(self.phases, self.sums, self.starts):
-            size = int(sums[-1])
-            m = np.clip(n - start, 0, size)
-            lo, hi, ahead = 0, len(phase), np.zeros(len(n), np.int64)
+        for sums, start in zip(self.sums, self.starts):
+            m = np.clip(n - start, 0, int(sums[self.size]))
+            lo, hi, ahead = 0, self.size, np.zeros(len(n), np.int64)
             while hi - lo > 1:
                 mid = (lo + hi) // 2
                 all_, left = int(sums[hi] - sums[lo]), int(sums[mid] - sums[lo])
@@ -140,8 +183,8 @@ def _encode(tokenizer: str, end_id: int, held: int):
     return run
 
 
-def _cut(shares: Shares, place: dict, length: int):
-    """place: queue to its number; a row's base: the tokens of earlier tasks in its queue."""
+def _cut(find: Callable[..., tuple[Shares, int]], more: list[str], length: int):
+    """find: shares and place of a queue, from its name and the columns more; a row's base: the tokens of earlier tasks in its queue."""
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,12 +192,12 @@ def _cut(shares: Shares, place: dict, length: int):
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 some = b.slice(i, 512)
-                rows = list(zip(*(some.column(c).to_pylist() for c in ("doc_id", "queue", "base", "at", "ids"))))
+                rows = list(zip(*(some.column(c).to_pylist() for c in ("doc_id", "queue", "base", "at", "ids", *more))))
                 spans: dict = {}
-                for r, (_, q, base, at, ids) in enumerate(rows):
+                for r, (_, q, base, at, ids, *_) in enumerate(rows):
                     spans.setdefault((q, base), []).append((base + at, base + at + len(ids) // 2, r))
                 wide = [memoryview(np.frombuffer(r[4], dtype="<u2").astype("<u4")).cast("B") for r in rows]
-                parts = [_group(shares, place[q], sorted(group), length) for (q, _), group in spans.items()]
+                parts = [_group(*find(q, *rows[group[0][2]][5:]), sorted(group), length) for (q, _), group in spans.items()]
                 row, start, size, doc_size, window, offset = (np.concatenate(x) for x in zip(*parts))
                 crc = [zlib.crc32(wide[r][4 * s : 4 * (s + n)]) for r, s, n in zip(row.tolist(), start.tolist(), size.tolist())]
                 doc = pa.array([rows[r][0] for r in row.tolist()], pa.int64())
@@ -184,27 +227,75 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     held: chunks that a worker's cache holds, which changes its memory and time only.
     """
     small_batches(session(docs))
-    queue = _queue(docs, max_queues)
+    queue = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
     rows = docs.select("doc_id", "text", queue.alias("queue"))
     ids = written(rows.mapInArrow(_encode(tokenizer, end_id, held), "doc_id bigint, queue string, task int, at bigint, ids binary"), "packing-ids")
     sums = ids.groupBy("task", "queue").agg(F.max(F.col("at") + (F.octet_length("ids") / 2).cast("bigint")).alias("n"))
     earlier = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
     bases = written(sums.select("task", "queue", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "packing-bases")
-    totals = {r["queue"]: r["n"] for r in bases.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most max_queues rows
-    small = bases.count() <= BROADCAST_ROWS
+    weights = None if targets is None else {"-" if k is None else f"={k}": float(w) for k, w in targets.items()}
+    sized = bases.groupBy("queue").agg(F.sum("n").alias("n"))
+    totals = {r["queue"]: r["n"] for r in sized.limit(max_queues + 1).collect()}
+    more, most = [], BROADCAST_ROWS
+    if len(totals) <= max_queues:
+        find = _held(totals, weights)
+    else:
+        paths, find = _on_paths(sized, weights, max_queues)
+        bases, more, most = written(bases.join(paths, "queue"), "packing-paths"), ["place", "cuts"], BROADCAST_ROWS // 8
+    small = bases.count() <= most
+    based = ids.join(F.broadcast(bases.drop("n")) if small else bases.drop("n"), ["task", "queue"])
+    return based.select("doc_id", "queue", "base", "at", "ids", *more).mapInArrow(_cut(find, more, length), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+
+
+def _held(totals: dict[str, int], weights: dict[str, float] | None) -> Callable[..., tuple[Shares, int]]:
+    """Shares and places of few queues."""
     order = sorted(totals)
-    weights = None
-    if targets is not None:
-        weights = [float(targets.get(q[1:] if q.startswith("=") else None, 0.0)) for q in order]
-    shares = Shares([totals[q] for q in order], weights)
+    shares = Shares([totals[q] for q in order], None if weights is None else [weights.get(q, 0.0) for q in order])
     place = {q: i for i, q in enumerate(order)}
-    based = ids.join(F.broadcast(bases.drop("n")) if small else bases.drop("n"), ["task", "queue"])
-    return based.select("doc_id", "queue", "base", "at", "ids").mapInArrow(_cut(shares, place, length), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return lambda q: (shares, place[q])
+
 
+def _on_paths(sized: DataFrame, weights: dict[str, float] | None, most: int) -> tuple[DataFrame, Callable[..., tuple[Shares, int]]]:
+    """queue, place and cuts (of the last phase, at own shares) of many queues; shares and place from these.
 
-def _queue(docs: DataFrame, most: int) -> Column:
-    """The source as a queue's name ('=' and the source; '-' for null), or a hash of it if there are more than most."""
-    many = docs.select("source").distinct().limit(most + 1).count() > most
-    if many:
-        return F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(most)).cast("string"))
-    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
+    The driver holds the queues with a target, at most most - 1 cuts and one row a partition.
+    """
+    names = sorted(q for q, w in (weights or {}).items() if w > 0)
+    named = F.col("queue").isin(names)
+    ordered = sized.withColumn("rest", F.when(named, 0).otherwise(F.col("n")).cast("bigint")).repartitionByRange(fan_out(session(sized)), "queue").sortWithinPartitions("queue")
+    ordered = written(ordered.withColumn("row", F.monotonically_increasing_id()), "packing-queues").withColumn("part", F.shiftright("row", 33).cast("int"))
+    ends = {r["part"]: r for r in ordered.groupBy("part").agg(F.count("*").alias("rows"), F.sum("rest").alias("rest")).collect()}
+    first, ahead, size, total = [], [], 0, 0
+    for p in range(max(ends) + 1):
+        first.append(size)
+        ahead.append(total)
+        if p in ends:
+            size, total = size + ends[p]["rows"], total + ends[p]["rest"]
+    inside = F.coalesce(F.sum("rest").over(Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.get(longs(first), F.col("part")) + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = written(ordered.select("queue", "n", place.alias("place"), (F.get(longs(ahead), F.col("part")) + inside).alias("before")), "packing-places")
+    nodes, mids = [(0, size)], []
+    while 2 * len(nodes) <= most:  # the top of the tree
+        at = [(lo + hi) // 2 for lo, hi in nodes]
+        mids += at
+        nodes = [x for (lo, hi), mid in zip(nodes, at) for x in ((lo, mid), (mid, hi))]
+    top = {r["place"]: r["before"] for r in placed.where(F.col("place").isin(mids)).collect()}
+    node = range_of(F.col("place"), [lo for lo, _ in nodes[1:]])
+    paths = placed.withColumn("node", node).groupBy("node").applyInArrow(_paths(top, size), "queue string, place bigint, cuts array<bigint>")
+    phases: list = []
+    if names:
+        own = sorted((r["place"], r["n"], weights[r["queue"]]) for r in placed.where(named).collect())
+        phases = [Sparse([x[0] for x in own], give) for give in Shares._phases([x[1] for x in own], [x[2] for x in own])]
+    return paths, lambda q, place, cuts: (Shares.of(size, [*phases, Path(place, size, cuts, total)]), place)
+
+
+def _paths(top: dict[int, int], size: int):
+    """Of each node below the top, the counts at the cuts above each of its queues."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        places, before = table.column("place").to_pylist(), table.column("before").to_pylist()
+        cuts = [[top[m] if m in top else before[m - places[0]] for m in middles(p, size)] for p in places]
+        return pa.table([table.column("queue"), table.column("place"), pa.array(cuts, pa.list_(pa.int64()))], names=["queue", "place", "cuts"])
+
+    return run
