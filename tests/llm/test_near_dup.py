@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -83,6 +84,11 @@ def test_keys_of_near_signatures_meet():
         assert set(near_dup.chunk_keys(x)[0]) & set(near_dup.chunk_keys(y)[0])
 
 
+def test_second_bound_loses_less_than_the_first():
+    tail = lambda n, most: sum(math.comb(n, k) * 0.25**k * 0.75 ** (n - k) for k in range(most + 1, n + 1))
+    assert tail(near_dup.SYMBOLS, near_dup.RADIUS_ALL) < tail(near_dup.INDEXED, near_dup.RADIUS) / 5
+
+
 def test_edges(edges, unique, empty, clashing):
     texts = {r["doc_id"]: r["text"] for r in unique.collect()}
     assert result(edges) == brute(texts) == result(clashing)

@@ -10,8 +10,8 @@ at least 75 times the union.
    Two signatures that differ in at most ``RADIUS`` = 31 of them have, by pigeonhole, a chunk with at
    most one difference; dropping each symbol of each chunk in turn enumerates those, so the two share one of 64
    exact keys: no pair inside the threshold is missed. At a similarity of 0.75 the distance is 16 on
-   average with a deviation of 3.5, so 31 loses about one link in 100,000; the same margin holds for
-   the bound on all 128 symbols that sorts out false pairs.
+   average with a deviation of 3.5, so 31 loses about 1.5 links in 100,000 of those right at the threshold. The bound
+   on all 128 symbols, ``RADIUS_ALL`` = 56, only saves exact checks and loses about 1.2 in 1,000,000.
 3. First pass, linear: in each bucket of a key every class is paired with one pivot of its own, and
    each class keeps the ``PIVOTS`` nearest. These are confirmed on full sets, and their components found.
 4. Second pass, complete: buckets that still span several components are compared in full by
@@ -44,7 +44,7 @@ from .words import WordHashes, windows
 
 WIDTH, PERCENT = 5, 75
 INDEXED, SYMBOLS, CHUNK = 64, 128, 4
-RADIUS, RADIUS_ALL = 31, 51
+RADIUS, RADIUS_ALL = 31, 56
 PIVOTS, BLOCK = 2, 512
 
 _rng = np.random.default_rng(20240607)  # a fixed seed: signatures of all runs and workers agree
