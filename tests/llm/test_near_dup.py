@@ -108,6 +108,19 @@ def test_null_and_repeated_ids(spark):
     assert {r["kept"] for r in got if r["doc_id"] == 7} == {True}
 
 
+def test_groups_through_rows_without_id(spark):
+    """A chain 1 - (no id) - 2, and a group that has no id at all."""
+    w = [f"w{i}" for i in range(104)]
+    a, between, b = (" ".join(w[i : i + 90]) for i in (0, 7, 14))
+    other = [f"v{i}" for i in range(60)]
+    rows = [(1, a), (None, between), (2, b), (None, " ".join(other)), (None, " ".join(other)), (None, " ".join([*other, "end"])), (None, None), (None, "")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in got if r["component_id"]) == [(0, 1, False), (1, 1, True), (2, 1, False)]
+    rest = [r for r in got if not r["component_id"]]
+    assert len(rest) == 5 and [r["kept"] for r in rest if not r["n_shingles"]] == [True, True]
+    assert sorted(r["kept"] for r in rest if r["n_shingles"]) == [False, False, True]
+
+
 def test_components(spark):
     rng = random.Random(1)
     for n, m in ((1, 0), (50, 20), (200, 180), (60, 400)):

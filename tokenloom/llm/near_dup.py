@@ -24,7 +24,7 @@ Nothing of document order reaches the driver, no bucket is held whole in a task,
 intermediate tables are written to the shared folder.
 
 Edge cases: null or empty text links with nothing and is kept; null doc_id takes part, but can't
-name a component; repeated rows of one doc_id are equal sets and share a verdict (``deduplicated``
+name a component: of a group with a named document no row without doc_id is kept, of one without, one row; repeated rows of one doc_id are equal sets and share a verdict (``deduplicated``
 keeps one). Ties go to the smallest doc_id. Further columns are ignored or, in ``deduplicated``, kept.
 """
 
@@ -225,8 +225,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, sets = [], []
         for k, t in zip(b.column("node").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
             s = shingles(t, hashes)
-            if len(s) and node_of(set_key(s)) == k:  # another row of this doc_id may hold another text
-                node.append(k)
+            own = node_of(set_key(s)) if len(s) else None
+            if len(s) and k in (None, own):  # another row of this doc_id may hold another text
+                node.append(own)
                 sets.append(s.tobytes())
         yield pa.record_batch([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
@@ -244,9 +245,13 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sets_of(nodes: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """node, set of the given nodes, from the texts of their classes' first documents."""
-    texts = docs.join(nodes.join(reps.select("node", "doc_id"), "node"), "doc_id").select("node", "text")
-    sets = written(texts.mapInArrow(_sets, "node bigint, set binary").dropDuplicates(["node"]), "near-sets")
+    """node, set of the given nodes, from the texts of their classes' first documents; without doc_id, from all such rows."""
+    wanted, shape = nodes.join(reps.select("node", "doc_id"), "node"), "node bigint, set binary"
+    sets = docs.join(wanted, "doc_id").select("node", "text").mapInArrow(_sets, shape)
+    if reps.where("doc_id IS NULL").head(1):
+        nameless = docs.where("doc_id IS NULL").select(F.lit(None).cast("bigint").alias("node"), "text").mapInArrow(_sets, shape)
+        sets = sets.unionByName(nameless.join(wanted.where("doc_id IS NULL").select("node"), "node", "left_semi"))
+    sets = written(sets.dropDuplicates(["node"]), "near-sets")
     release(session(docs))
     return sets
 
@@ -264,6 +269,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
+    return _verdicts(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """near_duplicates, with node and group (the root of its component) of every row."""
     spark = session(docs)
     small_batches(spark)
     docs = docs.select("doc_id", "text")
@@ -290,11 +300,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         roots = written(components(links.unionByName(more)), "near-roots")
     member = reps.select("node", "doc_id").join(roots, "node")
     names = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = member.join(names, "root").select("node", "component_id")
+    of_node = member.join(names, "root").select("node", "root", "component_id")
     alone = reps.select("node", F.col("doc_id").alias(f"{OWN}first"))
     out = signed.select("doc_id", "node", "n").join(alone, "node", "left").join(of_node, "node", "left")
     component = F.coalesce("component_id", f"{OWN}first", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "node", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("group"), component.alias("component_id"))
+    plain = out.withColumn("kept", F.col("node").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    if not reps.where("doc_id IS NULL").head(1):
+        return plain
+    nameless = F.col("node").isNotNull() & F.col("component_id").isNull()
+    one = F.row_number().over(Window.partitionBy("group").orderBy("node")) == 1
+    return plain.where(~nameless).unionByName(out.where(nameless).withColumn("kept", one))
 
 
 def _completed(entries: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
