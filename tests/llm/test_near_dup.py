@@ -121,6 +121,16 @@ def test_groups_through_rows_without_id(spark):
     assert sorted(r["kept"] for r in rest if r["n_shingles"]) == [False, False, True]
 
 
+def test_repeated_ids_of_different_texts(spark):
+    """Of one doc_id, a copy of another document goes and the unlinked text stays; rows without id go by their text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a, 0), (5, a + " end", 1), (5, b, 2), (5, b, 3), (None, a, 4), (None, c, 5), (None, c + " end", 6), (None, c, 7), (None, "", 8), (None, None, 9), (6, None, 10), (6, "", 11), (7, "x y", 12)]
+    kept = near_dup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, node long"))
+    got = [tuple(r) for r in kept.collect()]
+    assert kept.columns == ["doc_id", "text", "node"]
+    assert sorted((d or 0, (t or "")[:1]) for d, t, _ in got) == [(0, ""), (0, ""), (0, "c"), (3, "a"), (5, "b"), (6, ""), (7, "x")]
+
+
 def test_components(spark):
     rng = random.Random(1)
     for n, m in ((1, 0), (50, 20), (200, 180), (60, 400)):

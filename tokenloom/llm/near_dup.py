@@ -24,8 +24,8 @@ Nothing of document order reaches the driver, no bucket is held whole in a task,
 intermediate tables are written to the shared folder.
 
 Edge cases: null or empty text links with nothing and is kept; null doc_id takes part, but can't
-name a component: of a group with a named document no row without doc_id is kept, of one without, one row; repeated rows of one doc_id are equal sets and share a verdict (``deduplicated``
-keeps one). Ties go to the smallest doc_id. Further columns are ignored or, in ``deduplicated``, kept.
+name a component: of a group with a named document no row without doc_id is kept, of one without, one row; repeated rows of one doc_id with equal sets share a verdict (``deduplicated``
+keeps one of a group, and each unlinked text of a repeated doc_id). Ties go to the smallest doc_id. Further columns are ignored or, in ``deduplicated``, kept.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import OWN, forget, lean, release, session, small_batches, written
 from .graph import components
@@ -337,11 +338,39 @@ def _completed(entries: DataFrame, roots: DataFrame, reps: DataFrame, docs: Data
     return links
 
 
+def _noded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the node of their text."""
+    lean()
+    hashes = WordHashes()
+    for b in batches:
+        nodes = []
+        for t in b.column("text").cast(pa.binary()).to_pylist():
+            s = shingles(t, hashes)
+            nodes.append(node_of(set_key(s)) if len(s) else None)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], names=[*b.schema.names, f"{OWN}node"])
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: all its columns, of rows that near_duplicates keeps; of repeated rows of one doc_id, one."""
-    verdict = written(near_duplicates(docs).where("kept").select(F.col("doc_id").alias(f"{OWN}id")).distinct(), "near-kept")
-    out = docs.join(verdict, docs["doc_id"].eqNullSafe(verdict[f"{OWN}id"]), "left_semi")
-    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").head(1):
-        named = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        return named.unionByName(out.where("doc_id IS NULL"))
-    return out
+    """docs with one document of each group: all its columns, of rows that near_duplicates keeps.
+
+    Rows whose doc_id is unique go by it; those without one or with a repeated one by their text too, so of rows
+    of one doc_id with different, unlinked texts each stays.
+    """
+    i, node, group, rank = (f"{OWN}{x}" for x in ("id", "node", "group", "rank"))
+    kept = _verdicts(docs).where("kept").select(F.col("doc_id").alias(i), F.col("node").alias(node), F.col("group").alias(group)).distinct()
+    kept = written(kept, "near-kept")
+    often = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(i))
+    single = docs.join(kept, docs["doc_id"] == kept[i], "left_semi")
+    if not often.head(1) and not docs.where("doc_id IS NULL").head(1):
+        return single
+    often = written(often, "near-often")
+    single = single.join(often, single["doc_id"] == often[i], "left_anti")
+    odd = docs.join(often, docs["doc_id"] == often[i], "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    odd = odd.mapInArrow(_noded, StructType([*docs.schema.fields, StructField(node, LongType())]))
+    verdict = kept.withColumnRenamed(node, f"{OWN}of")
+    chosen = odd.join(verdict, odd["doc_id"].eqNullSafe(verdict[i]) & odd[node].eqNullSafe(verdict[f"{OWN}of"]))
+    blank = F.col("doc_id").isNull() & F.col(node).isNull()  # link with nothing and have no id to repeat
+    by = Window.partitionBy(group, F.when(F.col(node).isNull(), F.col("doc_id"))).orderBy(node)
+    one = chosen.where(~blank).withColumn(rank, F.row_number().over(by)).where(F.col(rank) == 1)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return single.unionByName(one.select(*columns)).unionByName(chosen.where(blank).select(*columns))
