@@ -1,169 +1,52 @@
 """Mixture-controlled packing (operator 8): deficit round-robin over source queues.
 
-Each source is a queue of its documents' tokens. Window after window is filled with 4096 tokens: the
-sources are visited in a fixed order and each gives its quantum, the target share of the window plus
-the deficit carried from earlier windows, in whole tokens. A document is cut wherever a quantum ends,
-so every window but the last is full.
-
-The state of the round-robin after n tokens has a closed form, so no task waits for another: the
-sources are the leaves of a binary tree, and a node with t tokens below it, l of them on the left,
-passes n * l / t, rounded, of its first n to the left and the rest to the right. Both counts never
-fall, add up to n, and end at the exact totals; in every prefix each source is within half a token a
-level of the tree of its target share, which is the bounded deficit of the round-robin. A task that holds tokens
-[a, b) of a queue finds their windows and offsets from this alone, so deficits cross windows
-and partitions alike.
-
-Targets: None gives the corpus's own shares, which keeps every window at the mixture to the end
-(in the pipeline, the mixture that the stage before made). Other targets run in phases: while all
-sources last, at the targets; when one runs dry, the rest share in proportion; sources without a target
-come last, at their own shares.
-
-Plan: texts are encoded once, in the order they are read, into a scratch table with each row's
-position inside its task's part of its queue; parts and sources are summed (narrow), and a second
-pass over the scratch table cuts the pieces. No text and no ids are shuffled, so a hot source is
-only a long queue. Every source is a queue of its own at any count. Up to ``MAX_QUEUES`` the driver holds
-one count for each; beyond, the counts stay a table, the driver holds the top of the tree and the sources
-with a target, and each queue's row carries the counts on its path, of the same tree: the pieces are the same. The
-counts of each (task, queue) are broadcast up to ``BROADCAST_ROWS`` (an eighth of it with paths) and joined by a
-shuffle beyond.
+Each source is a queue of its documents' tokens, cut into stretches: a document of up to ``STRETCH`` tokens is one,
+a longer one is cut after each ``STRETCH``. In a round every source gains a quantum, its target share of a
+window of 4096 tokens, and gives its next stretches as long as its deficit (what it gained and has not
+given yet) covers them; what is left is carried to the next round. A source whose quantum is less than its next stretch
+waits until it has saved enough, so rare sources come in whole stretches; one that runs dry drops out and the others
+go on. The rounds in a row, sources in order of name, are one stream that is cut into windows of 4096 tokens, so
+all windows but the last are full, no source is ever further than one stretch from its target, and windows need
+not end where rounds do.
+
+Nothing of this runs step by step. What a source has gained by round r is r quanta, and it has given the longest run
+of stretches inside that; so a stretch that ends e tokens into its queue is given in round ceil(e / quantum), whatever
+the other sources do, and deficits cross windows and partitions by arithmetic alone. Quanta are whole multiples of
+1 / ``UNIT`` token, at least one, and all arithmetic is exact up to 10**14 tokens a source.
+
+Targets: weights by source; sources without one come after all others, at their own shares. Without targets a source
+weighs its tokens to the power ``alpha``: 1 keeps the corpus's own shares to the end (in the pipeline, the mixture that
+the stage before made), less than 1 raises small sources.
+
+Plan: texts are encoded once, in the order they are read, into a scratch table with each row's position inside its
+task's part of its queue; sums by (task, queue) give positions in the queue, and sums by queue the quanta. Bounds
+cut the rounds into as many parts of about equal tokens as a shuffle has partitions, a narrow pass counts the tokens of each
+part exactly, and one shuffle brings the ids of each part together in the order of the stream. A hot source is a long
+queue that all parts share. Sources stay in tables at any count; the driver sees one bound and one count a part.
 
 Edge cases: null text counts as empty (only the end id); null source is a source of its own; rows
-of no table give no pieces; repeated rows are packed as often as they stand, each at its own place.
-Further columns are ignored.
+of no table give no pieces; repeated rows are packed as often as they stand, each at its own place; null
+doc_id is kept. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fan_out, lean, longs, range_of, session, small_batches, written
-from .encoding import HELD, encoder
-
-LENGTH, END_ID, MAX_QUEUES = 4096, 2, 4096
-BROADCAST_ROWS = 500_000
-
-
-def _scale(n: np.ndarray, left: int, all_: int) -> np.ndarray:
-    """n * left / all_ rounded to the nearest whole number (halves up), exact at any size."""
-    if all_ < 1 << 30:
-        return (2 * n * left + all_) // (2 * all_)
-    return np.array([(2 * x * left + all_) // (2 * all_) for x in n.tolist()], dtype=np.int64)
-
-
-class Sparse:
-    """Tokens of the queues before a place, where few of all have any."""
-
-    def __init__(self, places: list[int], counts: list[int]):
-        self.places, self.sums = np.array(places, np.int64), np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])
-
-    def __getitem__(self, place: int) -> int:
-        return int(self.sums[np.searchsorted(self.places, place)])
-
-
-class Path:
-    """Tokens of the queues before a place, for the places on one queue's path down the tree."""
-
-    def __init__(self, place: int, size: int, cuts: list[int], total: int):
-        self.known = {0: 0, size: total, **dict(zip(middles(place, size), cuts))}
-
-    def __getitem__(self, place: int) -> int:
-        return self.known[place]
-
-
-def middles(place: int, size: int) -> Iterator[int]:
-    """Where the tree of size queues is cut, from its root to the leaf at place."""
-    lo, hi = 0, size
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        yield mid
-        lo, hi = (lo, mid) if place < mid else (mid, hi)
-
-
-class Shares:
-    """How many of the first n tokens of the merged order each queue gives."""
-
-    def __init__(self, totals: list[int], targets: list[float] | None = None):
-        self._hold(len(totals), [np.concatenate([[0], np.cumsum(np.array(p, dtype=np.int64))]) for p in self._phases([int(t) for t in totals], targets)])
-
-    @classmethod
-    def of(cls, size: int, sums: list) -> Shares:
-        """From the tokens of the queues before each place, phase by phase."""
-        out = cls.__new__(cls)
-        out._hold(size, sums)
-        return out
-
-    def _hold(self, size: int, sums: list) -> None:
-        self.size, self.sums, self.starts = size, sums, [0]
-        for s in sums:
-            self.starts.append(self.starts[-1] + int(s[size]))
-
-    @staticmethod
-    def _phases(totals: list[int], targets: list[float] | None) -> list[list[int]]:
-        """Token counts of each queue, phase after phase; a phase ends when a queue runs dry."""
-        if targets is None:
-            return [totals] if sum(totals) else []
-        left, out = list(totals), []
-        while any(left):
-            live = [i for i, t in enumerate(left) if t]
-            weight = {i: targets[i] for i in live if targets[i] > 0}
-            if not weight:  # queues without a target come last
-                out.append(left)
-                break
-            stretch = min(left[i] / w for i, w in weight.items())
-            give = [0] * len(left)
-            for i, w in weight.items():
-                give[i] = min(left[i], max(1, round(stretch * w)))
-            left = [a - b for a, b in zip(left, give)]
-            out.append(give)
-        return out
-
-    @property
-    def total(self) -> int:
-        return self.starts[-1]
-
-    def upto(self, q: int, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of queue q, and of the queues before it, among the first n."""
-        own, before = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-        for sums, start in zip(self.sums, self.starts):
-            m = np.clip(n - start, 0, int(sums[self.size]))
-            lo, hi, ahead = 0, self.size, np.zeros(len(n), np.int64)
-            while hi - lo > 1:
-                mid = (lo + hi) // 2
-                all_, left = int(sums[hi] - sums[lo]), int(sums[mid] - sums[lo])
-                part = _scale(m, left, all_) if all_ else np.zeros(len(n), np.int64)
-                if q < mid:
-                    hi, m = mid, part
-                else:
-                    lo, m, ahead = mid, m - part, ahead + part
-            own, before = own + m, before + ahead
-        return own, before
-
-    def first_window(self, q: int, at: int, length: int) -> int:
-        """The window that token at of queue q falls into: bisection over the monotone counts."""
-        lo, hi = 0, -(-self.total // length)
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            own, _ = self.upto(q, np.array([min(mid * length, self.total)], dtype=np.int64))
-            lo, hi = (mid, hi) if own[0] <= at else (lo, mid)
-        return lo
-
-    def pieces(self, q: int, begin: int, end: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows from that of token begin to that of token end - 1: window, first token of q, its offset there (one row more closes them)."""
-        a, b = self.first_window(q, begin, length), self.first_window(q, end - 1, length)
-        t = np.arange(a, b + 2, dtype=np.int64)
-        own, before = self.upto(q, np.minimum(t * length, self.total))
-        return t, own, before
+from .common import fan_out, lean, range_bounds, session, small_batches, written
+from .encoding import HELD, binary, drop_encoders, encoder
 
+LENGTH, END_ID, STRETCH, UNIT = 4096, 2, 512, 1 << 16
+SAMPLES, BROADCAST_ROWS = 1000, 500_000
 
-def _encode(tokenizer: str, end_id: int, held: int):
-    end = np.array([end_id], dtype="<u2").tobytes()
 
+def _encode(tokenizer: str, end_id: int, held: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -172,130 +55,164 @@ def _encode(tokenizer: str, end_id: int, held: int):
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 some = b.slice(i, 512)
-                ids = [x + end for x in enc.encode(some.column("text").to_pylist())]
+                ids, n = enc.encode(some.column("text").cast(pa.binary()).to_pylist(), end_id)
                 starts = []
-                for q, x in zip(some.column("queue").to_pylist(), ids):
+                for q, x in zip(some.column("queue").to_pylist(), n.tolist()):
                     starts.append(at.get(q, 0))
-                    at[q] = starts[-1] + len(x) // 2
-                n = some.num_rows
-                yield pa.record_batch([some.column("doc_id"), some.column("queue"), pa.array([task] * n, pa.int32()), pa.array(starts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "queue", "task", "at", "ids"])
+                    at[q] = starts[-1] + x
+                rows = [some.column("doc_id"), some.column("queue"), pa.array([task] * len(n), pa.int32()), pa.array(starts, pa.int64()), pa.array(n)]
+                yield pa.record_batch([*rows, binary(ids, 2 * np.append(0, np.cumsum(n)))], names=["doc_id", "queue", "task", "at", "n", "ids"])
 
     return run
 
 
-def _cut(find: Callable[..., tuple[Shares, int]], more: list[str], length: int):
-    """find: shares and place of a queue, from its name and the columns more; a row's base: the tokens of earlier tasks in its queue."""
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+class Runs:
+    """What each document of a batch gives in one round: row, start, length and round of each run of its stretches."""
+
+    def __init__(self, b: pa.RecordBatch, stretch: int):
+        begin, n, quantum, after = (b.column(c).to_numpy() for c in ("begin", "n", "quantum", "after"))
+        many = -(-n // stretch)
+        row = np.repeat(np.arange(len(n)), many)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        end = np.minimum((nth + 1) * stretch, n[row])
+        rounds = after[row] - -((begin[row] + end) * UNIT) // quantum[row]
+        first = np.ones(len(row), dtype=bool)
+        first[1:] = (row[1:] != row[:-1]) | (rounds[1:] != rounds[:-1])
+        self.row, self.start, self.round = row[first], (nth * stretch)[first], rounds[first]
+        last = np.append(first[1:], True)[: len(first)]
+        self.length = end[last] - self.start
+
 
+def _sizes(bounds: list[int], stretch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            r = Runs(b, stretch)
+            part, at = np.unique(np.searchsorted(bounds, r.round, side="right"), return_inverse=True)
+            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(np.bincount(at, weights=r.length, minlength=len(part)).astype(np.int64))], names=["part", "n"])
+
+    return run
+
+
+def _dealt(bounds: list[int], stretch: int):
+    names = ["part", "round", "queue", "pos", "doc_id", "start", "doc_tokens", "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         lean()
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                some = b.slice(i, 512)
-                rows = list(zip(*(some.column(c).to_pylist() for c in ("doc_id", "queue", "base", "at", "ids", *more))))
-                spans: dict = {}
-                for r, (_, q, base, at, ids, *_) in enumerate(rows):
-                    spans.setdefault((q, base), []).append((base + at, base + at + len(ids) // 2, r))
-                wide = [memoryview(np.frombuffer(r[4], dtype="<u2").astype("<u4")).cast("B") for r in rows]
-                parts = [_group(*find(q, *rows[group[0][2]][5:]), sorted(group), length) for (q, _), group in spans.items()]
-                row, start, size, doc_size, window, offset = (np.concatenate(x) for x in zip(*parts))
-                crc = [zlib.crc32(wide[r][4 * s : 4 * (s + n)]) for r, s, n in zip(row.tolist(), start.tolist(), size.tolist())]
-                doc = pa.array([rows[r][0] for r in row.tolist()], pa.int64())
-                yield pa.record_batch([doc, *(pa.array(x, pa.int64()) for x in (start, size, crc, doc_size, window, offset))], names=columns)
+            r = Runs(b, stretch)
+            row = pa.array(r.row)
+            ids = b.column("ids").cast(pa.binary())
+            at = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+            pos, begins = b.column("begin").to_numpy()[r.row] + r.start, at[r.row] + 2 * r.start
+            cells = [pa.array(np.searchsorted(bounds, r.round, side="right").astype(np.int32)), pa.array(r.round), b.column("queue").take(row), pa.array(pos), b.column("doc_id").take(row), pa.array(r.start), b.column("n").take(row)]
+            yield pa.record_batch([*cells, binary(ids.buffers()[2] or b"", np.append(begins, at[-1]))], names=names)
 
     return run
 
 
-def _group(shares: Shares, q: int, group: list[tuple[int, int, int]], length: int) -> tuple[np.ndarray, ...]:
-    """Row, start, length, document's length, window and offset of each piece of documents (begin, end, row) of queue q."""
-    begin, end, row = (np.array(x, dtype=np.int64) for x in zip(*group))
-    t, own, before = shares.pieces(q, int(begin[0]), int(end.max()), length)
-    cuts = np.unique(np.concatenate([begin, end, own[(own > begin[0]) & (own < end.max())]]))
-    s, e = cuts[:-1], cuts[1:]
-    r = np.searchsorted(begin, s, side="right") - 1
-    inside = s < end[r]  # documents of other tasks may lie between
-    s, e, r = s[inside], e[inside], r[inside]
-    w = np.searchsorted(own, s, side="right") - 1
-    ahead = before[w + 1] - before[w]  # what the queues before this one give the window
-    return row[r], s - begin[r], e - s, (end - begin)[r], t[w], ahead + s - own[w]
+def _filled(bases: dict[int, int], length: int):
+    """Windows of the stream; runs of one document that meet inside a window are one piece."""
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        part, at = -1, 0
+        held: list = []  # the last piece: the columns out, and the queue and place that would go on with it
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column("ids").cast(pa.binary())
+            cut = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // 2
+            n, parts = np.diff(cut), b.column("part").to_numpy()
+            new = np.flatnonzero(np.append(parts[0] != part, parts[1:] != parts[:-1]))
+            before = np.cumsum(n) - n
+            shift = np.full(len(n), at, dtype=np.int64)
+            for i in new.tolist():
+                shift[i:] = bases[int(parts[i])] - before[i]
+            begin = before + shift
+            part, at = int(parts[-1]), int(begin[-1] + n[-1])
+            window = begin // length
+            many = (begin + n - 1) // length - window + 1
+            row = np.repeat(np.arange(len(n)), many)
+            w = window[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            lo, hi = np.maximum(begin[row], w * length), np.minimum(begin[row] + n[row], (w + 1) * length)
+            skip = lo - begin[row]
+            start, pos, off = b.column("start").to_numpy()[row] + skip, b.column("pos").to_numpy()[row] + skip, cut[row] - cut[0] + skip
+            flat = np.frombuffer(ids.buffers()[2], dtype="<u2")[cut[0] : cut[-1]] if len(n) and cut[-1] > cut[0] else np.zeros(0, "<u2")
+            wide = memoryview(flat.astype("<u4")).cast("B")
+            docs, queues, tokens = (b.column(c).to_pylist() for c in ("doc_id", "queue", "doc_tokens"))
+            out = []
+            for r, s, p, o, k, x, z in zip(row.tolist(), start.tolist(), pos.tolist(), off.tolist(), (hi - lo).tolist(), w.tolist(), (lo - w * length).tolist()):
+                data = wide[4 * o : 4 * (o + k)]
+                if held and s and held[5] == x and held[8] == p and held[7] == queues[r] and held[1] + held[2] == s:
+                    held[3], held[2], held[8] = zlib.crc32(data, held[3]), held[2] + k, p + k
+                else:
+                    if held:
+                        out.append(held[:7])
+                    held = [docs[r], s, k, zlib.crc32(data), tokens[r], x, z, queues[r], p + k]
+            yield _table(out, names)
+        if held:
+            yield _table([held[:7]], names)
+
+    return run
 
 
-def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, targets: dict | None = None, max_queues: int = MAX_QUEUES, held: int = HELD) -> DataFrame:
+def _table(rows: list[list], names: list[str]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names))], names=names)
+
+
+def quanta(queues: DataFrame, targets: dict | None, alpha: float, length: int = LENGTH) -> DataFrame:
+    """queue, tokens, quantum (in 1 / UNIT tokens a round) and after (the round before its first) of each queue."""
+    spark = session(queues)
+    if targets is None:
+        weighed = queues.withColumn("weight", F.pow(F.col("tokens").cast("double"), F.lit(float(alpha))))
+    else:
+        named = spark.createDataFrame([("-" if k is None else f"={k}", float(w)) for k, w in targets.items()], "queue string, weight double")
+        weighed = queues.join(named, "queue", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
+    late = F.col("weight") == 0
+    weighed = weighed.withColumn("late", late).withColumn("weight", F.when(late, F.col("tokens").cast("double")).otherwise(F.col("weight")))
+    whole = {r["late"]: r["w"] for r in weighed.groupBy("late").agg(F.sum("weight").alias("w")).collect()}
+    of = F.when(F.col("late"), F.lit(whole.get(True) or 1.0)).otherwise(F.lit(whole.get(False) or 1.0))
+    each = weighed.withColumn("quantum", F.greatest(F.lit(1), F.round(F.col("weight") / of * F.lit(float(length * UNIT)))).cast("bigint"))
+    each = written(each.select("queue", "tokens", "late", "quantum"), "packing-quanta")
+    ends = F.expr(f"(tokens * {UNIT} + quantum - 1) div quantum")
+    last = each.where("NOT late").agg(F.max(ends).alias("r")).head()["r"] or 0
+    return each.select("queue", "tokens", "quantum", F.when(F.col("late"), F.lit(last)).otherwise(F.lit(0)).cast("bigint").alias("after"))
+
+
+def round_bounds(each: DataFrame, parts: int) -> list[int]:
+    """Rounds that cut the stream into parts of about equal tokens, from tokens at even distances of every queue."""
+    total = each.agg(F.sum("tokens").alias("n")).head()["n"] or 0
+    step = max(1, total // (SAMPLES * parts))
+    first = F.pmod(F.xxhash64("queue"), F.lit(step))
+    at = each.withColumn("first", first).where("first < tokens").withColumn("at", F.explode(F.sequence("first", F.col("tokens") - 1, F.lit(step).cast("bigint"))))
+    return range_bounds(at.withColumn("round", F.expr(f"after + ((at + 1) * {UNIT} + quantum - 1) div quantum")), "round", parts)
+
+
+def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, targets: dict | None = None, alpha: float = 1.0, stretch: int = STRETCH, held: int = HELD) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    targets: source to weight (None key: rows without a source); None for the corpus's own shares.
+    targets: source to weight (None key: rows without a source); None: tokens to the power alpha.
     held: chunks that a worker's cache holds, which changes its memory and time only.
     """
-    small_batches(session(docs))
+    spark = session(docs)
+    small_batches(spark)
     queue = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
     rows = docs.select("doc_id", "text", queue.alias("queue"))
-    ids = written(rows.mapInArrow(_encode(tokenizer, end_id, held), "doc_id bigint, queue string, task int, at bigint, ids binary"), "packing-ids")
-    sums = ids.groupBy("task", "queue").agg(F.max(F.col("at") + (F.octet_length("ids") / 2).cast("bigint")).alias("n"))
+    ids = written(rows.mapInArrow(_encode(tokenizer, end_id, held), "doc_id bigint, queue string, task int, at bigint, n bigint, ids binary"), "packing-ids")
+    sums = ids.groupBy("task", "queue").agg(F.max(F.col("at") + F.col("n")).alias("tokens"))
     earlier = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
-    bases = written(sums.select("task", "queue", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "packing-bases")
-    weights = None if targets is None else {"-" if k is None else f"={k}": float(w) for k, w in targets.items()}
-    sized = bases.groupBy("queue").agg(F.sum("n").alias("n"))
-    totals = {r["queue"]: r["n"] for r in sized.limit(max_queues + 1).collect()}
-    more, most = [], BROADCAST_ROWS
-    if len(totals) <= max_queues:
-        find = _held(totals, weights)
-    else:
-        paths, find = _on_paths(sized, weights, max_queues)
-        bases, more, most = written(bases.join(paths, "queue"), "packing-paths"), ["place", "cuts"], BROADCAST_ROWS // 8
-    small = bases.count() <= most
-    based = ids.join(F.broadcast(bases.drop("n")) if small else bases.drop("n"), ["task", "queue"])
-    return based.select("doc_id", "queue", "base", "at", "ids", *more).mapInArrow(_cut(find, more, length), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
-
-
-def _held(totals: dict[str, int], weights: dict[str, float] | None) -> Callable[..., tuple[Shares, int]]:
-    """Shares and places of few queues."""
-    order = sorted(totals)
-    shares = Shares([totals[q] for q in order], None if weights is None else [weights.get(q, 0.0) for q in order])
-    place = {q: i for i, q in enumerate(order)}
-    return lambda q: (shares, place[q])
-
-
-def _on_paths(sized: DataFrame, weights: dict[str, float] | None, most: int) -> tuple[DataFrame, Callable[..., tuple[Shares, int]]]:
-    """queue, place and cuts (of the last phase, at own shares) of many queues; shares and place from these.
-
-    The driver holds the queues with a target, at most most - 1 cuts and one row a partition.
-    """
-    names = sorted(q for q, w in (weights or {}).items() if w > 0)
-    named = F.col("queue").isin(names)
-    ordered = sized.withColumn("rest", F.when(named, 0).otherwise(F.col("n")).cast("bigint")).repartitionByRange(fan_out(session(sized)), "queue").sortWithinPartitions("queue")
-    ordered = written(ordered.withColumn("row", F.monotonically_increasing_id()), "packing-queues").withColumn("part", F.shiftright("row", 33).cast("int"))
-    ends = {r["part"]: r for r in ordered.groupBy("part").agg(F.count("*").alias("rows"), F.sum("rest").alias("rest")).collect()}
-    first, ahead, size, total = [], [], 0, 0
-    for p in range(max(ends) + 1):
-        first.append(size)
-        ahead.append(total)
-        if p in ends:
-            size, total = size + ends[p]["rows"], total + ends[p]["rest"]
-    inside = F.coalesce(F.sum("rest").over(Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.get(longs(first), F.col("part")) + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
-    placed = written(ordered.select("queue", "n", place.alias("place"), (F.get(longs(ahead), F.col("part")) + inside).alias("before")), "packing-places")
-    nodes, mids = [(0, size)], []
-    while 2 * len(nodes) <= most:  # the top of the tree
-        at = [(lo + hi) // 2 for lo, hi in nodes]
-        mids += at
-        nodes = [x for (lo, hi), mid in zip(nodes, at) for x in ((lo, mid), (mid, hi))]
-    top = {r["place"]: r["before"] for r in placed.where(F.col("place").isin(mids)).collect()}
-    node = range_of(F.col("place"), [lo for lo, _ in nodes[1:]])
-    paths = placed.withColumn("node", node).groupBy("node").applyInArrow(_paths(top, size), "queue string, place bigint, cuts array<bigint>")
-    phases: list = []
-    if names:
-        own = sorted((r["place"], r["n"], weights[r["queue"]]) for r in placed.where(named).collect())
-        phases = [Sparse([x[0] for x in own], give) for give in Shares._phases([x[1] for x in own], [x[2] for x in own])]
-    return paths, lambda q, place, cuts: (Shares.of(size, [*phases, Path(place, size, cuts, total)]), place)
-
-
-def _paths(top: dict[int, int], size: int):
-    """Of each node below the top, the counts at the cuts above each of its queues."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        places, before = table.column("place").to_pylist(), table.column("before").to_pylist()
-        cuts = [[top[m] if m in top else before[m - places[0]] for m in middles(p, size)] for p in places]
-        return pa.table([table.column("queue"), table.column("place"), pa.array(cuts, pa.list_(pa.int64()))], names=["queue", "place", "cuts"])
-
-    return run
+    sums = written(sums.withColumn("base", F.coalesce(F.sum("tokens").over(earlier), F.lit(0))), "packing-sums")
+    each = quanta(sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")), targets, alpha, length)
+    bases = written(sums.drop("tokens").join(each.drop("tokens"), "queue"), "packing-bases")
+    parts = fan_out(spark)
+    bounds = round_bounds(each, parts)
+    placed = ids.join(F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases, ["task", "queue"]).withColumn("begin", F.col("base") + F.col("at"))
+    sizes = placed.select("begin", "n", "quantum", "after").mapInArrow(_sizes(bounds, stretch), "part int, n bigint").groupBy("part").agg(F.sum("n").alias("n")).collect()  # one row a part
+    ahead, total = {}, 0
+    for r in sorted(sizes, key=lambda r: r["part"]):
+        ahead[r["part"]], total = total, total + r["n"]
+    runs = placed.select("doc_id", "queue", "begin", "n", "quantum", "after", "ids").mapInArrow(_dealt(bounds, stretch), "part int, round bigint, queue string, pos bigint, doc_id bigint, start bigint, doc_tokens bigint, ids binary")
+    stream = runs.repartitionById(parts, "part").sortWithinPartitions("part", "round", "queue", "pos")
+    return stream.mapInArrow(_filled(ahead, length), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")

@@ -49,7 +49,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    # target mixture: the sources' tokens to the power that mixing uses
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), alpha=mixing.ALPHA)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
