@@ -80,12 +80,15 @@ def fan_out(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
-    """Ascending inner bounds that cut key into about equal ranges; at most parts - 1 numbers reach the driver."""
+def range_bounds(df: DataFrame, key: str, parts: int, repeats: bool = False) -> list[int]:
+    """Ascending inner bounds that cut key into about equal ranges; at most parts - 1 numbers reach the driver.
+
+    repeats: a key that fills several ranges is a bound as often.
+    """
     if parts < 2:
         return []
     row = df.agg(F.percentile_approx(F.col(key), [i / parts for i in range(1, parts)], max(10_000, 20 * parts)).alias("b")).head()
-    return sorted(set(row["b"] or []))
+    return sorted((row["b"] or []) if repeats else set(row["b"] or []))
 
 
 def longs(values: list[int | None]) -> Column:
@@ -93,18 +96,19 @@ def longs(values: list[int | None]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
 
-def range_of(key: Column, bounds: list[int]) -> Column:
-    """How many bounds are at or below key (null: -1), by binary search inside the JVM."""
-    if not bounds:
+def range_of(key: Column, bounds: list[int], below: bool = False) -> Column:
+    """How many bounds are at or below key (below: only below; null: -1), by binary search inside the JVM."""
+    if not bounds:  # one range
         return F.when(key.isNull(), F.lit(-1)).otherwise(F.lit(0))
     steps, w = [], 1
     while w <= len(bounds):
         steps.insert(0, w)
         w *= 2
     table = longs(bounds)
+    passed = lambda x: x < key if below else x <= key
     found = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
-        lambda acc, s: F.when((acc + s <= len(bounds)) & (F.get(table, acc + s - 1) <= key), acc + s).otherwise(acc),
+        lambda acc, s: F.when((acc + s <= len(bounds)) & passed(F.get(table, acc + s - 1)), acc + s).otherwise(acc),
     )
     return F.when(key.isNull(), F.lit(-1)).otherwise(found)

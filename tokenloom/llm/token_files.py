@@ -3,18 +3,18 @@
 Format: a table of blocks, each of some documents that follow one another by doc_id: each id is replaced by its rank by falling frequency in the whole
 corpus (ties by id) and stored in one to four bytes; two-bit lengths, four to a control byte, stand
 apart from the data bytes (Stream VByte, Lemire, Kurz and Rupp 2018). A side table lists the ids by
-rank. Columns of a block: part and seq (its place in the ascending order of doc_id), start (ids of
-all blocks before it), doc_ids, n_tokens (arrays), control, data (binary).
+rank. Blocks lie in one folder for each doc_id range, in ascending order of their names (part=000000 ...). Columns of a block: part and seq
+(its place in the ascending order of doc_id), start (ids of all blocks before it), doc_ids, n_tokens (arrays), control, data (binary).
 Decoding expands control bytes through a 256-row numpy table of lengths and gathers the data bytes;
 there is no step per id.
 
-Plan: one shuffle of the texts into doc_id ranges; each is encoded once and kept as 16-bit ids in a
-scratch table, where each task also leaves the counts of its ids, which are summed per id; the scratch
+Plan: one shuffle of the texts into doc_id ranges, as many as a shuffle has partitions and each a partition of its own; each is encoded once
+and kept as 16-bit ids in a scratch table, where each task also leaves the counts of its ids, which are summed per id; the scratch
 table is then coded in its own order. Every task holds one Arrow batch and one block. A task
 that is run again writes the same rows, under Spark's commit protocol.
 
 Edge cases: null text counts as the empty text, whose only id is the end id; rows of null doc_id
-come first and rows of one doc_id are ordered by a hash of the text; an empty table makes an empty
+come first and rows of one doc_id are ordered by a hash of the text, inside each range if they are so many that they fill several; an empty table makes an empty
 file table. Further columns are ignored.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import OWN, fan_out, forget, lean, range_bounds, range_of, release, scratch_path, session, small_batches, written
-from .encoding import drop_encoders, encoder
+from .encoding import binary, drop_encoders, encoder
 
 END_ID = 0
 BLOCK_IDS = 1 << 18
@@ -72,27 +72,25 @@ def _ids(tokenizer: str, end_id: int):
 
     The last row of a task has no part but the counts of all its ids, as 64-bit numbers in id order.
     """
-    end = np.array([end_id], dtype="<u2").tobytes()
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("before", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         enc = encoder(tokenizer)
-        part, seq, before = None, 0, 0
+        part, seq, before = -1, 0, 0
         counts = np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 some = b.slice(at, 512)
-                ids = [x + end for x in enc.encode(some.column("text").to_pylist())]
-                counts += np.bincount(np.frombuffer(b"".join(ids), dtype="<u2"), minlength=1 << 16)
-                seqs, befores = [], []
-                for p, x in zip(some.column("part").to_pylist(), ids):
-                    if p != part:
-                        part, seq, before = p, 0, 0
-                    seqs.append(seq)
-                    befores.append(before)
-                    seq, before = seq + 1, before + len(x) // 2
-                yield pa.record_batch([some.column("part"), pa.array(seqs, pa.int64()), pa.array(befores, pa.int64()), some.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], schema=schema)
+                ids, n = enc.encode(some.column("text").cast(pa.binary()).to_pylist(), end_id)
+                counts += np.bincount(ids, minlength=1 << 16)
+                parts = some.column("part").to_numpy()
+                seqs, befores = seq + np.arange(len(n)), before + np.cumsum(n) - n
+                for i in np.flatnonzero(np.append(parts[0] != part, parts[1:] != parts[:-1])).tolist():
+                    seqs[i:] -= seqs[i]
+                    befores[i:] -= befores[i]
+                part, seq, before = int(parts[-1]), int(seqs[-1]) + 1, int(befores[-1] + n[-1])
+                yield pa.record_batch([some.column("part"), pa.array(seqs), pa.array(befores), some.column("doc_id"), binary(ids, 2 * np.append(0, np.cumsum(n))), pa.nulls(len(n), pa.binary())], schema=schema)
         yield pa.RecordBatch.from_pylist([{"counts": counts.tobytes()}], schema=schema)
 
     return run
@@ -161,11 +159,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     spark = session(docs)
     small_batches(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    tasks = fan_out(spark)
-    bounds = range_bounds(docs, "doc_id", 4 * tasks)
-    tie = f"{OWN}tie"
-    dealt = docs.withColumn("part", range_of(F.col("doc_id"), bounds)).withColumn(tie, F.xxhash64("text"))
-    dealt = dealt.repartition(tasks, "part").sortWithinPartitions("part", "doc_id", tie).select("part", "doc_id", "text")
+    tasks, tie, key = fan_out(spark), f"{OWN}tie", F.coalesce("doc_id", F.lit(-(1 << 63)))
+    bounds = range_bounds(docs.select(key.alias("key")), "key", tasks, repeats=True)
+    upto, under = range_of(key, bounds), range_of(key, bounds, below=True)
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.greatest(F.lit(1), upto - under))
+    dealt = docs.withColumn("part", F.when(upto - under > 1, under + 1 + salt).otherwise(upto).cast("int")).withColumn(tie, F.xxhash64("text"))
+    dealt = dealt.repartitionById(tasks, "part").sortWithinPartitions("part", "doc_id", tie).select("part", "doc_id", "text")
     coded = written(dealt.mapInArrow(_ids(tokenizer, end_id), "part int, seq bigint, before bigint, doc_id bigint, ids binary, counts binary"), "token-ids")
     ids = coded.where("part IS NOT NULL").drop("counts")
     del dealt
@@ -181,14 +180,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     for r in sorted(sums, key=lambda r: r["part"]):
         bases[r["part"]], total = total, total + r["n"]
     blocks = ids.mapInArrow(_blocks(rank, bases, block_ids), "part int, seq bigint, start bigint, doc_ids array<bigint>, n_tokens array<bigint>, control binary, data binary")
-    blocks.write.option("compression", "none").parquet(f"{path}/blocks")
+    named = blocks.withColumn("part", F.lpad(F.col("part").cast("string"), 6, "0"))
+    named.write.partitionBy("part").option("compression", "none").parquet(f"{path}/blocks")
     forget(spark, coded)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the files."""
     by_rank = np.array([r["id"] for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").select("id").collect()], dtype="<u4")
-    blocks = spark.read.parquet(f"{path}/blocks").select("start", "doc_ids", "n_tokens", "control", "data")
+    blocks = spark.read.schema("part int, seq bigint, start bigint, doc_ids array<bigint>, n_tokens array<bigint>, control binary, data binary").parquet(f"{path}/blocks").select("start", "doc_ids", "n_tokens", "control", "data")
     return blocks.mapInArrow(_rows(by_rank), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
