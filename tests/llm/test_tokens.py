@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tokenloom.llm import packing, token_counts, token_files
+from tokenloom.llm import encoding, packing, token_counts, token_files
 from tokenloom.llm.common import scratch_path
 from tokenloom.llm.encoding import ChunkEncoder
 from tokenloom.llm.queries import tokenizer
@@ -18,31 +18,39 @@ BYTE, WORD, PIECE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.mod
 def library(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer(name))
 
 
 @pytest.mark.parametrize("name", [BYTE, WORD])
-def test_chunks_give_the_ids_of_whole_texts(name, rows):
+def test_chunks_give_the_ids_of_whole_texts(name, rows, monkeypatch):
     own = ["", " ", "\n", "  a  b\n\n c", "Hello, I'm <|endoftext|> you'll   x   ok", "ΑΣΣΟΣ Σ.", "ñandú's 3rd 12,5%", "😀🙃 zażółć \t\tgęślą  ", "a\r\nb \x1cc \x85 d", "é ́x", "it's 's ''s dont'll", "x" * 3000, "(a)b[c]'d e'f"]
+    own += ["<|startoftext|>a<|endoftext|>", "<|endoftext|>" * 3, " <|endoftext|> \n<|ENDOFTEXT|>", "a\0b \0", "ÀÉÖØÞß×÷Ã ÀB x÷y", "\u3000a b\u00a0c", "J\u030c K\u212a"]
     rng = random.Random(1)
-    own += ["".join(rng.choice("ab 'é\n.,1\t ß!“s") for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    for letters in ("ab 'é\n.,1\t ß!“s×ÀZ -_<|", "abZ éÀ\n.,1\t !sÞ-$"):
+        own += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(600)]
     texts = own + [r["text"] for r in rows.values()]
-    want = [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
-    for held in (50, 10_000):  # a small cache forgets all the time
-        got = ChunkEncoder(tokenizer(name), held).encode(texts)
-        assert [np.frombuffer(g, "<u2").tolist() for g in got] == want
-    assert ChunkEncoder(tokenizer(name)).encode([None]) == [b""]
+    want = [[*e.ids, 7] for e in library(name).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for held, stretch in ((50, 1 << 19), (500_000, 1 << 19), (50, 200)):  # a small cache forgets, small stretches cut texts
+        monkeypatch.setattr(encoding, "STRETCH", stretch)
+        ids, counts = ChunkEncoder(tokenizer(name), held).encode(texts, 7)
+        assert [np.frombuffer(g, "<u2").tolist() for g in encoding.split(ids, counts.tolist())] == want
+    assert [x.tolist() for x in ChunkEncoder(tokenizer(name)).encode([None, b"a"], 5)] == [[5, want_of(name, "a"), 5], [1, 2]]
+    assert [x.tolist() for x in ChunkEncoder(tokenizer(name)).encode([None, "a"])] == [[want_of(name, "a")], [0, 1]]
 
 
-def test_long_texts_are_encoded_in_stretches(monkeypatch, rows):
-    from tokenloom.llm import encoding
+def want_of(name, text):
+    return library(name).encode(text, add_special_tokens=False).ids[0]
 
-    texts = [r["text"] for r in rows.values()][:30]
-    want = ChunkEncoder(tokenizer(BYTE)).encode(texts)
-    monkeypatch.setattr(encoding, "LONG", 100)
-    assert ChunkEncoder(tokenizer(BYTE)).encode(texts) == want
+
+def test_the_cache_sweeps_what_was_met_once():
+    enc = ChunkEncoder(tokenizer(BYTE), 1)
+    often = [f"often{i} and{i}" for i in range(1000)]
+    want = enc.encode(often)[0].tolist()
+    for i in range(40):
+        once = [" ".join(f"w{i}x{j}y{k}" for k in range(8)) for j in range(1000)]
+        enc.encode(once)
+        assert enc.encode(often)[0].tolist() == want
+    assert enc._table.entries <= len(enc._table.at) and enc._table.entries > 0
 
 
 @settings(max_examples=200, deadline=None)
@@ -80,6 +88,11 @@ def test_files_hold_every_id_in_order(spark, docs, rows):
     blocks = spark.read.parquet(f"{path}/blocks").orderBy("part", "seq").collect()
     flat = [d for b in blocks for d in b["doc_ids"]]
     assert flat == sorted(rows) and len(blocks) > 20
+    starts = [b["start"] for b in blocks]
+    assert starts == sorted(starts)
+    folders = spark.read.parquet(f"{path}/blocks").select("_metadata.file_path", "start").collect()
+    by_folder = sorted((r["file_path"].rpartition("/")[0], r["start"]) for r in folders)
+    assert [s for _, s in by_folder] == starts  # folders in order of their names hold ascending documents
     ranks = [r["n"] for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()]
     assert ranks == sorted(ranks, reverse=True) and sum(ranks) == sum(x[1] for x in got.values())
 
@@ -98,6 +111,17 @@ def test_null_id_comes_first(spark):
     assert got == expected({None: "n", 1: None, 2: "b b"}, BYTE, 0)
 
 
+def test_an_id_that_fills_many_ranges_is_spread(spark):
+    rows = [(None, f"no id {i}") for i in range(200)] + [(5, f"five {i}") for i in range(300)] + [(i, f"own {i}") for i in range(100) if i != 5]
+    path = scratch_path(spark, "files")
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path, tokenizer(BYTE))
+    assert spark.read.parquet(f"{path}/blocks").where("array_contains(doc_ids, 5L)").select("part").distinct().count() == 2
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_files.read_token_files(spark, path).collect())
+    ids = [d for _, d, _ in got]
+    assert ids == [None] * 200 + list(range(5)) + [5] * 300 + list(range(6, 100))
+    assert [s for s, _, _ in got] == [sum(n for _, _, n in got[:i]) for i in range(len(got))]
+
+
 def brute_pieces(vocabulary, word, mark=token_counts.MARK):
     s, i, n, most = mark + word, 0, 0, max(map(len, vocabulary))
     while i < len(s):
@@ -153,78 +177,113 @@ def check_packing(pieces, texts, length=4096):
         assert at == length if s < last else at <= length
 
 
+def round_robin(queues, quanta, stretch):
+    """Deficit round-robin as it is told: queues of (document, tokens), quanta in 1 / UNIT tokens; the (document, start, tokens) given in a row."""
+    left = {q: [(d, s, min(stretch, n - s)) for d, n in docs for s in range(0, n, stretch)] for q, docs in queues.items()}
+    deficit, out = dict.fromkeys(queues, 0), []
+    while any(left.values()):
+        for q in sorted(left, key=str.encode):
+            if left[q]:
+                deficit[q] += quanta[q]
+                while left[q] and left[q][0][2] * packing.UNIT <= deficit[q]:
+                    deficit[q] -= left[q][0][2] * packing.UNIT
+                    out.append(left[q].pop(0))
+    return out
+
+
+def windows(stream, length):
+    """doc, start, length, sequence_id, offset of the pieces of a stream."""
+    out, at = [], 0
+    for d, s, n in stream:
+        while n:
+            k = min(n, length - at % length)
+            if out and out[-1][0] == d and out[-1][1] + out[-1][2] == s and out[-1][3] == at // length:
+                out[-1][2] += k
+            else:
+                out.append([d, s, k, at // length, at % length])
+            d, s, n, at = d, s + k, n - k, at + k
+    return out
+
+
+def own_shares(sizes, alpha, length):
+    w = {q: float(n) ** alpha for q, n in sizes.items()}
+    return {q: max(1, round(w[q] / sum(w.values()) * length * packing.UNIT)) for q in w}
+
+
+@pytest.mark.parametrize("alpha, length, stretch", [(1.0, 512, 64), (0.5, 128, 32), (0.7, 4096, 512)])
+def test_packing_is_deficit_round_robin(spark, docs, rows, alpha, length, stretch):
+    one = docs.orderBy("doc_id").coalesce(1)  # one task: queues in order of doc_id
+    got = [[p["doc_id"], p["start"], p["length"], p["sequence_id"], p["offset"]] for p in packing.packed(one, tokenizer(WORD), length, alpha=alpha, stretch=stretch).collect()]
+    queues, sizes = defaultdict(list), defaultdict(int)
+    for d in sorted(rows):
+        n = len(library_ids(WORD, rows[d]["text"])) + 1
+        queues[f"={rows[d]['source']}"].append((d, n))
+        sizes[f"={rows[d]['source']}"] += n
+    want = windows(round_robin(queues, own_shares(sizes, alpha, length), stretch), length)
+    assert sorted(got, key=lambda p: (p[3], p[4])) == want
+
+
+def test_targets_hold_in_every_window_while_sources_last(docs, rows):
+    pieces = packing.packed(docs, tokenizer(WORD), targets={"src0": 3.0, "src3": 1.0, "absent": 2.0, "src5": 0.0}, length=512, stretch=64).collect()
+    check_packing(pieces, {d: (r["text"], 1) for d, r in rows.items()}, 512)
+    size = defaultdict(lambda: defaultdict(int))
+    for p in pieces:
+        size[p["sequence_id"]][rows[p["doc_id"]]["source"]] += p["length"]
+    total = defaultdict(int)
+    for s in sorted(size):
+        if set(size[s]) != {"src0", "src3"}:
+            break
+        for q in size[s]:
+            total[q] += size[s][q]
+        assert abs(total["src0"] - 3 * total["src3"]) < 4 * (64 + 512)
+    assert s > 3
+    after = [s for s in size if not {"src0", "src3"} & set(size[s])]
+    assert after and all(size[s] for s in after)
+
+
+def test_rare_sources_come_in_whole_stretches(spark):
+    """Three rare sources beside a large one: their documents are not cut to single tokens."""
+    rows = [(i, "rare words of a small text in few tokens", f"rare{i % 3}") for i in range(300)] + [(1000 + i, f"large text {i} " * 400, "large") for i in range(300)]
+    pieces = packing.packed(spark.createDataFrame(rows, "doc_id long, text string, source string"), tokenizer(WORD)).collect()
+    check_packing(pieces, {d: (t, 1) for d, t, _ in rows})
+    small = [p["doc_id"] for p in pieces if p["doc_id"] < 1000]
+    assert len(small) < 310  # but for those that a window's end cuts
+
+
 def test_packing_of_documents(docs, rows):
     pieces = packing.packed(docs, tokenizer(WORD)).collect()
     check_packing(pieces, {d: (r["text"], 1) for d, r in rows.items()})
-    total, share = sum(p["length"] for p in pieces), defaultdict(int)
+    total, upto, share = sum(p["length"] for p in pieces), defaultdict(int), defaultdict(int)
     for p in pieces:
         share[rows[p["doc_id"]]["source"]] += p["length"]
-    window = defaultdict(int)
-    for p in pieces:
-        window[p["sequence_id"], rows[p["doc_id"]]["source"]] += p["length"]
-    last = max(p["sequence_id"] for p in pieces)
-    assert all(abs(window[s, q] - 4096 * share[q] / total) < 5 for s in range(last) for q in share)
-
-
-def test_packing_to_targets(docs, rows):
-    pieces = packing.packed(docs, tokenizer(WORD), targets={"src0": 3.0, "src3": 1.0}, length=512).collect()
-    check_packing(pieces, {d: (r["text"], 1) for d, r in rows.items()}, 512)
-    first = defaultdict(int)
-    for p in pieces:
-        if p["sequence_id"] < 3:
-            first[rows[p["doc_id"]]["source"]] += p["length"]
-    assert set(first) == {"src0", "src3"} and abs(first["src0"] - 3 * first["src3"]) < 10
+    done = 0
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):  # at every place of the stream
+        upto[rows[p["doc_id"]]["source"]] += p["length"]
+        done += p["length"]
+        assert all(abs(upto[q] - done * share[q] / total) < 4096 + 512 * len(share) for q in share)
 
 
-def test_packing_edges(edges, unique, empty, clashing):
+def test_packing_edges(edges, unique, empty, clashing, spark):
     texts = {r["doc_id"]: (r["text"], 1) for r in unique.collect()}
     check_packing(packing.packed(unique, tokenizer(WORD)).collect(), texts)
     check_packing(packing.packed(clashing, tokenizer(WORD)).collect(), texts)
     check_packing(packing.packed(edges, tokenizer(WORD)).collect(), {d: (t, 2 if d == 1 else 1) for d, (t, _) in texts.items()})
-    check_packing(packing.packed(unique, tokenizer(WORD), max_queues=2).collect(), texts)
     assert packing.packed(empty, tokenizer(WORD)).count() == 0
+    nameless = spark.createDataFrame([(None, "no id", "a"), (None, None, None), (3, "an id", "a")], "doc_id long, text string, source string")
+    pieces = packing.packed(nameless, tokenizer(WORD)).collect()
+    assert sorted((p["doc_id"] or 0, p["length"]) for p in pieces) == [(0, 1), (0, 3), (3, 3)]
 
 
 def test_packing_of_many_sources(spark):
-    """Past max_queues, sources keep queues of their own: shares, targets and pieces are those of a larger limit."""
+    """Sources are rows of tables: any number of them, with a shuffle where the table is not broadcast."""
     rows = [(i, f"text {i} " * (1 + i * 7 % 23), None if i % 41 == 0 else f"s{i % 41}") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3, "doc_id")
-    source = {i: s for i, _, s in rows}
+    run = lambda targets: sorted(tuple(p) for p in packing.packed(df, tokenizer(WORD), length=128, targets=targets).collect())
     for targets in (None, {"s7": 3.0, None: 1.0, "absent": 2.0, "s9": 0.0}):
-        run = lambda most: sorted(tuple(p) for p in packed_rows(df, most, targets))  # noqa: E731, B023
-        want = run(4096)
-        assert run(5) == run(2) == want
-        first, size = defaultdict(int), defaultdict(int)
-        for d, _, n, _, _, s, _ in want:
-            size[source[d]] += n
-            if s < 2:
-                first[source[d]] += n
-        if targets:
-            assert set(first) == {"s7", None} and abs(first["s7"] - 3 * first[None]) < 10
-        else:
-            assert all(abs(first[q] - 256 * size[q] / sum(size.values())) < 4 for q in size)
-
-
-def packed_rows(df, most, targets):
-    return packing.packed(df, tokenizer(WORD), length=128, targets=targets, max_queues=most).collect()
-
-
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(0, 400), min_size=1, max_size=12), st.integers(1, 64), st.booleans())
-def test_shares_are_monotone_and_exact(totals, length, weighted):
-    targets = [1.0 + (i % 3) for i in range(len(totals))] if weighted else None
-    shares = packing.Shares(totals, targets)
-    assert shares.total == sum(totals)
-    n = np.arange(0, sum(totals) + 1)
-    own = [shares.upto(q, n) for q in range(len(totals))]
-    assert (sum(o for o, _ in own) == n).all()
-    for q, (o, before) in enumerate(own):
-        assert (np.diff(o) >= 0).all() and o[-1] == totals[q]
-        assert (before == sum((x for x, _ in own[:q]), np.zeros(len(n), np.int64))).all()
-        if targets is None and sum(totals):
-            assert (abs(o - n * totals[q] / sum(totals)) <= 0.001 + 0.5 * np.ceil(np.log2(len(totals)))).all()
-
-
-def test_scale_is_exact_beyond_64_bits():
-    n = np.array([10**15 + 7], dtype=np.int64)
-    assert packing._scale(n, 10**15 + 3, 3 * 10**15)[0] == round((10**15 + 7) * (10**15 + 3) / (3 * 10**15))
+        want = run(targets)
+        check_packing([dict(zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), p)) for p in want], {i: (t, 1) for i, t, _ in rows}, 128)
+        most, packing.BROADCAST_ROWS = packing.BROADCAST_ROWS, 1
+        try:
+            assert run(targets) == want
+        finally:
+            packing.BROADCAST_ROWS = most
