@@ -59,3 +59,12 @@ def test_edges(edges, empty, clashing, unique):
     assert mixing.replicated(clashing).columns == clashing.columns
     blank = edges.where("doc_id IN (4, 5)").selectExpr("doc_id", "'' AS text", "source")
     assert {r["rate"] for r in mixing.rates(blank).collect()} == {1.0}
+
+
+def test_rows_without_an_id_are_drawn_by_their_text(spark):
+    df = spark.range(2000).selectExpr("cast(null as bigint) AS doc_id", "concat('text ', id) AS text", "'a' AS source")
+    got = Counter(r["text"] for r in mixing.replicated(df).collect())
+    assert all(n == poisson(uniform(mixing.SEED, "text:" + hashlib.md5(t.encode()).hexdigest(), 0), 1.0) for t, n in got.items())
+    assert 1100 < len(got) < 1430 and abs(sum(got.values()) - 2000) < 200
+    keys = {r["shuffle_key"] for r in mixing.mixture(df).collect()}
+    assert len(keys) == sum(got.values())

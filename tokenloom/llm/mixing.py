@@ -4,8 +4,8 @@ A source whose target share of the bytes is w and whose own share is s repeats e
 w / s times on average. How often one document stands in the mixture is Poisson distributed with that
 mean: a hash of (seed, doc_id) gives a uniform number, and inverting the distribution at it gives the
 count, so any subset of the data, any partitioning and any rerun draw the same copies. Documents
-are exploded by their counts and shuffled globally: by a hash of (seed, doc_id, copy), in range
-partitions of equal size.
+are exploded by their counts and shuffled globally, in the order of a hash of (seed, doc_id, copy): it is uniform, so
+equal ranges of it are partitions of equal size, without a sampling pass that would draw everything twice.
 
 A rate over ``STEP`` is drawn as the sum of equal parts, each inverted from a hash of its own, so
 the probabilities never underflow. Sums per source are partial before their shuffle, and the table of
@@ -16,8 +16,8 @@ Default targets: the shares of the sources' bytes to the power ``ALPHA``, which
 and lowers large ones.
 
 Edge cases: null source is a source of its own; null or empty text has no bytes and is drawn at its
-source's rate, which is 1.0 if the whole source is empty; null doc_id is one value to the hash; repeated rows
-share a draw, and each is repeated so often. Sources without a target (when targets are given) have
+source's rate, which is 1.0 if the whole source is empty; a row of null doc_id is drawn by its text in place of the id;
+repeated rows (of one doc_id, or of one text without an id) share a draw, and each is repeated so often. Sources without a target (when targets are given) have
 rate 0. An empty table gives no rows. Columns of the documents stay as they are.
 """
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, written
+from .common import OWN, fan_out, session, written
 
 ALPHA, SEED, STEP, BROADCAST_ROWS = 0.7, "mix-1", 32.0, 100_000
 
@@ -65,6 +65,11 @@ def _inverse(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda a: a["n"])
 
 
+def name() -> Column:
+    """What the hashes know a document by: its doc_id, or else its text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
+
+
 def copies(doc_id: Column, rate: Column, seed: str = SEED) -> Column:
     """How often a document stands in the mixture."""
     parts = F.greatest(F.ceil(rate / F.lit(STEP)), F.lit(1)).cast("int")
@@ -79,10 +84,12 @@ def mixed(docs: DataFrame, targets: dict[str | None, float] | None = None, alpha
     table = table.select(F.col("source").alias(f"{OWN}source"), F.col("rate").alias(f"{OWN}rate"))
     rows = table.count()
     joined = docs.join(F.broadcast(table) if rows <= BROADCAST_ROWS else table, docs["source"].eqNullSafe(table[f"{OWN}source"]))
-    drawn = joined.withColumn(f"{OWN}n", copies(F.col("doc_id"), F.col(f"{OWN}rate"), seed)).where(F.col(f"{OWN}n") > 0)
+    drawn = joined.withColumn(f"{OWN}n", copies(name(), F.col(f"{OWN}rate"), seed)).where(F.col(f"{OWN}n") > 0)
     each = drawn.withColumn(f"{OWN}copy", F.explode(F.sequence(F.lit(0), F.col(f"{OWN}n") - 1)))
-    each = each.withColumn(f"{OWN}key", uniform(f"{seed}-order", F.col("doc_id"), F.col(f"{OWN}copy")))
-    return each.orderBy(f"{OWN}key").drop(f"{OWN}source", f"{OWN}n")
+    each = each.withColumn(f"{OWN}key", uniform(f"{seed}-order", name(), F.col(f"{OWN}copy")))
+    parts = fan_out(session(docs))
+    dealt = each.repartitionById(parts, F.floor(F.col(f"{OWN}key") * parts).cast("int")).sortWithinPartitions(f"{OWN}key")
+    return dealt.drop(f"{OWN}source", f"{OWN}n")
 
 
 def mixture(docs: DataFrame, targets: dict[str | None, float] | None = None) -> DataFrame:
@@ -106,9 +113,10 @@ parts AS (SELECT source, rate, CAST(greatest(ceil(rate / {step}), 1) AS INT) AS
 steps AS (SELECT source, rate, parts, unnest(range(0, CAST(ceil(rate / parts + 12 * sqrt(rate / parts) + 40) AS BIGINT))) AS k FROM parts),
 terms AS (SELECT source, rate, parts, k, exp(-rate / parts) * pow(rate / parts, k) / exp(lgamma(k + 1)) AS p FROM steps),
 upto AS (SELECT source, rate, parts, list(s ORDER BY k) AS cdf FROM (SELECT *, sum(p) OVER (PARTITION BY source ORDER BY k) AS s FROM terms) GROUP BY source, rate, parts),
-draws AS (SELECT d.doc_id, d.source, strlen(d.text) AS bytes, u.rate, u.cdf, unnest(range(0, u.parts)) AS i FROM documents d JOIN upto u ON d.source IS NOT DISTINCT FROM u.source WHERE u.rate > 0),
-counts AS (SELECT doc_id, source, bytes, rate, CAST(sum(len(list_filter(cdf, lambda c: c <= CAST(('0x' || substr(md5(concat_ws('|', '{seed}', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(i AS VARCHAR))), 1, 13)) AS BIGINT) / CAST({1 << 52} AS DOUBLE)))) AS INT) AS n FROM draws GROUP BY doc_id, source, bytes, rate),
-each AS (SELECT doc_id, source, bytes, rate, CAST(unnest(range(0, n)) AS INT) AS copy FROM counts WHERE n > 0)
+named AS (SELECT doc_id, source, text, coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, ''))) AS name FROM documents),
+draws AS (SELECT d.doc_id, d.name, d.source, strlen(d.text) AS bytes, u.rate, u.cdf, unnest(range(0, u.parts)) AS i FROM named d JOIN upto u ON d.source IS NOT DISTINCT FROM u.source WHERE u.rate > 0),
+counts AS (SELECT doc_id, name, source, bytes, rate, CAST(sum(len(list_filter(cdf, lambda c: c <= CAST(('0x' || substr(md5(concat_ws('|', '{seed}', name, CAST(i AS VARCHAR))), 1, 13)) AS BIGINT) / CAST({1 << 52} AS DOUBLE)))) AS INT) AS n FROM draws GROUP BY doc_id, name, source, bytes, rate),
+each AS (SELECT doc_id, name, source, bytes, rate, CAST(unnest(range(0, n)) AS INT) AS copy FROM counts WHERE n > 0)
 SELECT doc_id, source, CAST(bytes AS INT) AS bytes, copy, round(rate, 9) AS rate,
-  CAST(('0x' || substr(md5(concat_ws('|', '{seed}-order', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(copy AS VARCHAR))), 1, 13)) AS BIGINT) / CAST({1 << 52} AS DOUBLE) AS shuffle_key
+  CAST(('0x' || substr(md5(concat_ws('|', '{seed}-order', name, CAST(copy AS VARCHAR))), 1, 13)) AS BIGINT) / CAST({1 << 52} AS DOUBLE) AS shuffle_key
 FROM each"""
