@@ -30,8 +30,42 @@ def test_edges(edges, empty, clashing, spark):
     check(sharding.sharded(edges).collect(), [(r["doc_id"], r["text"]) for r in edges.collect()])
     check(sharding.sharded(clashing).collect(), [(r["doc_id"], r["text"]) for r in clashing.collect()])
     assert sharding.sharded(empty).count() == 0
-    check(sharding.sharded(spark.createDataFrame([(None, "a"), (None, "b"), (1, None)], "doc_id long, text string").where("doc_id IS NOT NULL")).collect(), [(1, None)])
-    assert sharding.sharded(spark.createDataFrame([(None, "a"), (None, "b")], "doc_id long, text string")).count() == 2
+    check(sharding.sharded(spark.createDataFrame([(None, "a"), (None, "a"), (1, None)], "doc_id long, text string")).collect(), [(None, "a"), (None, "a"), (1, None)])
+
+
+def test_rows_without_an_id_are_spread(spark):
+    df = spark.range(2400).selectExpr("cast(null as bigint) AS doc_id", "repeat('a', 50) AS text")
+    got = sharding.sharded(df).collect()
+    check(got, [(None, "a" * 50)] * 2400)
+    load = Counter(r["shard"] for r in got)
+    assert len(load) == 24 and max(load.values()) - min(load.values()) <= 3
+
+
+def test_a_stored_map_is_used_again(docs, spark):
+    path = scratch_path(spark, "map")
+    first = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.sharded(docs, map_path=path).collect()}
+    again = sharding.sharded(docs, map_path=path).collect()
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in again} == first and len(again) == len(first)
+    sharding.rebalance(spark, path, sharding.slot_sums(sharding.sized(docs)), 12)
+    edited = sharding.sharded(docs, map_path=path).collect()
+    assert {r["map_version"] for r in edited} == {2} and {r["shard"] for r in edited} == set(range(12)) and len(edited) == len(first)
+    assert spark.read.parquet(path).groupBy("map_version").count().where(f"count != {sharding.SLOTS}").count() == 0
+
+
+def greedy(sizes, shards):
+    """The first map, told plainly."""
+    load, out = [0] * shards, {}
+    for s in sorted(range(sharding.SLOTS), key=lambda s: (-sizes.get(s, 0), s)):
+        at = min(range(shards), key=lambda k: (load[k], k))
+        load[at] += sizes.get(s, 0)
+        out[s] = at
+    return out
+
+
+def test_the_first_map_is_greedy(docs):
+    sums = sharding.slot_sums(sharding.sized(docs))
+    got = {r["virtual_slot"]: r["shard"] for r in sharding.first_map(sums).collect()}
+    assert got == greedy({r["virtual_slot"]: r["bytes"] for r in sums.collect()}, 24)
 
 
 def test_rebalancing_edits_the_map(spark):

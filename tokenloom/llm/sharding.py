@@ -11,8 +11,10 @@ Law: ``bytes`` (shards are near equal in bytes; ``grown_shard`` is null).
 Position in a shard: rows of the shard's earlier slots plus the rank inside the slot, so the rank is
 taken in thousands of independent groups and never over a whole shard.
 
-Edge cases: null text has 0 bytes (size 8), and the crc32 of the empty string; null doc_id is its
-own hash value; repeated rows get positions of their own, in no stated order among equal ones. An
+A map that is stored under the given path is used as it is: a run deals slots out only where there is none yet.
+
+Edge cases: null text has 0 bytes (size 8), and the crc32 of the empty string; rows of null doc_id have nothing to
+hash and are spread over the slots by their place in the input; repeated rows get positions of their own, in no stated order among equal ones. An
 empty table gives no rows. Further columns are ignored.
 """
 
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, scratch_path, session
+from .common import OWN, scratch_path, session, written
 
 SLOTS, SHARDS, LAW = 8192, 24, "bytes"
 
@@ -33,7 +35,7 @@ def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         "doc_id",
         (F.octet_length(text) + 8).cast("bigint").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col("doc_id")), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64(F.monotonically_increasing_id(), F.lit(slots))), F.lit(slots)).cast("int").alias("virtual_slot"),
     )
 
 
@@ -98,12 +100,20 @@ def rebalance(spark: SparkSession, path: str, sums: DataFrame, shards: int, slac
     return latest_map(spark, path)
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether a map is stored under path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(folder) and bool(spark.read.schema("map_version int").parquet(path).head(1))
+
+
 def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
-    """Each row's shard and position; the map is stored as version 1 under map_path (default: a new scratch folder)."""
+    """Each row's shard and position, by the latest map under map_path (default: a new scratch folder); without one, version 1 is dealt and stored there."""
     spark = session(docs)
     path = map_path or scratch_path(spark, "slot-map")
-    rows = sized(docs, slots)
-    store_map(first_map(slot_sums(rows), shards, slots), path, 1)
+    rows = written(sized(docs, slots), "shard-rows")  # the texts are read once, and rows keep their slots
+    if not map_path or not stored(spark, path):
+        store_map(first_map(slot_sums(rows), shards, slots), path, 1)
     placed = latest_map(spark, path)
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)  # over the map's rows
     offsets = slot_sums(rows).join(F.broadcast(placed), "virtual_slot").select("map_version", "virtual_slot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(f"{OWN}start"))
