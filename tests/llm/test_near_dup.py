@@ -150,3 +150,32 @@ def test_components(spark):
         got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
         touched = {x for a, b in links if a != b for x in (a, b)}
         assert got == {x: find(x) for x in touched}
+
+
+def test_crossing_rows_are_linear_beside_one_outlier(spark):
+    """A bucket of one large component and one class outside it costs a row a class and one a block; all meet."""
+    n = 5 * near_dup.BLOCK
+    own = spark.range(n + 1).selectExpr("7L AS key", "id AS node", f"if(id = {n}, {n}L, 0L) AS comp")
+    got = near_dup._crossing(own).collect()
+    assert len(got) == n + 5
+    blocks = defaultdict(lambda: ([], []))
+    for r in got:
+        blocks[r["block"]][r["side"] - 1].append(r["node"])
+    assert all(a == [n] for a, _ in blocks.values()) and sorted(x for _, b in blocks.values() for x in b) == list(range(n))
+
+
+def test_crossing_lets_all_components_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    rng = random.Random(8)
+    comp = {i: rng.choice([0, 0, 0, 1, 2, 3, 4]) for i in range(40)}
+    own = spark.createDataFrame([(5, i, c) for i, c in comp.items()] + [(6, 100 + i, 1) for i in range(5)], "key long, node long, comp long")
+    blocks = defaultdict(list)
+    for r in near_dup._crossing(own).collect():
+        blocks[r["block"]].append((r["node"], r["side"]))
+    met = Counter()
+    for b in blocks.values():
+        for i, (x, s) in enumerate(b):
+            for y, t in b[i + 1 :]:
+                if (s, t) in ((0, 0), (1, 2), (2, 1)) and comp[x] != comp[y]:
+                    met[min(x, y), max(x, y)] += 1
+    assert met == Counter({(x, y): 1 for x in comp for y in comp if x < y and comp[x] != comp[y]})

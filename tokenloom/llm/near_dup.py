@@ -15,8 +15,9 @@ at least 75 times the union.
 3. First pass, linear: in each bucket of a key every class is paired with one pivot of its own, and
    each class keeps the ``PIVOTS`` nearest. These are confirmed on full sets, and their components found.
 4. Second pass, complete: buckets that still span several components are compared in full by
-   signature, between components only and in blocks of at most ``BLOCK`` classes, so a large group that
-   is one component already costs nothing. A pair within both thresholds is looked at under the first
+   signature, between components only: the classes outside a bucket's largest component with those inside it and with
+   each other, in blocks of about ``BLOCK`` classes. A large group that is one component already costs nothing, and
+   one with up to ``BLOCK`` outliers a row for each class and one for each outlier and block. A pair within both thresholds is looked at under the first
    key it shares; rows with such a pair get their full sets, block by block, and only confirmed links leave
    the block, one for each row and other component. Components of all links are the result.
 
@@ -285,7 +286,7 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     keys = reps.select("node", "sig").mapInArrow(_keys, "key bigint, node bigint")
     mix = F.xxhash64("key")
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.col("node").bitwiseXOR(mix)).alias("least")).where("size > 1")
-    entries = written(keys.join(shared.select("key", "size", F.col("least").bitwiseXOR(mix).alias("pivot")), "key"), "near-entries")
+    entries = written(keys.join(shared.select("key", F.col("least").bitwiseXOR(mix).alias("pivot")), "key"), "near-entries")
     release(spark)
     pairs = entries.where("node != pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
     side = lambda s: reps.select(F.col("node").alias(s), F.col("n").alias(f"{s}_n"), F.col("sig").alias(f"{s}_sig"))
@@ -295,8 +296,11 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     best = ends.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     best = written(best, "near-best")
     links = confirmed(best, docs, reps)
+    for done in (near, best):
+        forget(spark, done)
     roots = written(components(links), "near-roots")
     more = _completed(entries, roots, reps, docs)
+    forget(spark, entries)
     if more.head(1):
         roots = written(components(links.unionByName(more)), "near-roots")
     member = reps.select("node", "doc_id").join(roots, "node")
@@ -316,28 +320,46 @@ def _verdicts(docs: DataFrame) -> DataFrame:
 
 def _completed(entries: DataFrame, roots: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between different components, of classes that share a key."""
-    own = entries.select("key", "size", "node").join(roots, "node", "left").select("key", "size", "node", F.coalesce("root", "node").alias("comp"))
+    own = entries.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     own = written(own, "near-open")
-    mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    rows = own.join(mixed, "key").join(reps.select("node", "n", "sig"), "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    # a block meets itself (side 0) and every other one (sides 1 and 2)
-    rows = rows.select(
-        F.xxhash64("key", F.least("mine", "with"), F.greatest("mine", "with")).alias("block"), "key", "node", "comp", "n", "sig",
-        F.when(F.col("mine") == F.col("with"), 0).when(F.col("mine") < F.col("with"), 1).otherwise(2).cast("int").alias("side"),
-    )
+    crossing = written(_crossing(own), "near-crossing")
+    forget(session(docs), own)
+    rows = crossing.join(reps.select("node", "n", "sig"), "node").select("block", "key", "node", "comp", "n", "sig", "side")
     shape = "block bigint, key bigint, node bigint, comp bigint, n bigint, sig binary, side int"
     needed = written(rows.repartition("block").sortWithinPartitions("block").mapInArrow(_needed, shape), "near-needed")
     release(session(docs))
     sets = sets_of(needed.select("node").distinct(), docs, reps)
     full = needed.join(sets, "node").repartition("block").sortWithinPartitions("block").select("block", "key", "node", "comp", "n", "sig", "side", "set")
     links = written(full.mapInArrow(_linked, "a bigint, b bigint"), "near-links")
-    forget(session(docs), sets)
+    for done in (sets, needed, crossing):
+        forget(session(docs), done)
     release(session(docs))
     return links
 
 
+def _crossing(own: DataFrame) -> DataFrame:
+    """block, key, node, comp, side: the classes of own (key, node, comp) dealt to blocks where they meet those of other components of their bucket.
+
+    The classes of a bucket's largest component (side 2) meet all others (side 1); these also meet each other, in blocks
+    with themselves (side 0) and with every other block (sides 1 and 2).
+    """
+    mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+    some = written(own.join(mixed, "key"), "near-mixed")
+    sizes = some.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    tops = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all")).select("key", F.col("top.comp").alias("major"), F.col("top.n").alias("many"), (F.col("all") - F.col("top.n")).alias("few"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    rows = some.join(tops, "key").withColumn("inside", F.col("comp") == F.col("major"))
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("inside"), blocks("many")).otherwise(blocks("few"))).cast("int")
+    rows = rows.withColumn("mine", mine)
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    each = lambda c, f: F.transform(F.sequence(F.lit(0), blocks(c) - 1), f)
+    own_block, side = F.col("mine"), lambda w: F.when(F.col("mine") == w, 0).when(F.col("mine") < w, 1).otherwise(2)
+    inner = each("few", lambda w: place(0, own_block, w, F.lit(2)))
+    outer = F.concat(each("many", lambda w: place(0, w, own_block, F.lit(1))), each("few", lambda w: place(1, F.least(own_block, w), F.greatest(own_block, w), side(w))))
+    rows = rows.withColumn("x", F.explode(F.when(F.col("inside"), inner).otherwise(outer))).where("x.kind = 0 OR few > 1")
+    return rows.select(F.xxhash64("key", "x.kind", "x.i", "x.j").alias("block"), "key", "node", "comp", F.col("x.side").alias("side"))
+
+
 def _noded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with the node of their text."""
     lean()
