@@ -7,10 +7,16 @@ word labels each content or boilerplate (Viterbi), and the share of words in con
 ``SHARE``.
 
 The field's features of a line are shares of character classes and of words equal to the one before,
-its length, and whether an earlier line equals it. Its weights are trained here by conditional
-likelihood (forward-backward, Adam) on the lines of a bounded sample of labelled documents, about
-``SAMPLE_DOCS`` of each quality; the lines of a document carry its label. Everything else covers all
-rows: texts are read whole, a batch of bounded bytes at a time.
+its length, whether an earlier line equals it, and whether it is one of the short lines that recurred between different neighbours in training
+(license lines, navigation). Its weights are trained here by conditional likelihood (forward-backward, Adam) on the lines of a bounded
+sample of labelled documents, about ``SAMPLE_DOCS`` of each quality and the first ``SAMPLE_LINES`` lines of each.
+
+Labels are of documents, so those of their lines are learned in ``ROUNDS`` rounds of constrained training. At first the lines of a good
+document are content, but for repeated and recurring ones, and those of a bad document boilerplate. Each later round takes the labels that
+the field of the round before gives, as long as they keep most words of a good document content and most of a
+bad one boilerplate; repeated and recurring lines stay boilerplate. So both labels occur in one document, and the field learns to switch.
+
+Everything but the fit covers all rows: texts are read whole, a batch of bounded bytes at a time.
 
 Edge cases: null text has no words and fails the base rules; empty lines are no part of the sequence;
 without labels of both kinds every line is content. Repeated rows are judged one by one. A document
@@ -23,13 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, session, small_batches
 from .words import WordHashes, windows
 
-SAMPLE_DOCS, SHARE = 1000, 0.5
+SAMPLE_DOCS, SAMPLE_LINES, SHARE = 1000, 1024, 0.3
+ROUNDS, RECURS, SHORT = 3, 5, 30  # a line of up to SHORT words recurs if RECURS different lines stand before or behind it
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 BATCH_BYTES, SEGMENT = 2 << 20, 64
@@ -45,11 +53,12 @@ _SPACE, _SYMBOL, _UPPER, _DIGIT = _is(SPACES), _is(SYMBOLS), _is(range(65, 91)),
 _LETTER = _is([*range(65, 91), *range(97, 123), *range(192, 256)])  # a byte from 192 begins a letter beyond ASCII
 _START = _is([i for i in range(256) if i < 128 or i >= 192]) & (1 - _SPACE)  # begins a code point of a word
 _MARK = _is(b"!?")
-FEATURES = 8
+FEATURES = 10
+_AGAIN, _RECURS = 8, 9
 
 
-def measure(texts: list[bytes], hashes: WordHashes) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Base figures of each text; features, words and text number of each line that holds a word."""
+def measure(texts: list[bytes], hashes: WordHashes, recurring: frozenset[int] = frozenset()) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Base figures of each text; features, words, text number and hash of each line that holds a word."""
     blob = b"\n".join(texts) + b"\n"
     raw = np.frombuffer(blob, dtype=np.uint8)
     starts = np.concatenate([[0], np.flatnonzero(raw == 10)[:-1] + 1])
@@ -67,20 +76,22 @@ def measure(texts: list[bytes], hashes: WordHashes) -> tuple[dict[str, np.ndarra
     same = np.bincount(line_of[1:][(h[1:] == h[:-1]) & (line_of[1:] == line_of[:-1])], minlength=len(starts)) if len(h) > 1 else np.zeros(len(starts), np.int64)
     doc_of = doc[line_of]
     covered = _repeated(h, doc_of, len(texts))
-    again, earlier = np.zeros(len(starts), dtype=bool), 0
+    again, number, earlier = np.zeros(len(starts), dtype=bool), np.zeros(len(starts), dtype=np.uint64), 0
     for t, n in zip(texts, lines_of.tolist()):
         seen: set[bytes] = set()
         for i, line in enumerate(t.split(b"\n"), earlier):
             again[i] = line in seen
             seen.add(line)
+            number[i] = xxhash.xxh3_64_intdigest(line.strip())
         earlier += n
     has = words > 0
     again &= has
     figures = {"n_words": per_doc(words), "word_chars": per_doc(chars), "n_symbols": per_doc(symbols), "n_dup_lines": per_doc(again), "n_repeat_words": covered}
     c, w = np.maximum(chars, 1), np.maximum(words, 1)
     x = np.stack([np.ones(len(starts)), symbols / c, upper / c, digit / c, letter / c, 10 * mark / c, same / w, np.log1p(words) / 4], axis=1)
-    x = np.concatenate([x, again[:, None]], axis=1)
-    return figures, x[has], words[has], doc[has]
+    known = np.array([h in recurring for h in number.tolist()], dtype=bool) & (words <= SHORT)
+    x = np.concatenate([x, again[:, None], known[:, None]], axis=1)
+    return figures, x[has], words[has], doc[has], number[has]
 
 
 def _repeated(h: np.ndarray, doc_of: np.ndarray, docs: int) -> np.ndarray:
@@ -105,32 +116,50 @@ def _repeated(h: np.ndarray, doc_of: np.ndarray, docs: int) -> np.ndarray:
 class LineField:
     """Linear-chain conditional random field over two labels (1: content)."""
 
-    def __init__(self, weights: np.ndarray, moves: np.ndarray):
-        self.weights, self.moves = weights, moves  # (features, 2), (2, 2)
+    def __init__(self, weights: np.ndarray, moves: np.ndarray, recurring: frozenset[int] = frozenset()):
+        self.weights, self.moves, self.recurring = weights, moves, recurring  # (features, 2), (2, 2)
+
+    @classmethod
+    def learn(cls, sequences: list[np.ndarray], words: list[np.ndarray], labels: list[int], recurring: frozenset[int] = frozenset()) -> LineField:
+        """From labels of documents: the labels of their lines are part of what is learned."""
+        fixed = [(s[:, _AGAIN] > 0) | (s[:, _RECURS] > 0) for s in sequences]
+        lines = [np.where(f, 0, y) for f, y in zip(fixed, labels)]
+        field = cls.fit(sequences, lines)
+        for _ in range(ROUNDS - 1):
+            for i, (s, w, y) in enumerate(zip(sequences, words, labels)):
+                new = np.where(fixed[i], 0, field.content(s))
+                if 2 * w[new == y].sum() > w.sum():
+                    lines[i] = new
+            field = cls.fit(sequences, lines, steps=100, begin=field)
+        field.recurring = recurring
+        return field
 
     @classmethod
-    def fit(cls, sequences: list[np.ndarray], labels: list[int], steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> LineField:
-        """Conditional likelihood by Adam; sequences are cut to SEGMENT lines for training."""
-        parts = [(s[i : i + SEGMENT], y) for s, y in zip(sequences, labels) for i in range(0, len(s), SEGMENT)]
-        width = FEATURES + 1
+    def fit(cls, sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = 200, rate: float = 0.1, decay: float = 1e-4, begin: LineField | None = None) -> LineField:
+        """Conditional likelihood of the lines' labels by Adam; sequences are cut to SEGMENT lines for training."""
+        parts = [(s[i : i + SEGMENT], y[i : i + SEGMENT]) for s, y in zip(sequences, labels) for i in range(0, len(s), SEGMENT)]
+        width = sequences[0].shape[1]
         x = np.zeros((len(parts), SEGMENT, width))
         live = np.zeros((len(parts), SEGMENT), dtype=bool)
-        y = np.array([p[1] for p in parts], dtype=np.int64)
-        for i, (s, _) in enumerate(parts):
-            x[i, : len(s)], live[i, : len(s)] = s, True
+        y = np.zeros((len(parts), SEGMENT), dtype=np.int64)
+        for i, (s, own) in enumerate(parts):
+            x[i, : len(s)], live[i, : len(s)], y[i, : len(s)] = s, True, own
         spread = x[live].std(axis=0)
         scale = np.where(spread > 1e-9, 1 / np.maximum(spread, 1e-9), 1.0)  # features on one scale while fitting
         x *= scale
         theta = np.zeros(width * 2 + 4)
+        if begin is not None:
+            theta = np.concatenate([(begin.weights / scale[:, None]).ravel(), begin.moves.ravel()])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         weight = live / np.maximum(live.sum(), 1)
+        line, at = np.arange(len(y))[:, None], np.arange(SEGMENT)[None, :]
+        both = (live[:, 1:] * weight[:, 1:])[:, :, None, None]
         for step in range(1, steps + 1):
             w, t = theta[: 2 * width].reshape(width, 2), theta[2 * width :].reshape(2, 2)
             node, pair = cls._marginals(x @ w, t, live)
-            node[np.arange(len(y))[:, None], np.arange(SEGMENT)[None, :], y[:, None]] -= 1
+            node[line, at, y] -= 1
             gw = np.einsum("stf,stk->fk", x, node * weight[:, :, None])
-            both = weight[:, 1:, None, None]
-            pair[np.arange(len(y)), :, y, y] -= 1
+            pair[line, at[:, :-1], y[:, :-1], y[:, 1:]] -= 1
             gt = (pair * both).sum(axis=(0, 1))
             g = np.concatenate([gw.ravel(), gt.ravel()]) + decay * theta
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -190,7 +219,7 @@ def _batched(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, list[byt
 
 
 def judge(texts: list[bytes], field: LineField | None, hashes: WordHashes, share: float) -> dict[str, np.ndarray]:
-    figures, x, words, doc = measure(texts, hashes)
+    figures, x, words, doc, _ = measure(texts, hashes, field.recurring if field else frozenset())
     n, rep = figures["n_words"], figures["n_repeat_words"]
     failed = (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n)
     content = np.ones(len(words), dtype=np.int64)
@@ -203,7 +232,7 @@ def judge(texts: list[bytes], field: LineField | None, hashes: WordHashes, share
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LineField | None:
-    """sample_docs: about how many labelled documents of each quality the field is fitted on."""
+    """sample_docs: about how many labelled documents of each quality the field is fitted on, SAMPLE_LINES lines of each at most."""
     small_batches(session(docs))
     marked = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("y"))
     sizes = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -219,16 +248,34 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
             ys = b.column("y").to_pylist()
             ids = b.column("doc_id").to_pylist()
             for at, some in _batched(b.column("text")):
-                _, x, _, doc = measure(some, hashes)
+                _, x, words, doc, number = measure(some, hashes)
                 cut = np.searchsorted(doc, np.arange(len(some) + 1))
-                rows = [x[cut[i] : cut[i + 1]].tobytes() for i in range(len(some))]
-                yield pa.record_batch([pa.array(ids[at : at + len(some)]), pa.array(ys[at : at + len(some)], pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
+                cut = list(zip(cut.tolist(), np.minimum(cut[1:], cut[:-1] + SAMPLE_LINES).tolist()))
+                rows = [pa.array([v[i:j].tobytes() for i, j in cut], pa.binary()) for v in (x, words, number)]
+                yield pa.record_batch([pa.array(ids[at : at + len(some)], pa.int64()), pa.array(ys[at : at + len(some)], pa.int32()), *rows], names=["doc_id", "y", "x", "words", "number"])
 
-    got = sorted(texts.select("doc_id", "y", "text").mapInArrow(lines, "doc_id bigint, y int, x binary").collect())
-    pairs = [(np.frombuffer(r["x"]).reshape(-1, FEATURES + 1), r["y"]) for r in got if r["x"]]
-    if len({y for _, y in pairs}) < 2:
+    got = sorted(texts.select("doc_id", "y", "text").mapInArrow(lines, "doc_id bigint, y int, x binary, words binary, number binary").where("octet_length(x) > 0").collect())
+    if len({r["y"] for r in got}) < 2:
         return None
-    return LineField.fit([x for x, _ in pairs], [y for _, y in pairs])
+    x = [np.frombuffer(r["x"]).reshape(-1, FEATURES).copy() for r in got]
+    words, number = ([np.frombuffer(r[c], dtype=t) for r in got] for c, t in (("words", np.int64), ("number", np.uint64)))
+    recurring = recurring_lines(number, words)
+    for s, n, w in zip(x, number, words):
+        s[:, _RECURS] = [h in recurring and k <= SHORT for h, k in zip(n.tolist(), w.tolist())]
+    return LineField.learn(x, words, [r["y"] for r in got], recurring)
+
+
+def recurring_lines(numbers: list[np.ndarray], words: list[np.ndarray]) -> frozenset[int]:
+    """Hashes of short lines that stand between many different ones: copies of a whole text share their lines' neighbours, boilerplate does not."""
+    before: dict[int, set[int]] = {}
+    behind: dict[int, set[int]] = {}
+    for n, w in zip(numbers, words):
+        row = [0, *n.tolist(), 0]
+        for i, k in enumerate(w.tolist(), 1):
+            if k <= SHORT:
+                before.setdefault(row[i], set()).add(row[i - 1])
+                behind.setdefault(row[i], set()).add(row[i + 1])
+    return frozenset(h for h in before if max(len(before[h]), len(behind[h])) >= RECURS)
 
 
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
