@@ -1,6 +1,49 @@
 import hashlib
+import re
+from collections import Counter
 
-from tokenloom.llm.fingerprints import fingerprints
+import xxhash
+
+from tokenloom.llm.fingerprints import as_text, fingerprints, sketch
+
+
+def mixed(*parts):
+    """Spark's xxhash64 of strings, (long,) and int."""
+    h = 42
+    for x in parts:
+        raw = x.encode() if isinstance(x, str) else (x[0] % 2**64).to_bytes(8, "little") if isinstance(x, tuple) else x.to_bytes(4, "little")
+        h = xxhash.xxh64_intdigest(raw, h)
+    return h
+
+
+def order_min_hash(text, k=5, ell=2, step=1):
+    """Order MinHash told plainly: each slot takes the ell first k-mers of its own order and hashes them in text order."""
+    words = [(mixed(w),) for w in re.findall(r"[^ \t\n\x0b\f\r]+", text or "")]
+    grams = [mixed(*words[i : i + k]) >> 24 for i in range(len(words) - k + 1)] if len(words) >= k else [mixed(*words) >> 24] if words else []
+    seen, numbered = Counter(), []
+    for i, g in enumerate(grams):
+        numbered.append((mixed((g,), seen[g]) >> 24, i // step))
+        seen[g] += 1
+    out = []
+    for slot in range(64):
+        order = sorted((0, h, i, h) if h >> 34 == slot else (1, mixed((h,), (slot,)) >> 24, i, h) for h, i in numbered)
+        chosen = sorted((i, (h if kind == 0 else r) & (1 << 34) - 1) for kind, r, i, h in order[:ell])
+        out.append(f"{mixed(*((v,) for _, v in chosen)) >> 48:04x}" if chosen else "----")
+    return "".join(out)
+
+
+def test_fingerprints_by_brute_force(docs, rows, unique):
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprints(docs).collect()}
+    short = sorted(rows, key=lambda d: len(rows[d]["text"] or ""))[:60]
+    assert all(got[d] == order_min_hash(rows[d]["text"]) for d in short)
+    edge = {r["doc_id"]: r["fingerprint"] for r in fingerprints(unique).collect()}
+    assert all(edge[r["doc_id"]] == order_min_hash(r["text"]) for r in unique.collect() if r["doc_id"] not in (6, 7))
+
+
+def test_positions_of_long_texts_are_kept_in_steps(spark):
+    words = " ".join(f"w{i} again" for i in range(100))
+    df = sketch(spark.createDataFrame([(1, words)], "doc_id long, text string"), "text", "slots", pos_bits=6)
+    assert df.select(as_text("slots").alias("f")).head()["f"] == order_min_hash(words, step=4)
 
 
 def test_edited_texts_and_order(docs, rows):

@@ -14,8 +14,8 @@ its own row: no k-mer is ever shuffled, and memory is bounded by one text.
 
 Edge cases: null counts as the empty text; a text with no word has only empty slots; one of fewer
 than ``k`` words has one k-mer, all its words. Equal texts have equal fingerprints. Likeness is
-equal slots over slots that are not empty in both; of two texts without words, 1.0. Occurrence
-order among words past position 2**23 counts as one position. Repeated rows stay rows; further
+equal slots over slots that are not empty in both; of two texts without words, 1.0. Positions in a text of more than
+2**23 words are kept in steps of 2, 4, 8 ... words, as few as its length needs. Repeated rows stay rows; further
 columns are ignored.
 """
 
@@ -32,9 +32,12 @@ _POS, _RANK = (1 << POS_BITS) - 1, 40 - BIN_BITS
 _REST = (1 << (_RANK + POS_BITS)) - 1
 
 
-def sketch(df: DataFrame, text: str, out: str, k: int = K, ell: int = ELL) -> DataFrame:
-    """df with column out: array<int> of 2**BIN_BITS slots, all -1 for a text without words. k words a k-mer, ell k-mers a slot."""
-    w, s, t, every = f"{OWN}w", f"{OWN}s", f"{OWN}t", f"{OWN}every"
+def sketch(df: DataFrame, text: str, out: str, k: int = K, ell: int = ELL, pos_bits: int = POS_BITS) -> DataFrame:
+    """df with column out: array<int> of 2**BIN_BITS slots, all -1 for a text without words. k words a k-mer, ell k-mers a slot.
+
+    pos_bits: what a position is kept in, of POS_BITS that there are.
+    """
+    w, s, t, every, step = f"{OWN}w", f"{OWN}s", f"{OWN}t", f"{OWN}every", f"{OWN}step"
     keep = [c for c in df.columns if c != out]
     bin_of, rank = f"shiftrightunsigned({{}}, {_RANK + POS_BITS})", f"shiftleft(shiftrightunsigned(xxhash64({{}}, {{}}), 24), {POS_BITS})"
     grams = ", ".join(f"{w}[i + {j}]" for j in range(k))
@@ -48,12 +51,13 @@ def sketch(df: DataFrame, text: str, out: str, k: int = K, ell: int = ELL) -> Da
             f"ELSE transform(sequence(0, size({w}) - {k}), i -> shiftrightunsigned(xxhash64({grams}), 24)) END"
         ),
     )
+    df = df.withColumn(step, F.expr(f"greatest(0, length(bin(greatest(size({w}) - 1, 0))) - {pos_bits})"))
     # Repeated k-mers: sorted by (k-mer, position), a run's members are its occurrences 0, 1, 2...
-    df = df.withColumn(s, F.expr(f"if(size(array_distinct({w})) = size({w}), cast(null as array<bigint>), sort_array(transform({w}, (x, i) -> shiftleft(x, {POS_BITS}) | least(i, {_POS}))))"))
+    df = df.withColumn(s, F.expr(f"if(size(array_distinct({w})) = size({w}), cast(null as array<bigint>), sort_array(transform({w}, (x, i) -> shiftleft(x, {POS_BITS}) | shiftright(i, {step}))))"))
     df = df.withColumn(t, F.expr(f"if({s} IS NULL, null, filter(sequence(0, size({s}) - 1), i -> i = 0 OR shiftrightunsigned({s}[i], {POS_BITS}) != shiftrightunsigned({s}[i - 1], {POS_BITS})))"))
-    once = f"transform({w}, (x, i) -> {rank.format('x', '0')} | least(i, {_POS}))"
+    once = f"transform({w}, (x, i) -> {rank.format('x', '0')} | shiftright(i, {step}))"
     runs = f"flatten(transform({t}, (a, r) -> transform(sequence(a, if(r + 1 < size({t}), {t}[r + 1], size({s})) - 1), j -> {rank.format(f'shiftrightunsigned({s}[j], {POS_BITS})', 'j - a')} | ({s}[j] & {_POS}))))"
-    df = df.withColumn(every, F.expr(f"if({s} IS NULL, {once}, {runs})")).drop(s, t)
+    df = df.withColumn(every, F.expr(f"if({s} IS NULL, {once}, {runs})")).drop(s, t, step)
     df = df.withColumn(w, F.concat(every, F.array(*[F.lit(e).cast("bigint") for e in ends])))
     df = df.withColumn(w, F.expr(f"sort_array({w})"))
     df = df.withColumn(w, F.expr(f"filter({w}, (x, i) -> i < {ell} OR {bin_of.format(f'{w}[i - {ell}]')} != {bin_of.format('x')})"))
