@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,22 +20,65 @@ def test_accuracy_on_held_out_documents(predicted, rows):
     assert sum(predicted[d]["lang_pred"] == rows[d]["lang"] for d in unseen) >= 0.97 * len(unseen)
 
 
-def test_scores_equal_a_plain_backoff(docs, predicted, rows):
-    model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
-    for d in sorted(rows)[:40]:
-        total = [0.0] * len(model["langs"])
-        words = language.WORD.findall(rows[d]["text"].lower())
+def plain_counts(texts):
+    """Counts of words (order 0) and of n-grams by language, told plainly."""
+    out = defaultdict(lambda: defaultdict(Counter))
+    for lang, text in texts:
+        for w in language.WORD.findall(text.lower()):
+            out[0][w][lang] += 1
+            p = f"^{w}$"
+            for k in language.ORDERS:
+                for i in range(len(p) - k + 1):
+                    out[k][p[i : i + k]][lang] += 1
+    return out
+
+
+def test_scores_equal_a_plain_backoff(predicted, rows):
+    """Training counts, backoff and scores by brute force; the sample holds all documents here."""
+    held = {d: zlib.crc32(str(d).encode()) % 3 == 1 for d in rows}
+    counts = plain_counts((r["lang"], r["text"]) for d, r in rows.items() if not held[d] and r["lang"] and r["text"])
+    langs = sorted({r["lang"] for d, r in rows.items() if not held[d] and r["lang"]})
+    below = {k: [sum(c[g] for c in counts[k].values()) + 0.5 * len(counts[k]) for g in langs] for k in counts}
+    row = lambda k, x: [math.log((counts[k][x][g] + 0.5) / b) for g, b in zip(langs, below[k])]
+    for d in sorted(rows)[:60]:
+        total, words = [0.0] * len(langs), language.WORD.findall(rows[d]["text"].lower())
         for w in words:
-            known, table = model["orders"][0]
-            s = table[known[w]] if w in known else None
+            score, p = row(0, w) if w in counts[0] else None, f"^{w}$"
             for k in language.ORDERS:
-                if s is None:
-                    known, table = model["orders"][k]
-                    p = f"^{w}$"
-                    hits = [table[known[p[i : i + k]]] for i in range(len(p) - k + 1) if p[i : i + k] in known]
-                    s = sum(hits) / len(hits) if hits else None
-            total = [t + x for t, x in zip(total, s if s is not None else [0.0] * len(total))]
-        assert predicted[d]["lang_pred"] == (model["langs"][max(range(len(total)), key=lambda i: total[i])] if words else "und")
+                if score is None:
+                    hits = [row(k, x) for x in (p[i : i + k] for i in range(len(p) - k + 1)) if x in counts[k]]
+                    score = [sum(h) / len(hits) for h in zip(*hits)] if hits else None
+            total = [t + x for t, x in zip(total, score or [0.0] * len(langs))]
+        best = max(range(len(langs)), key=lambda i: total[i])
+        mean = [language.SHARPNESS * (t - total[best]) / max(1, len(words)) for t in total]
+        assert predicted[d]["lang_pred"] == langs[best]
+        assert math.isclose(predicted[d]["score"], 1 / sum(map(math.exp, mean)), rel_tol=1e-9)
+
+
+def test_sparse_scores_are_those_of_tables(docs, rows, monkeypatch):
+    model = language.train(docs)
+    texts = [r["text"] for r in rows.values()][:40]
+    want = [language.Scorer(model).text(t) for t in texts]
+    monkeypatch.setattr(language, "DENSE", 0)
+    for t, (lang, score) in zip(texts, want):
+        got = language.Scorer(model, held=50).text(t)
+        assert got[0] == lang and math.isclose(got[1], score, rel_tol=1e-9)
+
+
+def test_words_keep_their_marks():
+    assert language.words_of("Straße é ½x 12") == ["straße", "é", "½x"] and language.words_of("e\u0301X") == ["e\u0301x"]
+    assert language.WORD.findall("नमस्ते e\u0301x a1b _c") == ["नमस्ते", "e\u0301x", "a", "b", "c"]
+
+
+def test_many_languages_stay_small(spark):
+    """A model has one entry for each n-gram and language that has it; the sample is bounded over all languages."""
+    own = lambda i: chr(97 + i % 300 // 26) + chr(97 + i % 300 % 26)
+    df = spark.createDataFrame([(i, f"wort{own(i)} nur{own(i)}", f"l{i % 300:03}") for i in range(1200)], "doc_id long, text string, lang string")
+    model = language.train(df, sample_all=600)
+    assert len(model["langs"]) == 300
+    assert all(len(score) == cuts[-1] <= 600 * 15 for _, cuts, _, score, _ in model["orders"].values())
+    scorer = language.Scorer(language.train(df))
+    assert scorer.text("wortah nurah")[0] == "l007" and scorer._table.size <= 2 * language.HELD
 
 
 def test_edges(edges, empty, clashing, docs):
