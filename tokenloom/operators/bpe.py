@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import adjacent_pairs, byte_tokens, merge_pair, pretokens, special_pattern, special_split
+from ..functions.text import PRETOKEN, adjacent_pairs, byte_tokens, merge_pair, pretokens, special_pattern, special_split
 from ..sources.scratch import written
 
 #: Distinct pre-tokens up to which one task trains with an index; beyond, the rounds are distributed.
@@ -180,7 +181,7 @@ class Tokenizer:
             if i % 2:
                 out.append(self.specials[piece])
                 continue
-            for w in regex.findall(_PATTERN, piece):
+            for w in regex.findall(PRETOKEN, piece):
                 ids = known.get(w)
                 if ids is None:
                     if len(known) > 300_000:
@@ -190,9 +191,6 @@ class Tokenizer:
         return out
 
 
-_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
 def encode(docs: DataFrame, tok: Tokenizer, key: str = "doc_id") -> DataFrame:
     """key, ids: one pass over whole texts without a shuffle; workers remember the ids of words they met."""
     shared = docs.sparkSession.sparkContext.broadcast(tok)
@@ -208,6 +206,6 @@ def encode(docs: DataFrame, tok: Tokenizer, key: str = "doc_id") -> DataFrame:
 
 def decode(ids: Column, vocab: dict[int, str]) -> Column:
     """Text of an array of ids; broken UTF-8 becomes U+FFFD, an unknown id raises an error."""
-    table = F.create_map(*[x for i, t in vocab.items() for x in (F.lit(i), F.lit(t))])
-    token = lambda i: F.coalesce(F.try_element_at(table, i), F.raise_error(F.concat(F.lit("unknown token id "), i.cast("string"))).cast("string"))
+    table = F.from_json(F.lit(json.dumps([vocab.get(i) for i in range(max(vocab, default=-1) + 1)])), "array<string>")  # one literal, indexed by id
+    token = lambda i: F.coalesce(F.get(table, i), F.raise_error(F.concat(F.lit("unknown token id "), i.cast("string"))).cast("string"))
     return F.make_valid_utf8(F.unhex(F.array_join(F.transform(ids, token), "")).cast("string"))
