@@ -89,7 +89,9 @@ def test_verdicts_by_brute_force(docs, labels, rows):
 def test_planted_boilerplate_inside_good_documents_is_marked(spark, labels, docs):
     prose = "the house by the river was quiet and the people who lived there went to bed early because the work began at dawn."
     junk = "$$$ click here *** | now | %%% free ### offer &&& | call | $$$ only *** today %%%"
-    text = "\n".join([prose, prose.replace("river", "lake"), junk, junk.replace("free", "new"), prose.replace("bed", "sleep")])
+    second = "every morning they walked along the water to the mill, and in the evening they came home with flour on their coats."
+    third = "in winter the mill stood still, so the younger ones learned to read while the older ones told of other winters."
+    text = "\n".join([prose, second, junk, "*** best ### price $$$ | order | here %%% and *** win &&& more $$$", third])
     field = quality.train(docs, labels)
     _, x, words, _, _ = quality.measure([text.encode()], WordHashes(), field.recurring)
     assert field.content(x) == [1, 1, 0, 0, 1]

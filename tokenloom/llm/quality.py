@@ -124,7 +124,7 @@ class LineField:
         """From labels of documents: the labels of their lines are part of what is learned."""
         fixed = [(s[:, _AGAIN] > 0) | (s[:, _RECURS] > 0) for s in sequences]
         lines = [np.where(f, 0, y) for f, y in zip(fixed, labels)]
-        field = cls.fit(sequences, lines)
+        field = cls.fit(sequences, lines, chain=False)  # at first each line alone: labels of whole documents would teach it never to switch
         for _ in range(ROUNDS - 1):
             for i, (s, w, y) in enumerate(zip(sequences, words, labels)):
                 new = np.where(fixed[i], 0, field.content(s))
@@ -135,7 +135,7 @@ class LineField:
         return field
 
     @classmethod
-    def fit(cls, sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = 200, rate: float = 0.1, decay: float = 1e-4, begin: LineField | None = None) -> LineField:
+    def fit(cls, sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = 200, rate: float = 0.1, decay: float = 1e-4, begin: LineField | None = None, chain: bool = True) -> LineField:
         """Conditional likelihood of the lines' labels by Adam; sequences are cut to SEGMENT lines for training."""
         parts = [(s[i : i + SEGMENT], y[i : i + SEGMENT]) for s, y in zip(sequences, labels) for i in range(0, len(s), SEGMENT)]
         width = sequences[0].shape[1]
@@ -160,7 +160,7 @@ class LineField:
             node[line, at, y] -= 1
             gw = np.einsum("stf,stk->fk", x, node * weight[:, :, None])
             pair[line, at[:, :-1], y[:, :-1], y[:, 1:]] -= 1
-            gt = (pair * both).sum(axis=(0, 1))
+            gt = (pair * both).sum(axis=(0, 1)) * chain
             g = np.concatenate([gw.ravel(), gt.ravel()]) + decay * theta
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
