@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions import dense
 from tokenloom.functions import tensor as T
 from tokenloom.functions.text import merge_pair, pretokens, special_split
-from tokenloom.operators import attention, bpe, optim, sampling, verify, windows
+from tokenloom.operators import attention, bpe, optim, sampling, training, verify, windows
 from tokenloom.operators.bpe import Tokenizer, _incremental
 from tokenloom.sources import files, state, vocab
 from tokenloom.sources.scratch import scratch_path
@@ -307,3 +307,17 @@ def test_log_append(spark):
 def test_uniform_starts(spark):
     counts = spark.createDataFrame([(i, 100) for i in range(92)] + [(92, 300)], "start long, n long")
     assert [r["start"] for r in verify.outside_deviations(counts, 9500, 93).collect()] == [92]
+
+
+def test_classifier_logs_validation_loss(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(40, 3)), rng.integers(0, 4, 40)
+    rows = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y)], "x array<double>, label int")
+    state, log = training.train_classifier(rows, 4, 3, 2, (0.1, 0.01, 1, 4), 0.5, valid=rows, eval_every=2)
+    w = np.zeros((4, 3))
+    for r in state.collect():
+        w[r["i"], r["j"]] = r["v"]
+    p = dense.softmax(x @ w.T)
+    assert log[0]["valid_loss"] is None
+    np.testing.assert_allclose(log[1]["valid_loss"], -np.log(p[np.arange(40), y]).mean())
+    assert training.mean_loss(rows.where("false"), w) is None

@@ -33,9 +33,24 @@ def gradient(rows: DataFrame, weights: np.ndarray) -> DataFrame:
     return parts.groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("loss").alias("loss"), F.sum("n").alias("n"))
 
 
-def train_classifier(rows: DataFrame, classes: int, width: int, steps: int, lr: tuple[float, float, int, int], most_norm: float) -> tuple[DataFrame, list[dict]]:
+def mean_loss(rows: DataFrame, weights: np.ndarray) -> float | None:
+    """Mean cross-entropy over all rows under fixed weights, from one partial sum an Arrow batch; None without rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x, y = np.stack(pdf["x"].to_numpy()).astype(np.float64), pdf["label"].to_numpy()
+                p = dense.softmax(x @ weights.T)
+                yield pd.DataFrame({"loss": [-np.log(p[np.arange(len(y)), y]).sum()], "n": [len(y)]})
+
+    parts = rows.select("x", "label").mapInPandas(run, "loss double, n bigint")
+    return parts.agg((F.sum("loss") / F.sum("n")).alias("l")).head()["l"]
+
+
+def train_classifier(rows: DataFrame, classes: int, width: int, steps: int, lr: tuple[float, float, int, int], most_norm: float, valid: DataFrame | None = None, eval_every: int = 1) -> tuple[DataFrame, list[dict]]:
     """The last state and a record a step (iter from 1, train_loss, lr from the step before): gradient, clip, AdamW at the scheduled rate.
 
+    valid: rows whose mean loss under the updated weights is logged as valid_loss in every eval_every-th step; null in the others.
     Driver data is one weight matrix; rows stay distributed.
     """
     spark = rows.sparkSession
@@ -50,5 +65,6 @@ def train_classifier(rows: DataFrame, classes: int, width: int, steps: int, lr:
         state = written(optim.adamw(state, optim.clip(grads, most_norm), it + 1, lr=rate), "state")
         for r in state.select("i", "j", "v").collect():  # classes * width rows
             weights[r["i"], r["j"]] = r["v"]
-        log.append({"iter": it + 1, "train_loss": loss, "valid_loss": None, "lr": rate})
+        checked = valid is not None and (it + 1) % eval_every == 0
+        log.append({"iter": it + 1, "train_loss": loss, "valid_loss": mean_loss(valid, weights) if checked else None, "lr": rate})
     return state, log

@@ -199,19 +199,21 @@ def _generate(**options):
 
 
 def _train(spark, d):
-    return training.train_classifier(vectors(spark, d).withColumn("label", F.col("label") % 4), 4, D, 3, (0.1, 0.01, 1, 4), 0.5)
+    """Trains on four folds of the rows and validates on the fifth, in every second step."""
+    rows, fold = vectors(spark, d).withColumn("label", F.col("label") % 4), F.col("vec_id") % 5 == 4
+    return training.train_classifier(rows.where(~fold), 4, D, 3, (0.1, 0.01, 1, 4), 0.5, valid=rows.where(fold), eval_every=2)
 
 
 def train_loop(spark, d):
     _, log = _train(spark, d)
     path = scratch_path(spark, "metrics")
     S.append_log(spark, log, path)
-    return S.read_log(spark, path).select("iter", rounded("train_loss").alias("train_loss"), "valid_loss", rounded("lr", 9).alias("lr"))
+    return S.read_log(spark, path).select("iter", rounded("train_loss").alias("train_loss"), rounded("valid_loss").alias("valid_loss"), rounded("lr", 9).alias("lr"))
 
 
 def train_loop_sql() -> str:
     lr = lambda t: f"CAST({'0.0' if t == 0 else f'0.01 + 0.5 * (1 + cos(pi() * ({t} - 1) / 3)) * 0.09'} AS DOUBLE)"
-    ctes = ["x AS MATERIALIZED (SELECT vec_id, label % 4 AS y, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)", "n AS (SELECT count(*) AS n FROM embeddings)", f"s0 AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(0 AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS s FROM range(4) a(i), range({D}) b(j))"]
+    ctes = ["a AS MATERIALIZED (SELECT vec_id, label % 4 AS y, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)", "x AS (SELECT * FROM a WHERE vec_id % 5 <> 4)", "h AS (SELECT * FROM a WHERE vec_id % 5 = 4)", "n AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 5 <> 4)", f"s0 AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(0 AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS s FROM range(4) a(i), range({D}) b(j))"]
     for t in range(3):
         f1, f2 = f"(1 - pow(CAST(0.9 AS DOUBLE), {t + 1}))", f"(1 - pow(CAST(0.999 AS DOUBLE), {t + 1}))"
         ctes += [
@@ -223,7 +225,12 @@ def train_loop_sql() -> str:
             f"u{t} AS MATERIALIZED (SELECT i, j, s.v, CAST(0.9 AS DOUBLE) * m + (1 - CAST(0.9 AS DOUBLE)) * g * f AS m, CAST(0.999 AS DOUBLE) * s + (1 - CAST(0.999 AS DOUBLE)) * g * f * g * f AS s FROM s{t} s JOIN g{t} USING (i, j), c{t})",
             f"s{t + 1} AS MATERIALIZED (SELECT i, j, v * (1 - {lr(t)} * 0.01) - {lr(t)} / {f1} * m / (sqrt(s / {f2}) + 1e-8) AS v, m, s FROM u{t})",
         ]
-    parts = "\nUNION ALL ".join(f"SELECT CAST({t + 1} AS INT) AS iter, round(loss, 6) + 0.0 AS train_loss, CAST(NULL AS DOUBLE) AS valid_loss, round({lr(t)}, 9) + 0.0 AS lr FROM loss{t}" for t in range(3))
+        ctes += [
+            f"vl{t} AS (SELECT vec_id, any_value(y) AS y, i, sum(h.v * s.v) AS z FROM h JOIN s{t + 1} s USING (j) GROUP BY vec_id, i)",
+            f"vp{t} AS (SELECT y, i, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) AS p FROM vl{t})",
+            f"valid{t} AS (SELECT -avg(ln(p)) AS valid_loss FROM vp{t} WHERE y = i)",
+        ] if t % 2 else []
+    parts = "\nUNION ALL ".join(f"SELECT CAST({t + 1} AS INT) AS iter, round(loss, 6) + 0.0 AS train_loss, {f'(SELECT round(valid_loss, 6) + 0.0 FROM valid{t})' if t % 2 else 'CAST(NULL AS DOUBLE)'} AS valid_loss, round({lr(t)}, 9) + 0.0 AS lr FROM loss{t}" for t in range(3))
     return "WITH " + ",\n".join(ctes) + "\n" + parts
 
 
