@@ -58,6 +58,20 @@ def merges_roundtrip(spark, d):
     return vocab.load(spark, path)[1]
 
 
+def letter_import(spark, d):
+    """Vocabulary and merges written in byte letters (one JSON object; a line a merge), imported with a special token appended."""
+    merges = written(bpe.train(T.docs(spark, d), T.MERGES), "merges")
+    path = scratch_path(spark, "letters")
+    tokens = bpe.vocabulary(merges).groupBy("token").agg(F.min("token_id").alias("token_id"))  # an object has a token once
+    entries = F.map_from_entries(F.collect_list(F.struct(vocab.to_letters(F.col("token")), "token_id")))  # bounded by the vocabulary
+    tokens.agg(F.to_json(entries).alias("value")).write.text(f"{path}/vocab")
+    line = F.concat_ws(" ", vocab.to_letters(F.col("l")), vocab.to_letters(F.col("r"))).alias("value")
+    merges.coalesce(1).sortWithinPartitions("rank").select(line).write.text(f"{path}/merges")
+    v, m = vocab.import_letters(spark, f"{path}/vocab", f"{path}/merges", [DELIMITER])
+    kinds = v.select(F.lit("token").alias("kind"), F.col("token_id").alias("at"), F.col("token").alias("value"))
+    return kinds.unionByName(m.select(F.lit("merge").alias("kind"), F.col("rank").alias("at"), F.concat_ws(" ", "l", "r").alias("value")))
+
+
 def byte_letter_codec(spark, d):
     words = bpe.pretoken_counts(T.docs(spark, d)).select("word", F.hex(F.encode("word", "UTF-8")).alias("h"))
     coded = words.select("word", "h", vocab.to_letters(F.col("h")).alias("letters"))
@@ -92,7 +106,7 @@ def distinct_boundaries(spark, d):
 
 
 QUERIES = {
-    "text_records": text_records, "text_lines": text_lines, "whole_text": whole_text, "chunked_counts": chunked_counts, "vocab_roundtrip": vocab_roundtrip, "merges_roundtrip": merges_roundtrip, "byte_letter_codec": byte_letter_codec,
+    "text_records": text_records, "text_lines": text_lines, "whole_text": whole_text, "chunked_counts": chunked_counts, "vocab_roundtrip": vocab_roundtrip, "merges_roundtrip": merges_roundtrip, "letter_import": letter_import, "byte_letter_codec": byte_letter_codec,
     "token_array": token_array, "streaming_encode": streaming_encode, "streaming_token_counts": streaming_token_counts, "distinct_boundaries": distinct_boundaries,
 }
 ORACLES = {
@@ -102,6 +116,10 @@ ORACLES = {
     "chunked_counts": T.G.WORDS,
     "vocab_roundtrip": T.BPE_VOCABULARY_SQL,
     "merges_roundtrip": T.BPE_TRAIN_SQL.replace(", l, r, n FROM m", ", l, r FROM m"),
+    "letter_import": f"""{T.G.bpe_states(T.MERGES)}, m AS ({T._MERGES}),
+v AS (SELECT min(i) AS i, t FROM (SELECT b AS i, printf('%02X', b) AS t FROM range(256) r(b) UNION ALL SELECT 256 + rank, l || r FROM m) GROUP BY t)
+SELECT 'token' AS kind, CAST(i AS INT) AS at, t AS value FROM v UNION ALL SELECT 'token', CAST(count(*) AS INT), hex(encode('{DELIMITER}')) FROM v
+UNION ALL SELECT 'merge', CAST(rank AS INT), l || ' ' || r FROM m""",
     "byte_letter_codec": f"WITH w AS ({T.G.WORDS}) SELECT word, CAST(strlen(word) AS INT) AS n_letters, true AS same FROM w",
     "token_array": f"{T.ENCODED} SELECT doc_id, count(*) AS n, CAST(sum(id * ((p - 1) % 1000 + 1)) AS BIGINT) AS checksum FROM (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM e) GROUP BY doc_id",
     "streaming_encode": T.BPE_ENCODE_SQL,
