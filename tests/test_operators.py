@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import dense
 from tokenloom.functions import tensor as T
-from tokenloom.functions.text import merge_pair, pretokens, special_split
+from tokenloom.functions.text import PRETOKEN, merge_pair, pretokens, special_split
 from tokenloom.operators import attention, bpe, optim, sampling, training, verify, windows
 from tokenloom.operators.bpe import Tokenizer, _incremental
 from tokenloom.sources import files, state, vocab
@@ -73,7 +73,7 @@ def test_pretokens_are_lossless_and_equal_python(spark):
 
     df = spark.createDataFrame([(i, s) for i, s in enumerate(SAMPLES)], "i int, s string")
     for r in df.select("s", pretokens(F.col("s")).alias("p")).collect():
-        assert "".join(r["p"]) == r["s"] and [x for x in r["p"] if x] == regex.findall(bpe._PATTERN, r["s"])
+        assert "".join(r["p"]) == r["s"] and [x for x in r["p"] if x] == regex.findall(PRETOKEN, r["s"])
 
 
 def test_special_split(spark):
