@@ -93,6 +93,32 @@ def test_random_threads_equal_brute_force(spark, block, monkeypatch):
     assert result(df) == brute(rows)
 
 
+def test_wrapped_quotes_find_their_sentences(spark):
+    said = "I tried the first way. It was slow, so\nthe second one (shown below) may be better!\nWhat do you think?"
+    rows = [
+        (1, 0, "user", said), (1, 1, "assistant", "Yes."), (1, 2, "user", "Thank you."),
+        (1, 3, "assistant", "A wrote:\n> It was slow, so the second\n> one (shown below)\n> may be better!\nI agree."),
+        (1, 4, "user", "> Yes. But nobody\n> said this here\nwell"), (1, 5, "user", "> what do you\n> think? I TRIED the\n> first way.\n> Thank you.\nno"),
+    ]
+    got = result(spark.createDataFrame(rows, SCHEMA))
+    assert got[1, 3] == (0, 4, 3, 3)
+    assert got[1, 4] == (1, 3, 2, 1)  # its first line holds a sentence of turn 1
+    assert got[1, 5] == (0, 5, 4, 4)
+    lines = [(0, "a b. c"), (0, "d"), (0, ""), (1, "x."), (1, "y z")]
+    assert list(chat.passages(lines)) == [(0, 0, "a b. c", True), (1, 0, "d", True), (0, 0, "a b.", False), (0, 0, "c d", False), (3, 1, "x.", True), (4, 1, "y z", True)]
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_deep_and_wide_branches(spark, block, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    rows = [(1, 0, "user", "root"), (1, 1, "user", "next")]
+    for t in range(2, 40):  # each turn but those after odd ones quotes the turn two before: a deep chain
+        rows.append((1, t, "user", (f"> {rows[t - 2][3].splitlines()[-1]}\n" if t % 3 else "") + f"said {t}"))
+    for t in range(40):  # all quote the first message, or the second
+        rows.append((2, t, "user", (f"> word {t % 2}\n" if t > 2 else "") + f"word {t}"))
+    assert result(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+
+
 def test_whole_table(spark, sf_dir):
     df = table(spark, sf_dir, "conversations")
     assert result(df) == brute([(r["conv_id"], r["turn"], r["role"], r["text"]) for r in df.collect()])
