@@ -171,6 +171,8 @@ def _places(runs: DataFrame) -> DataFrame:
     """conv_id, run, first, depth (runs above it) and start (messages before it in preorder) of runs (conv_id, run, first, n, at, above)."""
     spark, key = session(runs), ["conv_id", "run"]
     kids = runs.where("above IS NOT NULL")
+    if not kids.head(1):
+        return runs.select(*key, "first", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("start"))
     # total: messages of a run and of those less than 2**round levels below it; up: the run 2**round levels above
     now = runs.select(*key, F.col("above").alias("up"), F.col("n").alias("total"))
     written_now = None
