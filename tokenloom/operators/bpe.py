@@ -16,6 +16,8 @@ from ..sources.scratch import written
 
 #: Distinct pre-tokens up to which one task trains with an index; beyond, the rounds are distributed.
 ONE_TASK_WORDS = 2_000_000
+#: Most frequent pairs that a distributed round looks at.
+BATCH = 256
 
 
 def pretoken_counts(docs: DataFrame, specials: list[str] | None = None) -> DataFrame:
@@ -51,21 +53,43 @@ def merged(words: DataFrame, left: str | Column, right: str | Column) -> DataFra
     return words.withColumn("tokens", merge_pair(F.col("tokens"), lit(left), lit(right)))
 
 
-def train_rounds(words: DataFrame, merges: int) -> list[tuple[str, str, int]]:
-    """Merges (l, r, n) in rank order; every round is a distributed aggregation and rewrite.
+def independent(top: list[tuple[str, str, int]], known: set[str], whole: bool) -> list[tuple[str, str, int]]:
+    """The first pairs of top (by falling rank) that are the next merges whatever the earlier of them change.
 
-    Only words that hold the pair are rewritten; words are written every second round, which cuts their lineage.
+    Merging (a, b) lowers pairs that end in a or begin with b, and makes pairs no more frequent than those; so the batch
+    ends where such a pair ranks as high by count, where a merge makes a token that others make too (known), and, unless top is
+    whole, at the last count of top, whose ties may go on.
+    """
+    batch: list[tuple[str, str, int]] = []
+    for left, right, n in top:
+        touched = any(q not in batch and q[2] >= n and (q[1] == b[0] or q[0] == b[1]) for q in top for b in batch)
+        if batch and (touched or batch[-1][0] + batch[-1][1] in known or not whole and n == top[-1][2]):
+            break
+        known.update(a + b for a, b, _ in batch)
+        batch.append((left, right, n))
+    return batch
+
+
+def train_rounds(words: DataFrame, merges: int, most: int = BATCH) -> list[tuple[str, str, int]]:
+    """Merges (l, r, n) in rank order; every round is a distributed aggregation and rewrite of a batch of independent pairs.
+
+    Only words that hold a pair are rewritten; words are written every second round, which cuts their lineage.
     """
     out: list[tuple[str, str, int]] = []
-    for i in range(merges):
-        best = best_pair(pair_counts(words)).head()
-        if best is None:
+    known: set[str] = set()
+    rounds = 0
+    while len(out) < merges:
+        top = [(r["l"], r["r"], r["n"]) for r in pair_counts(words).orderBy(F.desc("n"), F.desc("l"), F.desc("r")).limit(most).collect()]
+        batch = independent(top, known, len(top) < most)[: merges - len(out)]
+        if not batch:
             break
-        out.append((best["l"], best["r"], best["n"]))
-        holds = F.array_contains(F.col("tokens"), best["l"]) & F.array_contains(F.col("tokens"), best["r"])
-        new = merge_pair(F.col("tokens"), F.lit(best["l"]), F.lit(best["r"]))
-        words = words.withColumn("tokens", F.when(holds, new).otherwise(F.col("tokens")))
-        if i % 2 == 1:
+        known.update(a + b for a, b, _ in batch)
+        out += batch
+        pairs = F.array(*[F.struct(F.lit(a).alias("l"), F.lit(b).alias("r")) for a, b, _ in batch])
+        holds = lambda t, p: F.array_contains(t, p["l"]) & F.array_contains(t, p["r"])
+        words = words.withColumn("tokens", F.aggregate(pairs, F.col("tokens"), lambda t, p: F.when(holds(t, p), merge_pair(t, p["l"], p["r"])).otherwise(t)))
+        rounds += 1
+        if rounds % 2 == 0:
             words = written(words, "bpe-words")
     return out
 
