@@ -43,6 +43,11 @@ def chunked_counts(spark, d):
     return bpe.pretoken_counts(r)
 
 
+def chunk_boundaries(spark, d):
+    """Byte offsets that cut each text into at most four chunks at line feeds."""
+    return T.docs(spark, d).select("doc_id", files.boundaries(F.encode("text", "UTF-8"), 4, "\n").alias("b")).select("doc_id", F.array_join(F.col("b").cast("array<string>"), ",").alias("boundaries"))
+
+
 def vocab_roundtrip(spark, d):
     merges = written(bpe.train(T.docs(spark, d), T.MERGES), "merges")
     path = scratch_path(spark, "vocab")
@@ -106,7 +111,7 @@ def distinct_boundaries(spark, d):
 
 
 QUERIES = {
-    "text_records": text_records, "text_lines": text_lines, "whole_text": whole_text, "chunked_counts": chunked_counts, "vocab_roundtrip": vocab_roundtrip, "merges_roundtrip": merges_roundtrip, "letter_import": letter_import, "byte_letter_codec": byte_letter_codec,
+    "text_records": text_records, "text_lines": text_lines, "whole_text": whole_text, "chunked_counts": chunked_counts, "chunk_boundaries": chunk_boundaries, "vocab_roundtrip": vocab_roundtrip, "merges_roundtrip": merges_roundtrip, "letter_import": letter_import, "byte_letter_codec": byte_letter_codec,
     "token_array": token_array, "streaming_encode": streaming_encode, "streaming_token_counts": streaming_token_counts, "distinct_boundaries": distinct_boundaries,
 }
 ORACLES = {
@@ -114,6 +119,10 @@ ORACLES = {
     "text_lines": "SELECT md5(l || chr(10)) AS line_md5, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY 1",
     "whole_text": "SELECT CAST(sum(length(text) + length(CAST(doc_id AS VARCHAR)) + 2) AS BIGINT) AS n_chars, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_lines FROM documents",
     "chunked_counts": T.G.WORDS,
+    "chunk_boundaries": """WITH l AS (SELECT doc_id, strlen(text) AS size, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+p AS (SELECT doc_id, size, sum(strlen(l) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos FROM l),
+b AS (SELECT doc_id, min(pos) AS cut FROM p, range(1, 4) t(i) WHERE pos >= i * (size // 4) GROUP BY doc_id, i UNION SELECT doc_id, 0 FROM documents UNION SELECT doc_id, strlen(text) FROM documents)
+SELECT doc_id, string_agg(CAST(CAST(cut AS BIGINT) AS VARCHAR), ',' ORDER BY cut) AS boundaries FROM b GROUP BY doc_id""",
     "vocab_roundtrip": T.BPE_VOCABULARY_SQL,
     "merges_roundtrip": T.BPE_TRAIN_SQL.replace(", l, r, n FROM m", ", l, r FROM m"),
     "letter_import": f"""{T.G.bpe_states(T.MERGES)}, m AS ({T._MERGES}),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,20 @@ def chunk_boundaries(path: str, chunks: int, delimiter: bytes, window: int = 409
                 done = max(0, len(held) - len(delimiter) + 1)
                 base, held = base + done, held[done:]
         return sorted(found)
+
+
+def boundaries(content: Column, chunks: int, delimiter: str) -> Column:
+    """chunk_boundaries of bytes in a column, as an ascending array<bigint>: for files on any file system, read as binaryFile.
+
+    The delimiter is ASCII; null gives null.
+    """
+    plain = F.decode(content, "ISO-8859-1")  # one character a byte
+    size = F.length(plain).cast("bigint")
+    at = lambda i: F.call_function("locate", F.lit(delimiter), plain, (i * F.floor(size / chunks) + 1).cast("int"))
+    inner = [F.when(at(i) > 0, at(i).cast("bigint") - 1).otherwise(size) for i in range(1, chunks)]
+    return F.when(content.isNotNull(), F.array_sort(F.array_distinct(F.array(F.lit(0).cast("bigint"), size, *inner))))
+
+
+def file_boundaries(spark: SparkSession, path: str, chunks: int, delimiter: str) -> DataFrame:
+    """path, boundaries of each file; Spark gives no row for an empty one."""
+    return spark.read.format("binaryFile").load(path).select("path", boundaries(F.col("content"), chunks, delimiter).alias("boundaries"))
