@@ -1,5 +1,7 @@
 """Properties and edge cases of the library's own operators."""
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -247,6 +249,40 @@ def test_half_precision_is_near_and_keeps_the_master():
     assert (w == before).all() and not np.allclose(dense.linear_half(x, w), x @ w.T, atol=1e-9)
 
 
+def test_independent_pairs_stop_where_merges_meet():
+    top = [("61", "62", 9), ("63", "64", 8), ("62", "65", 7), ("66", "67", 6), ("66", "68", 5)]
+    assert bpe.independent(top, set(), True) == top[:2]  # (62, 65) begins with the end of (61, 62)
+    assert bpe.independent([*top[:2], *top[3:]], set(), False) == [*top[:2], top[3]]  # ties of the last count may go on
+    assert bpe.independent(top[:2], {"6162"}, True) == top[:1]  # another merge makes that token too
+    assert bpe.independent([("61", "61", 3), ("62", "61", 2)], set(), True) == [("61", "61", 3)]
+    assert bpe.independent([("61", "62", 3), ("63", "64", 3), ("65", "61", 3)], set(), True) == [("61", "62", 3)]
+
+
+def test_batched_rounds_equal_the_index(spark):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(40)) for _ in range(20)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = bpe.word_tokens(bpe.pretoken_counts(docs))
+    want = [tuple(r)[1:] for r in bpe.train(docs, 25).orderBy("rank").collect()]
+    assert bpe.train_rounds(words, 25) == want
+    assert bpe.train_rounds(words, 8, most=3) == want[:8]
+
+
+def test_windows_reach_the_last_id(spark):
+    rows = spark.createDataFrame([(1, list(range(10))), (2, list(range(9))), (3, [1, 2, 3, 4])], "doc_id long, ids array<int>")
+    got = sorted((r["doc_id"], r["start"], r["y"][-1]) for r in windows.windows(rows, 4, 4, last=True).collect())
+    assert got == [(1, 0, 4), (1, 4, 8), (1, 5, 9), (2, 0, 4), (2, 4, 8)]
+
+
+def test_file_boundaries(spark, tmp_path):
+    rng = random.Random(1)
+    for n in range(4):
+        (tmp_path / f"f{n}").write_bytes(b"".join(rng.choice([b"ab", "é".encode(), b"<|e|>"]) for _ in range(n * 30)))
+    for chunks in (1, 3, 7):
+        got = {r["path"].rpartition("/")[2]: r["boundaries"] for r in files.file_boundaries(spark, str(tmp_path), chunks, "<|e|>").collect()}
+        assert got == {f"f{n}": files.chunk_boundaries(str(tmp_path / f"f{n}"), chunks, b"<|e|>") for n in range(1, 4)}
+
+
 def test_chunk_boundaries(tmp_path):
     data = b"aaaa<|e|>bbbbbbbb<|e|>cc<|e|>" * 5
     p = tmp_path / "t.txt"

@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def windows(rows: DataFrame, context: int, step: int = 1, key: str = "doc_id") -> DataFrame:
-    """key, start, x, y for starts 0, step, ... below len - context; y is x shifted by one. Shorter arrays have no window."""
+def windows(rows: DataFrame, context: int, step: int = 1, key: str = "doc_id", last: bool = False) -> DataFrame:
+    """key, start, x, y for starts 0, step, ... below len - context; y is x shifted by one. Shorter arrays have no window.
+
+    last: the last start that fits is one too, so every id is in a window.
+    """
     longer = rows.where(F.size("ids") > context)
-    starts = F.explode(F.sequence(F.lit(0), F.size("ids") - context - 1, F.lit(step)))
-    return _cut(longer.withColumn("start", starts), [key, "start"], context)
+    starts = F.sequence(F.lit(0), F.size("ids") - context - 1, F.lit(step))
+    if last:
+        starts = F.array_union(starts, F.array(F.size("ids") - context - 1))
+    return _cut(longer.withColumn("start", F.explode(starts)), [key, "start"], context)
 
 
 def batch(rows: DataFrame, context: int, size: int, key: str = "doc_id") -> DataFrame:

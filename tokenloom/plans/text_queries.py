@@ -100,9 +100,16 @@ UNION ALL SELECT CAST(1 + b AS INT), printf('%02X', b) FROM range(256) t(b)
 UNION ALL SELECT CAST(257 + rank AS INT), l || r FROM m"""
 
 
+_TRAINED: dict[tuple[str, str], bpe.Tokenizer] = {}
+
+
 def tokenizer(spark, d) -> bpe.Tokenizer:
-    merges = written(bpe.train(docs(spark, d), MERGES), "merges")
-    return bpe.Tokenizer.of(bpe.vocabulary(merges), merges)
+    """Trained once an application and folder of tables; all queries that encode use it again."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TRAINED:
+        merges = written(bpe.train(docs(spark, d), MERGES), "merges")
+        _TRAINED[key] = bpe.Tokenizer.of(bpe.vocabulary(merges), merges)
+    return _TRAINED[key]
 
 
 def _checked(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -168,11 +175,11 @@ _POINTS_SQL = "p AS (SELECT doc_id, list_transform(string_split(text, ''), lambd
 
 
 def lm_windows(spark, d):
-    w = windows.windows(_points(spark, d), context=64, step=64)
+    w = windows.windows(_points(spark, d), context=64, step=64, last=True)
     return w.select("doc_id", "start", F.md5(F.array_join("x", ",")).alias("x_md5"), F.md5(F.array_join("y", ",")).alias("y_md5"))
 
 
-LM_WINDOWS_SQL = f"""WITH {_POINTS_SQL}, s AS (SELECT doc_id, ids, unnest(range(0, len(ids) - 64, 64)) AS s FROM p WHERE len(ids) > 64)
+LM_WINDOWS_SQL = f"""WITH {_POINTS_SQL}, s AS (SELECT doc_id, ids, unnest(list_distinct(range(0, len(ids) - 64, 64) || [len(ids) - 65])) AS s FROM p WHERE len(ids) > 64)
 SELECT doc_id, CAST(s AS INT) AS start, md5(array_to_string(ids[s + 1:s + 64], ',')) AS x_md5, md5(array_to_string(ids[s + 2:s + 65], ',')) AS y_md5 FROM s"""
 
 
@@ -186,11 +193,11 @@ SELECT doc_id, CAST(b AS INT) AS sample, CAST(s AS BIGINT) AS start, array_to_st
 
 
 def start_histogram(spark, d):
-    starts = windows.batch(docs(spark, d).where("length(text) > 107").select("doc_id", F.sequence(F.lit(0), F.lit(99)).alias("ids")), context=7, size=16)
+    starts = windows.batch(docs(spark, d).select("doc_id", F.sequence(F.lit(0), F.lit(99)).alias("ids")), context=7, size=16)
     return starts.groupBy("start").agg(F.count("*").alias("n"))
 
 
-START_HISTOGRAM_SQL = "SELECT CAST((b * 1103515245 + 12345) % 93 AS BIGINT) AS start, count(*) AS n FROM documents, range(16) t(b) WHERE length(text) > 107 GROUP BY 1"
+START_HISTOGRAM_SQL = "SELECT CAST((b * 1103515245 + 12345) % 93 AS BIGINT) AS start, count(*) AS n FROM documents, range(16) t(b) GROUP BY 1"
 
 QUERIES = {
     "special_split": special_split,

@@ -271,7 +271,7 @@ def deviation_bound(spark, d):
     return verify.outside_deviations(h, 16_000, 93, 5.0)
 
 
-_HIST = "SELECT CAST((b * 1103515245 + 12345) % 93 AS BIGINT) AS start, count(*) AS n FROM documents, range(16) t(b) WHERE length(text) > 107 GROUP BY 1"
+_HIST = "SELECT CAST((b * 1103515245 + 12345) % 93 AS BIGINT) AS start, count(*) AS n FROM documents, range(16) t(b) GROUP BY 1"
 
 QUERIES = {
     "lr_cosine": lr_cosine, "grad_norm": grad_norm, "grad_clip": _clip(False), "grad_clip_always": _clip(True), "grad_clip_unchanged": clip_unchanged,
