@@ -120,7 +120,10 @@ def quotes(messages: DataFrame) -> DataFrame:
     small_batches(session(messages))
     kinds = {f.name: f.dataType.simpleString() for f in messages.schema}
     shape = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, copy bigint, line int, level int, passage bigint, length int, whole boolean"
-    flat = parsed(messages.select("conv_id", "turn", "text")).select("conv_id", "turn", F.xxhash64("text").alias("tie"), "lines").mapInArrow(_passages, shape)
+    # Conversations without a quote have no link: their texts are not taken apart.
+    quoting = messages.where(F.rlike("text", F.lit(r"(?m)^[ \t]*>"))).select("conv_id").distinct()
+    messages = messages.select("conv_id", "turn", "text").join(quoting, "conv_id", "left_semi")
+    flat = parsed(messages).select("conv_id", "turn", F.xxhash64("text").alias("tie"), "lines").mapInArrow(_passages, shape)
     flat = written(flat, "chat-passages")
     # Passages that nobody quotes are not sorted: only hashes with a quote go on.
     wanted = flat.where("level > 0").select("conv_id", "passage").distinct()
