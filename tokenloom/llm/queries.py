@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprints, language, mixing, near_dup, packing, quality, sharding, token_counts, token_files, whitening
+from . import chat, decontaminate, fingerprints, language, mixing, near_dup, packing, quality, repair, sharding, token_counts, token_files, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.by_component(table(spark, sf_dir, "embeddings"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.damaged(table(spark, sf_dir, "conversations")), "gone")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language": op2_language,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
     "op11_decontamination": op11_decontamination,
     "op12_whitening": op12_whitening,
+    "op13_repair": op13_repair,
 }
 
 ORACLES: dict[str, str] = {
