@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PRETOKEN, adjacent_pairs, byte_tokens, merge_pair, pretokens, special_pattern, special_split
 from ..sources.scratch import written
+from .merging import merge_word, ranked
 
 #: Distinct pre-tokens up to which one task trains with an index; beyond, the rounds are distributed.
 ONE_TASK_WORDS = 2_000_000
@@ -58,42 +60,90 @@ def independent(top: list[tuple[str, str, int]], known: set[str], whole: bool) -
 
     Merging (a, b) lowers pairs that end in a or begin with b, and makes pairs no more frequent than those; so the batch
     ends where such a pair ranks as high by count, where a merge makes a token that others make too (known), and, unless top is
-    whole, at the last count of top, whose ties may go on.
+    whole, at the last count of top, whose ties may go on. A pair of one token twice makes pairs as frequent as half of itself
+    (aa, a), which no other pair bounds: it ends the batch.
     """
     batch: list[tuple[str, str, int]] = []
     for left, right, n in top:
         touched = any(q not in batch and q[2] >= n and (q[1] == b[0] or q[0] == b[1]) for q in top for b in batch)
-        if batch and (touched or batch[-1][0] + batch[-1][1] in known or not whole and n == top[-1][2]):
+        if batch and (touched or batch[-1][0] == batch[-1][1] or batch[-1][0] + batch[-1][1] in known or not whole and n == top[-1][2]):
             break
         known.update(a + b for a, b, _ in batch)
         batch.append((left, right, n))
     return batch
 
 
+def _posted(words: DataFrame, name: str) -> DataFrame:
+    """The pair index, pair to (word, cnt): written in order of pairs, so that a look-up reads the pages of its pairs only."""
+    pair = lambda p: F.concat(p["l"], F.lit("|"), p["r"])
+    rows = words.select(F.explode(F.array_distinct(F.transform(adjacent_pairs(F.col("tokens")), pair))).alias("pair"), "word", "cnt")
+    return written(rows.repartitionByRange("pair", "word").sortWithinPartitions("pair"), name)
+
+
+def _looked_up(index: list[DataFrame], pairs: list[str]) -> DataFrame:
+    """Distinct word, cnt behind pairs; ten at a time, as many as a scan compares with its statistics one by one."""
+    found = [part.where(F.col("pair").isin(pairs[i : i + 10])).select("word", "cnt") for part in index for i in range(0, len(pairs), 10)]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _deltas(words: DataFrame, merges: list[tuple[str, str]], new: int) -> DataFrame:
+    """l, r, d, word, cnt, made of words whose tokens the last new of merges change: by how much a pair's count moves, and whether the word did not hold it."""
+    ranks, had = ranked(merges), len(merges) - new
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for word, cnt in zip(pdf["word"], pdf["cnt"]):
+                code = word.encode().hex().upper()
+                old = merge_word([code[i : i + 2] for i in range(0, len(code), 2)], ranks, had, replay=True)
+                now = merge_word(old, {m: [i] for i, m in enumerate(merges[had:])}, replay=True)
+                if len(now) == len(old):
+                    continue  # an entry of the index that an earlier merge has overtaken
+                before, after = Counter(zip(old, old[1:])), Counter(zip(now, now[1:]))
+                out += [(l, r, (after[l, r] - before[l, r]) * cnt, word, cnt, not before[l, r]) for l, r in before | after if after[l, r] != before[l, r]]
+            yield pd.DataFrame(out, columns=["l", "r", "d", "word", "cnt", "made"])
+
+    return words.mapInPandas(run, "l string, r string, d bigint, word string, cnt bigint, made boolean")
+
+
+#: Written changes of the pair table and of the index that are kept beside them before they are put together.
+KEPT_DELTAS = 12
+
+
 def train_rounds(words: DataFrame, merges: int, most: int = BATCH) -> list[tuple[str, str, int]]:
-    """Merges (l, r, n) in rank order; every round is a distributed aggregation and rewrite of a batch of independent pairs.
+    """Merges (l, r, n) in rank order from word, cnt, tokens (one a byte), in distributed rounds of independent pairs.
 
-    Only words that hold a pair are rewritten; words are written every second round, which cuts their lineage.
+    Two tables are kept: an index from pairs to the words that hold them, and the pairs' counts. A round takes the most frequent
+    pairs, looks up the words that hold them, replays the merges on those words only, and appends the changes: counts by
+    their differences, new neighbours to the index. Tokens are not stored: they follow from a word and the merges. So a round's work is
+    that of the words hit and of the pair table, whose size is that of pairs of tokens and not of the corpus.
     """
     out: list[tuple[str, str, int]] = []
     known: set[str] = set()
-    rounds = 0
+    index = [_posted(words, "bpe-index")]
+    counts = [written(pair_counts(words), "bpe-pairs")]
     while len(out) < merges:
-        top = [(r["l"], r["r"], r["n"]) for r in pair_counts(words).orderBy(F.desc("n"), F.desc("l"), F.desc("r")).limit(most).collect()]
+        if len(counts) > KEPT_DELTAS:
+            counts = [written(_counted(counts), "bpe-pairs")]
+            index = [index[0], written(reduce(DataFrame.unionByName, index[1:]).repartitionByRange("pair", "word").sortWithinPartitions("pair"), "bpe-index")]
+        top = [(r["l"], r["r"], r["n"]) for r in _counted(counts).orderBy(F.desc("n"), F.desc("l"), F.desc("r")).limit(most).collect()]
         batch = independent(top, known, len(top) < most)[: merges - len(out)]
         if not batch:
             break
         known.update(a + b for a, b, _ in batch)
         out += batch
-        pairs = F.array(*[F.struct(F.lit(a).alias("l"), F.lit(b).alias("r")) for a, b, _ in batch])
-        holds = lambda t, p: F.array_contains(t, p["l"]) & F.array_contains(t, p["r"])
-        words = words.withColumn("tokens", F.aggregate(pairs, F.col("tokens"), lambda t, p: F.when(holds(t, p), merge_pair(t, p["l"], p["r"])).otherwise(t)))
-        rounds += 1
-        if rounds % 2 == 0:
-            words = written(words, "bpe-words")
+        if len(out) < merges:
+            hit = _looked_up(index, [f"{a}|{b}" for a, b, _ in batch])
+            delta = written(_deltas(hit, [m[:2] for m in out], len(batch)), "bpe-deltas")
+            counts.append(delta.groupBy("l", "r").agg(F.sum("d").alias("n")))
+            index.append(delta.where("made").select(F.concat("l", F.lit("|"), "r").alias("pair"), "word", "cnt"))
     return out
 
 
+def _counted(counts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, counts).groupBy("l", "r").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def _incremental(words: list[list[str]], counts: list[int], merges: int) -> list[tuple[str, str, int]]:
     """The same merges with an index from pairs to words and a heap of counts."""
     total: dict[tuple[str, str], int] = defaultdict(int)
@@ -166,7 +216,7 @@ class Tokenizer:
     def __init__(self, vocab: dict[int, str], merges: list[tuple[str, str]], specials: list[str] | None = None):
         self.vocab = vocab
         self.ids = {t: i for i, t in vocab.items()}  # of equal tokens the last id counts
-        self.ranks = {m: i for i, m in reversed(list(enumerate(merges)))}
+        self.ranks = ranked(merges)
         self.specials = {s: self.ids[h] for s in specials or [] if (h := s.encode().hex().upper()) in self.ids}
         self.all_specials = list(specials or [])
 
@@ -180,19 +230,7 @@ class Tokenizer:
     def word(self, word: str) -> list[int]:
         """The pair of lowest rank is merged everywhere, again and again, until none is known."""
         code = word.encode().hex().upper()
-        tokens = [code[i : i + 2] for i in range(0, len(code), 2)]
-        while len(tokens) > 1:
-            best = min(zip(tokens, tokens[1:]), key=lambda p: self.ranks.get(p, len(self.ranks)))
-            if best not in self.ranks:
-                break
-            out: list[str] = []
-            for t in tokens:
-                if out and (out[-1], t) == best:
-                    out[-1] += t
-                else:
-                    out.append(t)
-            tokens = out
-        return [self.ids[t] for t in tokens]
+        return [self.ids[t] for t in merge_word([code[i : i + 2] for i in range(0, len(code), 2)], self.ranks)]
 
     def encode_text(self, text: str, known: dict[str, list[int]]) -> list[int]:
         import regex

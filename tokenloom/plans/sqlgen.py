@@ -31,3 +31,15 @@ def bpe_states(merges: int) -> str:
         new = merge_list("t", "l", "r")
         out.append(f"s{i + 1} AS MATERIALIZED (SELECT word, cnt, CASE WHEN list_contains(t, l) AND list_contains(t, r) THEN {new} ELSE t END AS t FROM s{i}, m{i})")
     return "WITH " + ",\n".join(out)
+
+
+def bpe_rounds(merges: int, table: str) -> str:
+    """rank, l, r, n of many merges: a recursion whose rows are the words with their tokens, each with the pair merged last."""
+    return f"""WITH RECURSIVE w AS MATERIALIZED ({WORDS.replace("FROM documents", f"FROM {table}")}),
+    s(step, cnt, t, l, r, n) AS (
+      SELECT 0, cnt, {HEX_TOKENS}, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT) FROM w
+      UNION ALL
+      (WITH best AS (SELECT t[p] AS l, t[p + 1] AS r, CAST(sum(cnt) AS BIGINT) AS n FROM (SELECT t, cnt, unnest(range(1, len(t))) AS p FROM s) GROUP BY 1, 2 ORDER BY n DESC, l DESC, r DESC LIMIT 1)
+       SELECT step + 1, cnt, CASE WHEN list_contains(t, best.l) AND list_contains(t, best.r) THEN {merge_list("t", "best.l", "best.r")} ELSE t END, best.l, best.r, best.n
+       FROM s, best WHERE step < {merges} AND len(t) > 1))
+    SELECT DISTINCT CAST(step - 1 AS INT) AS rank, l, r, n FROM s WHERE step > 0"""

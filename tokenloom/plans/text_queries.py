@@ -89,6 +89,18 @@ def bpe_train_indexed(spark, d):
     return bpe.train(docs(spark, d), MERGES)
 
 
+#: Merges of the longer training queries.
+MANY = 256
+
+
+def bpe_train_256(spark, d):
+    return bpe.train(spark.read.parquet(f"{d}/conversations.parquet"), MANY)
+
+
+def bpe_train_deltas(spark, d):
+    return bpe.train(spark.read.parquet(f"{d}/conversations.parquet"), MANY, one_task_words=0)
+
+
 def bpe_vocabulary(spark, d):
     return bpe.vocabulary(bpe.train(docs(spark, d), MERGES), ["<|endoftext|>"])
 
@@ -209,6 +221,8 @@ QUERIES = {
     "merge_rewrite": merge_rewrite,
     "bpe_train_k": bpe_train_k,
     "bpe_train_indexed": bpe_train_indexed,
+    "bpe_train_256": bpe_train_256,
+    "bpe_train_deltas": bpe_train_deltas,
     "bpe_vocabulary": bpe_vocabulary,
     "bpe_encode": bpe_encode,
     "bpe_encode_lines": bpe_encode_lines,
@@ -229,6 +243,8 @@ ORACLES = {
     "merge_rewrite": MERGE_REWRITE_SQL,
     "bpe_train_k": BPE_TRAIN_SQL,
     "bpe_train_indexed": BPE_TRAIN_SQL,
+    "bpe_train_256": G.bpe_rounds(MANY, "conversations"),
+    "bpe_train_deltas": G.bpe_rounds(MANY, "conversations"),
     "bpe_vocabulary": BPE_VOCABULARY_SQL,
     "bpe_encode": BPE_ENCODE_SQL,
     "bpe_encode_lines": _LINES,
