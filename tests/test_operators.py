@@ -241,12 +241,27 @@ def test_generation_queries_equal_a_plain_loop(spark, sf_dir):
             assert rows[b] == ",".join(map(str, ids if whole else ids[4:]))
 
 
-def test_half_precision_is_near_and_keeps_the_master():
+def test_half_precision_equals_the_hardware_type(spark):
     rng = np.random.default_rng(0)
-    x, w = rng.normal(size=(5, 8)), rng.normal(size=(3, 8))
-    before = w.copy()
-    np.testing.assert_allclose(dense.linear_half(x, w), x @ w.T, atol=0.03)
-    assert (w == before).all() and not np.allclose(dense.linear_half(x, w), x @ w.T, atol=1e-9)
+    values = [*(rng.normal(size=300) * 10.0 ** rng.integers(-9, 5, size=300)), 0.0, -0.0, 1.0, 2048.5, 2049.0, 65504.0, 65519.0, 65520.0, -7e4, 2.0**-24, 2.0**-25, 3 * 2.0**-25, 6.1e-5]
+    got = [r["h"] for r in spark.createDataFrame([(float(v),) for v in values], "v double").select(T.half(F.col("v")).alias("h")).collect()]
+    with np.errstate(over="ignore"):
+        assert got == [float(v) for v in np.array(values).astype(np.float16)]
+
+
+def test_a_decoder_reads_each_id_once():
+    from tokenloom.plans.tensor_queries import HEADS, lm_weights
+
+    w, ids = lm_weights(), [3, 1, 4, 1, 5, 9, 2, 6]
+    model = dense.Decoder(w, HEADS)
+    for parts in ([1] * 8, [4, 1, 3], [8]):
+        model.forget()
+        at = 0
+        for n in parts:
+            got = model.read(np.array(ids[at : at + n]))
+            at += n
+            np.testing.assert_allclose(got, dense.language_model(np.array(ids[:at]), w, HEADS)[-1], atol=1e-12)
+            assert all(k.shape[1] == v.shape[1] == at for k, v in model.kept)
 
 
 def test_independent_pairs_stop_where_merges_meet():

@@ -80,6 +80,33 @@ def language_model(ids: np.ndarray, w: dict, heads: int, theta: float | None = 1
     return x @ w["head"].T
 
 
-def linear_half(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """x W^T computed from half-precision copies of both, summed in single precision; the master weights stay as they are."""
-    return (x.astype(np.float16).astype(np.float32) @ w.astype(np.float16).astype(np.float32).T).astype(np.float64)
+class Decoder:
+    """A language model (pre-norm) that reads ids as they come: keys and values of each layer are kept, by head and position,
+    so a new id attends with one query and nothing before it is computed again."""
+
+    def __init__(self, w: dict, heads: int, theta: float | None = 10000.0):
+        self.w, self.heads, self.theta = w, heads, theta
+        self.forget()
+
+    def forget(self) -> None:
+        self.length, self.kept = 0, [None] * len(self.w["layers"])
+
+    def read(self, ids: np.ndarray) -> np.ndarray:
+        """Logits after the last of ids, which follow those read before."""
+        x, at = self.w["embedding"][ids], np.arange(self.length, self.length + len(ids))
+        for n, layer in enumerate(self.w["layers"]):
+            x = x + self._attend(rms_norm(x, layer["ln1"]), layer, n, at)
+            x = x + feed_forward(rms_norm(x, layer["ln2"]), layer)
+        self.length += len(ids)
+        return rms_norm(x[-1:], self.w["ln_final"])[0] @ self.w["head"].T
+
+    def _attend(self, x: np.ndarray, w: dict, n: int, at: np.ndarray) -> np.ndarray:
+        m, d = x.shape
+        q, k, v = ((x @ w[c].T).reshape(m, self.heads, d // self.heads).transpose(1, 0, 2) for c in "qkv")
+        if self.theta is not None:
+            q, k = rope(q, at, self.theta), rope(k, at, self.theta)
+        if self.kept[n] is not None:
+            k, v = (np.concatenate([old, new], axis=1) for old, new in zip(self.kept[n], (k, v)))
+        self.kept[n] = (k, v)
+        out = attention(q, k, v, np.arange(k.shape[1])[None, :] <= at[:, None])
+        return out.transpose(1, 0, 2).reshape(m, d) @ w["o"].T

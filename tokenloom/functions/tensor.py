@@ -93,3 +93,16 @@ def log_sum_exp(x: Column) -> Column:
 
 def log_softmax(x: Column) -> Column:
     return let(log_sum_exp(x), lambda t: F.transform(x, lambda v: v - t))
+
+
+def half(v: Column) -> Column:
+    """v rounded to half precision (11 significant bits, ties to even, gradual underflow), as a double; beyond 65504 infinite."""
+    quantum = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(v))), F.lit(-14)) - 10)
+    near = F.when(v == 0, v).otherwise(F.rint(v / quantum) * quantum)
+    return F.when(F.abs(near) > 65504, F.signum(v) * F.lit(float("inf"))).otherwise(near)
+
+
+def linear_half(x: Column, w: Column) -> Column:
+    """y = x W^T of half-precision copies of both; sums are not rounded, and x and w stay as they are."""
+    copy = lambda r: F.transform(r, half)
+    return let(copy(x), lambda y: F.transform(w, lambda row: dot(y, copy(row))))

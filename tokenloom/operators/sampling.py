@@ -57,10 +57,16 @@ def generate(prompts: DataFrame, best: DataFrame, new: int, end: int | None = No
 
 
 def generate_lm(w: dict, heads: int, prompt: list[int], new: int, context: int, uniforms: Callable[[int], float], t: float = 1.0, p: float | None = None, k: int | None = None, end: int | None = None, keep_end: bool = True, return_prompt: bool = True) -> list[int]:
-    """Continuation by the Transformer: last context ids, temperature, top-k, top-p, inverse-CDF draw with supplied uniforms."""
-    ids = list(prompt)
+    """Continuation by the Transformer: last context ids, temperature, top-k, top-p, inverse-CDF draw with supplied uniforms.
+
+    Up to context ids a step reads the newest only. Beyond, the first id leaves and with it what later ones took from it, so the
+    window is read again.
+    """
+    ids, model = list(prompt), dense.Decoder(w, heads)
     for step in range(new):
-        logits = dense.language_model(np.array(ids[-context:]), w, heads)[-1] / t
+        if len(ids) > context:
+            model.forget()
+        logits = model.read(np.array(ids[-context:][model.length :])) / t
         if k is not None:
             logits = np.where(logits >= np.sort(logits)[-min(k, len(logits))], logits, -np.inf)
         probs = dense.softmax(logits)

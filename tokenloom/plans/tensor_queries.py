@@ -344,8 +344,18 @@ LM_SQL = seq_sql(
 
 
 def linear_half(spark, d):
-    w = weights(16, D)
-    return out(R.dense_rows(vectors(spark, d), lambda x: dense.linear_half(x, w), "vec_id"), "y", "vec_id")
+    df = with_params(vectors(spark, d), w=T.matrix(16, D, cell()))
+    return out(df, T.linear_half(F.col("x"), F.col("w")), "vec_id")
+
+
+def half_sql(v: str) -> str:
+    """v rounded to half precision."""
+    quantum = f"pow(2::DOUBLE, greatest(floor(log2(abs({v}))), -14) - 10)"
+    return f"CASE WHEN {v} = 0 THEN {v} ELSE round_even({v} / {quantum}, 0) * {quantum} END"
+
+
+_HALF_W = f"hw AS MATERIALIZED (SELECT i, j, {half_sql('v')} AS v FROM (SELECT i, j, {weight('i', 'j')} AS v FROM range(16) a(i), range({D}) b(j)))"
+LINEAR_HALF_SQL = done([X, _HALF_W, f"hx AS MATERIALIZED (SELECT vec_id, k, {half_sql('v')} AS v FROM x)", "y AS (SELECT vec_id, i AS k, sum(hx.v * hw.v) AS v FROM hx JOIN hw ON hx.k = hw.j GROUP BY vec_id, i)"], "y")
 
 
 def config_capture(spark, d):
@@ -415,6 +425,7 @@ ORACLES = {
     "transformer_block_post": seq_sql([S, *block_ctes("x", "0", 10, "post")], "y0"),
     "transformer_block_none": seq_sql([S, *block_ctes("x", "0", 10, "none", "silu")], "y0"),
     "transformer_lm": LM_SQL,
+    "linear_half": LINEAR_HALF_SQL,
     "param_count": PARAM_COUNT_SQL,
     "config_capture": CONFIG_SQL,
 }

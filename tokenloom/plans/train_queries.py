@@ -10,7 +10,7 @@ from ..sources import state as S
 from ..sources import vocab as V
 from ..sources.scratch import scratch_path, written
 from .sqlgen import weight
-from .tensor_queries import _SHAPES, D, HEADS, VOCAB, cell, lm_weights, parameters, rounded, vectors
+from .tensor_queries import _SHAPES, D, HEADS, VOCAB, block_ctes, cell, lin, lm_weights, parameters, rms, rounded, vectors
 
 ROWS = 8
 
@@ -195,6 +195,30 @@ def _generate(**options):
     return lambda spark, d: sampling.generate_lm_rows(_prompts(spark, d), lm_weights(), HEADS, new=4, context=6, **options).select("b", F.size("ids").alias("n"), F.array_join("ids", ",").alias("ids"))
 
 
+def generate_sql(t: float, kept: str, end: int, keep_end: bool, whole: bool) -> str:
+    """Four drawn ids a prompt; in each step the model reads every distinct window of the last six ids once.
+
+    kept: which rows of r (z, p, cum and rank in falling order) may be drawn.
+    """
+    ctes = [f"g0 AS (SELECT vec_id AS b, list_transform(range(4), lambda k: CAST((vec_id * 7 + k * 11) % {VOCAB} AS INT)) AS ids, false AS done FROM embeddings)"]
+    for n in range(4):
+        w0, w1 = f"{n}_0", f"{n}_1"
+        ctes += [
+            f"w{n} AS MATERIALIZED (SELECT win, row_number() OVER () AS b FROM (SELECT DISTINCT ids[-6:] AS win FROM g{n} WHERE NOT done))",
+            f"x{n} AS MATERIALIZED (SELECT b, p, k, {weight('win[p + 1]', 'k', 5)} AS v FROM (SELECT *, unnest(range(len(win))) AS p FROM w{n}), range({D}) c(k))",
+            *block_ctes(f"x{n}", w0, 10), *block_ctes(f"y{w0}", w1, 30),
+            f"e{n} AS (SELECT y.b, y.p, y.k, y.v FROM y{w1} y JOIN w{n} USING (b) WHERE p = len(win) - 1)",
+            rms(f"f{n}", f"e{n}", "b, p"), lin(f"z{n}", f"f{n}", VOCAB, 6, "b, p"),
+            f"q{n} AS (SELECT b, k, v / {t}::DOUBLE AS z, exp(v / {t}::DOUBLE) / sum(exp(v / {t}::DOUBLE)) OVER (PARTITION BY b) AS p FROM z{n})",
+            f"r{n} AS MATERIALIZED (SELECT *, sum(p) OVER (PARTITION BY b ORDER BY p DESC, k ROWS UNBOUNDED PRECEDING) AS cum, row_number() OVER (PARTITION BY b ORDER BY p DESC, k) AS rn, rank() OVER (PARTITION BY b ORDER BY z DESC) AS rk FROM q{n})",
+            f"k{n} AS MATERIALIZED (SELECT b, k, sum(p) OVER (PARTITION BY b ORDER BY k ROWS UNBOUNDED PRECEDING) / sum(p) OVER (PARTITION BY b) AS upto FROM r{n} WHERE {kept})",
+            f"d{n} AS (SELECT g.b, coalesce(min(CASE WHEN upto > (g.b * 7919 + {n} * 104729 + 13) % 1000 / 1000::DOUBLE THEN k END), {VOCAB - 1}) AS token FROM g{n} g JOIN w{n} w ON g.ids[-6:] = w.win JOIN k{n} k ON k.b = w.b WHERE NOT g.done GROUP BY g.b)",
+            f"g{n + 1} AS MATERIALIZED (SELECT g.b, CASE WHEN token IS NULL{'' if keep_end else f' OR token = {end}'} THEN ids ELSE list_append(ids, CAST(token AS INT)) END AS ids, done OR token = {end} AS done FROM g{n} g LEFT JOIN d{n} d USING (b))",
+        ]
+    ids = "ids" if whole else "ids[5:]"
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT b, CAST(len({ids}) AS INT) AS n, array_to_string({ids}, ',') AS ids FROM g4"
+
+
 # ---- training, checkpoints, logs
 
 
@@ -302,6 +326,8 @@ ORACLES = {
     "topk_filter": f"WITH {_L} SELECT b, token, round(logit, 6) + 0.0 AS logit FROM (SELECT *, rank() OVER (PARTITION BY b ORDER BY logit DESC) AS r FROM l) WHERE r <= 5",
     "inverse_cdf_sample": f"WITH {_L}, c AS (SELECT b, token, sum(p) OVER (PARTITION BY b ORDER BY token ROWS UNBOUNDED PRECEDING) AS cum FROM p) SELECT b, coalesce(min(CASE WHEN cum >= (b * 7919 + 13) % 1000 / CAST(1000 AS DOUBLE) THEN token END), max(token)) AS token FROM c GROUP BY b",
     "greedy_generate": _GREEDY,
+    "lm_generate_topp": generate_sql(0.8, "cum <= 0.9 OR rn = 1", 7, True, True),
+    "lm_generate_topk": generate_sql(0.8, "rk <= 5", 7, False, False),
     "train_loop": train_loop_sql(),
     "checkpoint_roundtrip": f"SELECT *, CAST(2 AS INT) AS iteration FROM ({adamw_sql(2, False)})",
     "pretrained_names": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({c} AS BIGINT))" for n, c in _SHAPES) + ") t(name, n)",
