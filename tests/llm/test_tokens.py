@@ -287,3 +287,28 @@ def test_packing_of_many_sources(spark):
             assert run(targets) == want
         finally:
             packing.BROADCAST_ROWS = most
+
+
+WIDE = ["\u00a0", "\u3000", "\u2009", "\u0085", "\u2028"]
+
+
+@pytest.mark.parametrize("name", [BYTE, WORD])
+def test_wide_spaces_and_long_chunks_equal_the_library(name, monkeypatch):
+    tok, mine, r = library(name), ChunkEncoder(tokenizer(name), held=2000), random.Random(5)
+    monkeypatch.setattr(encoding, "LONG_BYTES", 2000)
+    parts = [*WIDE, " ", "  ", "\n", "\t", "word", "Été", "it's", "12", "漢字" * 90, "ж" * 20, "x" * 40, "...", "é" * 200]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(600)]
+    texts += ["", None, *WIDE, "\u00a0 ", " \u00a0", "a\u00a0", "\u00a0a", "a \u00a0 b", "a\u00a0 \u3000b", "字" * 5000]
+    for at in range(0, len(texts), 20):
+        some = texts[at : at + 20]
+        ids, counts = mine.encode(some, 7)
+        want = [[*tok.encode(t or "", add_special_tokens=False).ids, 7] for t in some]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        assert mine._table.long_bytes <= 2000 + sum(len((t or "").encode()) for t in some) and all(len(c) <= encoding.LONG_CHUNK for c in mine._table.long)
+
+
+def test_texts_without_white_space_leave_no_keys():
+    mine = ChunkEncoder(tokenizer(BYTE), held=2000)
+    for k in range(12):
+        mine.encode(["".join(chr(0x4E00 + (i * 7919 + k * 31) % 20_000) for i in range(40_000))])
+    assert mine._table.long_bytes == 0 and mine._table.filled < 1000 and len(mine._table.pool) <= 1 << 23

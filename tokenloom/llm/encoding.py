@@ -5,10 +5,11 @@ are the ids of the text (tests compare the two, special tokens included). Chunks
 the ids of those it has seen. Cutting and looking up are array work on the UTF-8 bytes of many texts at once: a chunk of
 at most 16 bytes is its own key of two 64-bit numbers in an open-addressing table, so a hit is exact and
 costs no Python object. The table is bounded; when it is full, chunks that were met once
-since the last sweep go. It is a cache only: what it holds never changes a result.
+since the last sweep go. Longer chunks are kept by their bytes, up to ``LONG_BYTES`` in all, and those of more than ``LONG_CHUNK``
+bytes (a text without white space is one) not at all. It is a cache only: what it holds never changes a result.
 
-Texts that hold a NUL, white space beyond ASCII or the string of a special token, which are rare, are cut by a
-regular expression instead.
+Runs of white space that reach beyond ASCII are encoded by themselves, the text between them as any other. Texts that hold a NUL or the
+string of a special token, which are rare, are cut by a regular expression instead.
 """
 
 from __future__ import annotations
@@ -25,11 +26,15 @@ import pyarrow as pa
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WIDE_SPACE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 WIDE_LEADS = (b"\xc2", b"\xe1", b"\xe2", b"\xe3")
+NARROW = b"\t\n\v\f\r "
+SPACES = re.compile(b"(?:[\t-\r ]|" + WIDE_SPACE.pattern + b")+")
 #: A run of anything but white space with the space before it, or white space as the pre-tokenizers cut it.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 HELD = 1_000_000  # chunks that the cache holds
 STRETCH = 1 << 19  # bytes of text that are worked on at once
+LONG_CHUNK, LONG_BYTES = 256, 16 << 20  # of a chunk that is kept, and of all kept chunks beyond 16 bytes
+RUNS = 10_000  # runs of wide white space whose ids are kept
 
 # Classes of bytes. Letters are those of ASCII and Latin-1, whose classes no Unicode version changes; the apostrophe is
 # no mark, as contractions span it.
@@ -61,6 +66,17 @@ class _Table:
         self.used = np.zeros(size // 2, dtype=bool)
         self.pool, self.filled, self.entries = np.zeros(1 << 20, dtype="<u2"), 0, 0
         self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
+
+    def keep(self, chunks: list[bytes], entries: np.ndarray) -> None:
+        self.long.update(zip(chunks, entries.tolist()))
+        self.long_bytes += sum(map(len, chunks))
+
+    def drop(self, entries: int, filled: int) -> None:
+        """Entries beyond the first few, that no key leads to, go; so does a pool that they have blown up."""
+        self.entries, self.filled = entries, filled
+        if len(self.pool) > 4 * filled + (1 << 22):
+            self.pool = self.pool[: max(filled, 1 << 20)].copy()
 
     def room(self) -> int:
         return len(self.at) - self.entries
@@ -147,6 +163,7 @@ class ChunkEncoder:
         feed = self._tok.encode("\n", add_special_tokens=False).ids
         self._drops_space, self._feed = not feed, feed[0] if feed else -1
         self._folds = self._tok.normalizer is not None and self._tok.normalizer.normalize_str("AZÀÖØÞ") == "azàöøþ"
+        self._runs: dict[tuple[bytes, bool], np.ndarray] = {}
         self._bytes = np.zeros(1 << 16, dtype=np.int64)  # of the text, that an id stands for
         for piece, i in self._tok.get_vocab(with_added_tokens=False).items():
             self._bytes[i] = len(piece.removesuffix("</w>") if self._drops_space else piece)
@@ -157,6 +174,7 @@ class ChunkEncoder:
         counts = np.zeros(len(texts), dtype=np.int64)
         parts: list[bytes] = []
         of: list[int] = []
+        between: list[tuple[int, np.ndarray]] = []  # ids that stand after a part
         size = 0
 
         def work() -> None:
@@ -164,10 +182,16 @@ class ChunkEncoder:
             if parts:
                 last = np.append(np.diff(of) != 0, True)  # the next text may begin in a later stretch, but a text's own never does
                 ids, n = self._flat(parts, None if end_id is None else np.where(last, end_id, -1))
-                out.append(ids)
+                at, upto = 0, np.cumsum(n)
+                for part, run in between:
+                    out.extend((ids[at : upto[part]], run))
+                    at = upto[part]
+                    counts[of[part]] += len(run)
+                out.append(ids[at:])
                 np.add.at(counts, of, n)
             parts.clear()
             of.clear()
+            between.clear()
             size = 0
 
         for i, text in enumerate(texts):
@@ -178,9 +202,12 @@ class ChunkEncoder:
                 counts[i] = len(ids)
                 out.append(ids)
                 continue
-            some = list(stretches(data))
-            parts += some
-            of += [i] * len(some)
+            for piece, run in self._pieces(data):
+                some = list(stretches(piece))
+                parts += some
+                of += [i] * len(some)
+                if run is not None:
+                    between.append((len(parts) - 1, run))
             size += len(data)
             if size >= STRETCH:
                 work()
@@ -188,9 +215,35 @@ class ChunkEncoder:
         return np.concatenate(out) if out else np.zeros(0, "<u2"), counts
 
     def _rare(self, data: bytes) -> bool:
-        if b"\0" in data or any(s in data for s in self._special_bytes):
-            return True
-        return not data.isascii() and any(x in data for x in WIDE_LEADS) and WIDE_SPACE.search(data) is not None
+        return b"\0" in data or any(s in data for s in self._special_bytes)
+
+    def _pieces(self, data: bytes) -> Iterator[tuple[bytes, np.ndarray | None]]:
+        """What lies between runs of white space that reach beyond ASCII, and the ids of the run after each (None: none).
+
+        A run before a word is a chunk without its last character, which is a chunk too unless it is a space: that goes with the word.
+        """
+        at = 0
+        if not data.isascii() and any(x in data for x in WIDE_LEADS):
+            while (m := WIDE_SPACE.search(data, at)) is not None:
+                first = m.start()
+                while first > at and data[first - 1] in NARROW:
+                    first -= 1
+                end = SPACES.match(data, first).end()
+                space = end < len(data) and data[end - 1 : end] == b" "
+                yield data[at:first], self._run(data[first : end - space], end < len(data) and not space)
+                at = end - space
+        yield data[at:], None
+
+    def _run(self, run: bytes, apart: bool) -> np.ndarray:
+        """The ids of a run; apart: its last character is a chunk of its own."""
+        ids = self._runs.get((run, apart))
+        if ids is None:
+            text = run.decode()
+            chunks = [c for c in ((text[:-1], text[-1:]) if apart else (text,)) if c]
+            ids = np.array([i for e in self._tok.encode_batch_fast(chunks, add_special_tokens=False) for i in e.ids], dtype="<u2")
+            if len(self._runs) < RUNS and len(run) <= LONG_CHUNK:
+                self._runs[run, apart] = ids
+        return ids
 
     def _slow(self, text: str, end_id: int | None) -> Iterator[int]:
         at = 0
@@ -236,18 +289,23 @@ class ChunkEncoder:
         if len(over):  # few: by their bytes
             text = [raw[s:e].tobytes() for s, e in zip(start[over].tolist(), end[over].tolist())]
             new = [c for c in dict.fromkeys(text) if c not in table.long]
-            if len(new) > table.room():
+            if len(new) > table.room() or table.long_bytes + sum(len(c) for c in new if len(c) <= LONG_CHUNK) > LONG_BYTES:
                 table.sweep()
                 found[plain], new = self._known(a[plain], b[plain]), list(dict.fromkeys(text))
-            if new:
-                table.long.update(zip(new, table.add(*self._ids([c.decode() for c in new])).tolist()))
-            found[over] = [table.long[c] for c in text]
+            short, once = [c for c in new if len(c) <= LONG_CHUNK], [c for c in new if len(c) > LONG_CHUNK]
+            if short:
+                table.keep(short, table.add(*self._ids([c.decode() for c in short])))
+            kept = table.entries, table.filled
+            passing = dict(zip(once, table.add(*self._ids([c.decode() for c in once])).tolist())) if once else {}
+            found[over] = [passing[c] if len(c) > LONG_CHUNK else table.long[c] for c in text]
         at, count = table.at[found], table.count[found].astype(np.int64)
         count[last] = 0
         if ends is not None:
             count[last] = ends >= 0
             at[last] = 0
         flat = table.pool[spread(at, count)]
+        if len(over):
+            table.drop(*kept)
         upto = np.cumsum(count)
         if ends is not None:
             flat[upto[last[ends >= 0]] - 1] = ends[ends >= 0]
