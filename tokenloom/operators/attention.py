@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,24 +42,89 @@ def attend(score: DataFrame, v: DataFrame) -> DataFrame:
     return weights.join(values, ["b", "h", "s"]).groupBy("b", "h", "p", "k").agg(F.sum(F.col("w") * F.col("val")).alias("v"))
 
 
+def tiles(rows: DataFrame, size: int, out: str) -> DataFrame:
+    """b, h, tile and the rows of each tile, in order of p; a tile holds size positions at most."""
+    own = F.struct("p", *[c for c in rows.columns if c not in ("b", "h", "p")])
+    return rows.groupBy("b", "h", F.floor(F.col("p") / size).alias("tile")).agg(F.sort_array(F.collect_list(own)).alias(out))
+
+
+def _tile_pairs(queries: DataFrame, keys: DataFrame, size: int, causal: bool) -> DataFrame:
+    """Tiles of queries (qs) beside tiles of keys (ks) of the same sequence and head; causal: none whose pairs are all masked."""
+    left, right = tiles(queries, size, "qs"), tiles(keys, size, "ks").withColumnRenamed("tile", "of")
+    pairs = left.join(right, ["b", "h"])
+    return (pairs.where("of <= tile") if causal else pairs).select("b", "h", "qs", "ks")
+
+
+def _matrices(cell, *names: str) -> list[np.ndarray]:
+    return [np.array([r[n] for r in cell], dtype=np.float64) for n in names]
+
+
+def _scores(q: np.ndarray, k: np.ndarray, qp: np.ndarray, kp: np.ndarray, causal: bool) -> np.ndarray:
+    s = q @ k.T / np.sqrt(q.shape[1])
+    return np.where(kp[None, :] <= qp[:, None], s, MASKED) if causal else s
+
+
+def _over_pairs(pairs: DataFrame, kernel: Callable[[list, list], Iterator[tuple]], columns: list[str], shape: str) -> DataFrame:
+    """b, h and what kernel yields for the rows of two tiles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(b, h, *r) for b, h, qs, ks in zip(pdf["b"], pdf["h"], pdf["qs"], pdf["ks"]) for r in kernel(qs, ks)]
+            yield pd.DataFrame(out, columns=["b", "h", *columns])
+
+    return pairs.mapInPandas(run, f"b {dict(pairs.dtypes)['b']}, h {dict(pairs.dtypes)['h']}, {shape}")
+
+
 def tiled(q: DataFrame, k: DataFrame, v: DataFrame, tile: int, causal: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Output (b, h, p, k, v) and log-sum-exp (b, h, p, lse), from partial (max, sum, output) of each key tile.
+    """Output (b, h, p, k, v) and log-sum-exp (b, h, p, lse), from partial (max, sum, output) of each pair of tiles.
 
-    The partials merge by rescaling, in any order, so a long key sequence needs no single sort or window.
+    A task sees one tile of queries and one of keys at a time, so no score is ever a row; the partials merge by
+    rescaling, in any order.
     """
-    s = scores(q, k, causal, soft=causal).withColumn("tile", F.floor(F.col("s") / tile))
-    keys = ["b", "h", "p", "tile"]
-    top = s.groupBy(*keys).agg(F.max("score").alias("m"))
-    e = s.join(top, keys).withColumn("e", F.exp(F.col("score") - F.col("m")))
-    part = e.groupBy(*keys).agg(F.first("m").alias("m"), F.sum("e").alias("l"))
-    values = v.select("b", "h", F.col("p").alias("s"), F.posexplode("x").alias("k", "val"))
-    out = e.join(values, ["b", "h", "s"]).groupBy(*keys, "k").agg(F.sum(F.col("e") * F.col("val")).alias("o"))
-    whole = part.groupBy("b", "h", "p").agg(F.max("m").alias("all"))
-    scaled = part.join(whole, ["b", "h", "p"]).withColumn("f", F.exp(F.col("m") - F.col("all")))
-    norm = scaled.groupBy("b", "h", "p").agg(F.sum(F.col("l") * F.col("f")).alias("z"), F.first("all").alias("all"))
-    merged = out.join(scaled.select(*keys, "f"), keys).groupBy("b", "h", "p", "k").agg(F.sum(F.col("o") * F.col("f")).alias("o"))
-    result = merged.join(norm, ["b", "h", "p"]).select("b", "h", "p", "k", (F.col("o") / F.col("z")).alias("v"))
-    return result, norm.select("b", "h", "p", (F.col("all") + F.log("z")).alias("lse"))
+    done = _forward(q, k, v, tile, causal)
+    return done.select("b", "h", "p", F.posexplode("o").alias("k", "v")), done.select("b", "h", "p", "lse")
+
+
+def _forward(q: DataFrame, k: DataFrame, v: DataFrame, tile: int, causal: bool) -> DataFrame:
+    """b, h, p, o (array) and lse."""
+
+    def partial(qs: list, ks: list) -> Iterator[tuple]:
+        (qp, x), (kp, y, val) = _matrices(qs, "p", "x"), _matrices(ks, "p", "x", "y")
+        s = _scores(x, y, qp, kp, causal)
+        top = s.max(axis=1)
+        e = np.exp(s - top[:, None])
+        yield from zip(qp.astype(np.int64).tolist(), top.tolist(), np.column_stack([e @ val, e.sum(axis=1)]).tolist())
+
+    keys = k.join(v.select("b", "h", "p", F.col("x").alias("y")), ["b", "h", "p"])
+    parts = _over_pairs(_tile_pairs(q, keys, tile, causal), partial, ["p", "m", "o"], "p bigint, m double, o array<double>")
+    whole = Window.partitionBy("b", "h", "p")  # a row a tile of keys
+    scaled = parts.withColumn("top", F.max("m").over(whole)).withColumn("f", F.exp(F.col("m") - F.col("top")))
+    sums = scaled.select("b", "h", "p", "top", "f", F.posexplode("o").alias("k", "o")).groupBy("b", "h", "p", "k").agg(F.sum(F.col("o") * F.col("f")).alias("o"), F.first("top").alias("top"))
+    rows = sums.groupBy("b", "h", "p").agg(F.sort_array(F.collect_list(F.struct("k", "o"))).alias("os"), F.first("top").alias("top"))
+    norm = F.element_at("os", -1)["o"]  # the last column is the sum of weights
+    return rows.select("b", "h", "p", F.transform(F.slice("os", F.lit(1), F.size("os") - 1), lambda c: c["o"] / norm).alias("o"), (F.col("top") + F.log(norm)).alias("lse"))
+
+
+def backward_tiled(q: DataFrame, k: DataFrame, v: DataFrame, grad: DataFrame, tile: int, causal: bool = False) -> DataFrame:
+    """which (dq, dk, dv), b, h, p, k, v: as backward, but probabilities come again from the forward pass's log-sum-exp, one pair of tiles at a time.
+
+    The partial gradients of pairs are summed by position; no row of scores or probabilities is kept or shuffled.
+    """
+
+    def partial(qs: list, ks: list) -> Iterator[tuple]:
+        (qp, x, g, lse, delta), (kp, y, val) = _matrices(qs, "p", "x", "g", "lse", "delta"), _matrices(ks, "p", "x", "y")
+        p = np.exp(_scores(x, y, qp, kp, causal) - lse[:, None])
+        ds = p * (g @ val.T - delta[:, None]) / np.sqrt(x.shape[1])
+        for which, at, m in (("dq", qp, ds @ y), ("dk", kp, ds.T @ x), ("dv", kp, p.T @ g)):
+            for i, row in zip(at.astype(np.int64).tolist(), m.tolist()):
+                yield which, i, row
+
+    passed = grad.select("b", "h", "p", F.col("x").alias("g")).join(_forward(q, k, v, tile, causal), ["b", "h", "p"])
+    delta = F.aggregate(F.zip_with("g", "o", lambda a, c: a * c), F.lit(0.0), lambda a, c: a + c)
+    queries = q.join(passed.select("b", "h", "p", "g", "lse", delta.alias("delta")), ["b", "h", "p"])
+    keys = k.join(v.select("b", "h", "p", F.col("x").alias("y")), ["b", "h", "p"])
+    parts = _over_pairs(_tile_pairs(queries, keys, tile, causal), partial, ["which", "p", "x"], "which string, p bigint, x array<double>")
+    return parts.select("which", "b", "h", "p", F.posexplode("x").alias("k", "v")).groupBy("which", "b", "h", "p", "k").agg(F.sum("v").alias("v"))
 
 
 def backward(q: DataFrame, k: DataFrame, v: DataFrame, grad: DataFrame, causal: bool = False) -> DataFrame:

@@ -238,6 +238,15 @@ def sdpa_backward(spark, d):
     return g.select("which", *[F.col(c).cast("bigint").alias(c) for c in ("b", "h", "p", "k")], rounded("v").alias("v"))
 
 
+def _backward_tiled(causal: bool):
+    def run(spark, d):
+        q, k, v = qkv(spark, d)
+        g = A.backward_tiled(q, k, v, heads(spark, d, 4), tile=3, causal=causal)
+        return g.select("which", *[F.col(c).cast("bigint").alias(c) for c in ("b", "h", "p", "k")], rounded("v").alias("v"))
+
+    return run
+
+
 _BACK = [
     *QKV, heads_sql("g", 4), scores_sql("AND c.p <= q.p"), _SOFT, _OUT,
     "dl AS (SELECT b, h, p, sum(g.v * o.v) AS delta FROM g JOIN o USING (b, h, p, k) GROUP BY b, h, p)",
@@ -392,7 +401,7 @@ QUERIES = {
     "linear": linear, "matmul": matmul, "embedding_lookup": embedding_lookup, "rmsnorm": rmsnorm, "silu": silu, "residual_add": residual_add,
     "swiglu": _ffn("swiglu"), "swiglu_columns": swiglu_columns, "silu_ffn": _ffn("silu"), "rope": _rope(False), "rope_halves": _rope(True),
     "softmax": softmax, "softmax_over_rows": softmax_over_rows, "log_softmax": log_softmax, "logsumexp": logsumexp, "cross_entropy": cross_entropy, "cross_entropy_large": cross_entropy_large,
-    "sdpa": sdpa, "sdpa_causal": sdpa_causal, "sdpa_mask": sdpa_mask, "sdpa_tiled": sdpa_tiled, "attention_lse": attention_lse, "sdpa_backward": sdpa_backward,
+    "sdpa": sdpa, "sdpa_causal": sdpa_causal, "sdpa_mask": sdpa_mask, "sdpa_tiled": sdpa_tiled, "attention_lse": attention_lse, "sdpa_backward": sdpa_backward, "sdpa_backward_tiled": _backward_tiled(True), "sdpa_backward_tiled_full": _backward_tiled(False),
     "mha": mha, "mha_rope": mha_rope, "transformer_block": _block("pre"), "transformer_block_post": _block("post"), "transformer_block_none": _block("none", "silu"), "transformer_lm": transformer_lm, "param_count": param_count, "linear_half": linear_half, "config_capture": config_capture,
 }
 ORACLES = {
@@ -419,6 +428,8 @@ ORACLES = {
     "sdpa_tiled": "WITH " + ",\n".join([*QKV, scores_sql("", "CASE WHEN c.p <= q.p THEN {dot} ELSE -1e6 END"), _SOFT, _OUT]) + _ROUND,
     "attention_lse": "WITH " + ",\n".join([*QKV[:3], scores_sql()]) + " SELECT b, h, p, round(m + ln(sum(exp(score - m))), 6) AS lse FROM (SELECT *, max(score) OVER (PARTITION BY b, h, p) AS m FROM sc) GROUP BY b, h, p, m",
     "sdpa_backward": BACKWARD_SQL,
+    "sdpa_backward_tiled": BACKWARD_SQL,
+    "sdpa_backward_tiled_full": BACKWARD_SQL.replace(scores_sql("AND c.p <= q.p"), scores_sql()),
     "mha": seq_sql([S, *mha_ctes("x", "0", 10, rotate=False)], "mh0"),
     "mha_rope": seq_sql([S, *mha_ctes("x", "0", 10)], "mh0"),
     "transformer_block": seq_sql([S, *block_ctes("x", "0", 10)], "y0"),
