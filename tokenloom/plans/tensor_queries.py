@@ -296,10 +296,13 @@ def lm_weights() -> dict:
     return {"embedding": weights(VOCAB, D, 5), "layers": [layer(10 + 20 * i) for i in range(LAYERS)], "ln_final": gain(), "head": weights(VOCAB, D, 6)}
 
 
-def transformer_lm(spark, d):
-    w = lm_weights()
+def lm_logits(spark, d, w: dict, heads: int, theta: float):
     ids = vectors(spark, d).select(F.floor(F.col("vec_id") / SEQ).alias("b"), (F.col("vec_id") % SEQ).alias("p"), F.array((F.col("vec_id") * 7) % VOCAB).alias("x"))
-    return _seq_out(R.over_sequences(ids, lambda x: dense.language_model(x[:, 0].astype(int), w, HEADS, THETA), VOCAB))
+    return _seq_out(R.over_sequences(ids, lambda x: dense.language_model(x[:, 0].astype(int), w, heads, theta), VOCAB))
+
+
+def transformer_lm(spark, d):
+    return lm_logits(spark, d, lm_weights(), HEADS, THETA)
 
 
 S = f"x AS MATERIALIZED (SELECT vec_id // {SEQ} AS b, vec_id % {SEQ} AS p, k, v FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings))"
@@ -368,16 +371,17 @@ LINEAR_HALF_SQL = done([X, _HALF_W, f"hx AS MATERIALIZED (SELECT vec_id, k, {hal
 
 
 def config_capture(spark, d):
-    """The model's constructor arguments as one row, written and read back."""
+    """The arguments of a model with a row of its embedding for every vector, written and read back."""
     from ..sources import vocab
     from ..sources.scratch import scratch_path
 
     path = scratch_path(spark, "config")
-    spark.createDataFrame([(VOCAB, SEQ, D, LAYERS, HEADS, FF, THETA)], "vocab_size int, context_length int, d_model int, num_layers int, num_heads int, d_ff int, rope_theta double").coalesce(1).write.json(path)
-    return vocab.config(spark, path, "vocab_size int, context_length int, d_model int, num_layers int, num_heads int, d_ff int, rope_theta double")
+    size = vectors(spark, d).agg(F.count("*").cast("int").alias("vocab_size"), F.lit(SEQ).alias("context_length"), F.max(F.size("x")).alias("d_model"))
+    size.select("*", F.lit(LAYERS).alias("num_layers"), F.lit(HEADS).alias("num_heads"), F.lit(FF).alias("d_ff"), F.lit(THETA).alias("rope_theta")).coalesce(1).write.json(path)
+    return vocab.config(spark, path, vocab.CONFIG)
 
 
-CONFIG_SQL = f"SELECT {VOCAB} AS vocab_size, {SEQ} AS context_length, {D} AS d_model, {LAYERS} AS num_layers, {HEADS} AS num_heads, {FF} AS d_ff, CAST({THETA} AS DOUBLE) AS rope_theta"
+CONFIG_SQL = f"SELECT CAST(count(*) AS INT) AS vocab_size, {SEQ} AS context_length, CAST(max(len(embedding)) AS INT) AS d_model, {LAYERS} AS num_layers, {HEADS} AS num_heads, {FF} AS d_ff, CAST({THETA} AS DOUBLE) AS rope_theta FROM embeddings"
 
 
 def parameters(spark) -> DataFrame:
@@ -391,11 +395,14 @@ def parameters(spark) -> DataFrame:
 
 
 def param_count(spark, d):
-    return R.param_count(parameters(spark))
+    """Of a model whose embedding has a row for every vector."""
+    own = vectors(spark, d).select(F.lit("embedding").alias("name"), F.col("vec_id").cast("int").alias("i"), F.posexplode("x").alias("j", "v"))
+    return R.param_count(parameters(spark).where("name != 'embedding'").unionByName(own))
 
 
 _SHAPES = [("embedding", VOCAB * D), ("head", VOCAB * D), ("ln_final", D)] + [(f"layers.{n}.{k}", c) for n in range(LAYERS) for k, c in (("q", D * D), ("k", D * D), ("v", D * D), ("o", D * D), ("w1", FF * D), ("w3", FF * D), ("w2", FF * D), ("ln1", D), ("ln2", D))]
-PARAM_COUNT_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({c} AS BIGINT))" for n, c in [*_SHAPES, ("total", sum(c for _, c in _SHAPES))]) + ") t(name, n)"
+_FIXED = [(n, c) for n, c in _SHAPES if n != "embedding"]
+PARAM_COUNT_SQL = "WITH t AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({c} AS BIGINT))" for n, c in _FIXED) + f") t(name, n) UNION ALL SELECT 'embedding', count(*) * {D} FROM embeddings) SELECT * FROM t UNION ALL SELECT 'total', CAST(sum(n) AS BIGINT) FROM t"
 
 QUERIES = {
     "linear": linear, "matmul": matmul, "embedding_lookup": embedding_lookup, "rmsnorm": rmsnorm, "silu": silu, "residual_add": residual_add,

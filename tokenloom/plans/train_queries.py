@@ -10,7 +10,7 @@ from ..sources import state as S
 from ..sources import vocab as V
 from ..sources.scratch import scratch_path, written
 from .sqlgen import weight
-from .tensor_queries import _SHAPES, D, HEADS, VOCAB, block_ctes, cell, lin, lm_weights, parameters, rms, rounded, vectors
+from .tensor_queries import _SHAPES, LM_SQL, SEQ, THETA, D, HEADS, VOCAB, block_ctes, cell, lin, lm_logits, lm_weights, parameters, rms, rounded, vectors
 
 ROWS = 8
 
@@ -35,15 +35,24 @@ GRADS = f"{X}, g AS MATERIALIZED (SELECT 'w' AS name, CAST(vec_id % {ROWS} AS IN
 P0 = f"p AS (SELECT 'w' AS name, CAST(i AS INT) AS i, CAST(j AS INT) AS j, {weight('i', 'j')} AS v FROM range({ROWS}) a(i), range({D}) b(j))"
 
 
+def table_params(spark, d) -> DataFrame:
+    """name, i, j, v, label: the whole embeddings table as one parameter matrix, a row a vector."""
+    return vectors(spark, d).select(F.lit("w").alias("name"), F.col("vec_id").cast("int").alias("i"), F.posexplode("x").alias("j", "v"), "label")
+
+
+TABLE = f"{X}, p AS (SELECT 'w' AS name, CAST(vec_id AS INT) AS i, CAST(k AS INT) AS j, v, label FROM x JOIN embeddings USING (vec_id))"
+
+
 def lr_cosine(spark, d):
-    return spark.range(25).select(F.col("id").alias("step"), rounded_col(optim.cosine_lr(F.col("id"), 1.0, 0.1, 7, 21), 9).alias("lr"))
+    """The rate at the step of every vector."""
+    return vectors(spark, d).select(F.col("vec_id").alias("step"), rounded_col(optim.cosine_lr(F.col("vec_id"), 1.0, 0.1, 100, 400), 9).alias("lr"))
 
 
 def rounded_col(c, digits=6):
     return F.round(c, digits) + F.lit(0.0)
 
 
-LR_SQL = "SELECT step, round(CASE WHEN step < 7 THEN step / CAST(7 AS DOUBLE) WHEN step <= 21 THEN 0.1 + 0.5 * (1 + cos(pi() * (step - 7) / 14)) * 0.9 ELSE 0.1 END, 9) + 0.0 AS lr FROM range(25) t(step)"
+LR_SQL = "SELECT step, round(CASE WHEN step < 100 THEN step / CAST(100 AS DOUBLE) WHEN step <= 400 THEN 0.1 + 0.5 * (1 + cos(pi() * (step - 100) / 300)) * 0.9 ELSE 0.1 END, 9) + 0.0 AS lr FROM (SELECT vec_id AS step FROM embeddings)"
 
 
 def grad_norm(spark, d):
@@ -95,23 +104,20 @@ _RANKS = f"{X}, r AS (SELECT vec_id % 4 AS rank, vec_id // 4 % {ROWS} AS i, k AS
 
 
 def fsdp_shards(spark, d):
-    s = optim.sharded(parameters(spark), 2)
+    """The table's matrix on two shards by rows, and its mean row on both."""
+    whole = table_params(spark, d).drop("label")
+    mean = whole.groupBy("j").agg(F.avg("v").alias("v")).select(F.lit("mean").alias("name"), F.lit(0).alias("i"), "j", "v")
+    s = optim.sharded(whole.unionByName(mean), 2)
     return s.groupBy("name", "shard").agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("total")).withColumn("total", F.col("total") + F.lit(0.0))
 
 
-def _fsdp_sql() -> str:
-    rows = []
-    for n, c in _SHAPES:
-        r = c // D if c > D and not n.endswith("w2") else (D if n.endswith("w2") else 1)
-        rows.append(f"('{n}', {r}, {c // r})")
-    return f"""WITH t(name, r, c) AS (VALUES {', '.join(rows)}),
-p AS (SELECT name, r, i, j, {weight('i', 'j')} AS v FROM t, range(128) a(i), range(128) b(j) WHERE i < r AND j < c),
-s AS (SELECT name, v, CAST(i * 2 // r AS INT) AS shard FROM p WHERE r > 1 UNION ALL SELECT name, v, CAST(q AS INT) FROM p, range(2) u(q) WHERE r = 1)
+FSDP_SQL = f"""WITH {TABLE}, r AS (SELECT max(i) + 1 AS r FROM p),
+s AS (SELECT name, v, CAST(i * 2 // r AS INT) AS shard FROM p, r UNION ALL SELECT 'mean', m.v, CAST(q AS INT) FROM (SELECT j, avg(v) AS v FROM p GROUP BY j) m, range(2) u(q))
 SELECT name, shard, count(*) AS n, round(sum(v), 6) + 0.0 AS total FROM s GROUP BY name, shard"""
 
 
 def fsdp_gather(spark, d):
-    return optim.gathered(optim.sharded(params(spark), 3)).select(*optim.KEYS, rounded("v", 9).alias("v"))
+    return optim.gathered(optim.sharded(table_params(spark, d).drop("label"), 3)).select(*optim.KEYS, rounded("v", 9).alias("v"))
 
 
 def fsdp_reduce_scatter(spark, d):
@@ -129,8 +135,9 @@ def sharded_adamw(spark, d):
 
 
 def replica_check(spark, d):
-    r = params(spark).withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    off = r.withColumn("v", F.when((F.col("rank") == 2) & (F.col("i") == 3), F.col("v") + 0.25).otherwise(F.col("v")))
+    """Four replicas of the table's matrix; one has drifted in the rows of a label."""
+    r = table_params(spark, d).withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    off = r.withColumn("v", F.when((F.col("rank") == 2) & (F.col("label") % 4 == 3), F.col("v") + 0.25).otherwise(F.col("v")))
     return optim.differing_replicas(off, 1e-9).select(*optim.KEYS, rounded("spread").alias("spread"))
 
 
@@ -267,19 +274,43 @@ def checkpoint_roundtrip(spark, d):
 
 
 def pretrained_names(spark, d):
-    named = parameters(spark).withColumn("name", F.concat(F.lit("_orig_mod."), "name"))
-    return V.plain_names(named).groupBy("name").agg(F.count("*").alias("n"))
+    """Names of a compiled model whose embedding is the table's matrix."""
+    named = parameters(spark).where("name != 'embedding'").unionByName(table_params(spark, d).drop("label").withColumn("name", F.lit("embedding")))
+    return V.plain_names(named.withColumn("name", F.concat(F.lit("_orig_mod."), "name"))).groupBy("name").agg(F.count("*").alias("n"))
+
+
+PRETRAINED_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({c} AS BIGINT))" for n, c in _SHAPES if n != "embedding") + f") t(name, n) UNION ALL SELECT 'embedding', count(*) * {D} FROM embeddings"
+
+
+def pretrained_lm(spark, d):
+    """A model saved under compiled names, loaded as a whole and run on the ids of the vectors."""
+    path = scratch_path(spark, "model")
+    row = spark.createDataFrame([(VOCAB, SEQ, D, 2, HEADS, 128, THETA)], V.CONFIG)
+    V.save_model(pretrained(spark), row, path)
+    settings, w = V.load_model(spark, path)
+    return lm_logits(spark, d, w, settings["num_heads"], settings["rope_theta"])
+
+
+def pretrained(spark) -> DataFrame:
+    """The test model's parameters under the names of a compiled model."""
+    flat = {"embedding": (w := lm_weights())["embedding"], "head": w["head"], "ln_final": w["ln_final"][None, :]}
+    for n, own in enumerate(w["layers"]):
+        flat |= {f"layers.{n}.{k}": m if m.ndim == 2 else m[None, :] for k, m in own.items()}
+    rows = [(f"_orig_mod.{name}", m.tolist()) for name, m in flat.items()]
+    table = spark.createDataFrame(rows, "name string, m array<array<double>>")
+    return table.select("name", F.posexplode("m").alias("i", "r")).select("name", "i", F.posexplode("r").alias("j", "v"))
 
 
 def snapshot_compare(spark, d):
-    a = params(spark)
-    b = a.where("NOT (i = 1 AND j < 3)").withColumn("v", F.when((F.col("i") == 4) & (F.col("j") % 16 == 0), F.col("v") + 0.01).otherwise(F.col("v") * (1 + 1e-7)))
+    """The table's matrix against a copy that lacks some cells and differs in others."""
+    a = table_params(spark, d)
+    b = a.where("NOT (label % 4 = 1 AND j < 3)").withColumn("v", F.when((F.col("i") % 8 == 4) & (F.col("j") % 16 == 0), F.col("v") + 0.01).otherwise(F.col("v") * (1 + 1e-7)))
     return verify.not_close(a, b, optim.KEYS).select("i", "j", F.col("right_v").isNull().alias("missing"))
 
 
 def key_compare(spark, d):
-    a, b = params(spark).where("i < 6"), params(spark).where("i > 1")
-    return verify.different_keys(a, b, optim.KEYS).select("i", "j", "side")
+    p = table_params(spark, d)
+    return verify.different_keys(p.where("label % 4 < 3"), p.where("label % 4 > 0"), optim.KEYS).select("i", "j", "side")
 
 
 def object_compare(spark, d):
@@ -302,7 +333,7 @@ QUERIES = {
     "adamw_step": _adamw(1), "adamw_three_steps": _adamw(3), "adamw_step_eps_variant": _adamw(2, True),
     "ddp_grad_avg": ddp_grad_avg, "fsdp_shards": fsdp_shards, "fsdp_gather": fsdp_gather, "fsdp_reduce_scatter": fsdp_reduce_scatter, "sharded_adamw": sharded_adamw, "replica_check": replica_check,
     "temperature": temperature, "topp_filter": topp_filter, "topk_filter": topk_filter, "inverse_cdf_sample": inverse_cdf_sample, "greedy_generate": greedy_generate, "lm_generate_topp": _generate(t=0.8, p=0.9, end=7), "lm_generate_topk": _generate(t=0.8, k=5, end=7, keep_end=False, return_prompt=False),
-    "train_loop": train_loop, "checkpoint_roundtrip": checkpoint_roundtrip, "pretrained_names": pretrained_names,
+    "train_loop": train_loop, "checkpoint_roundtrip": checkpoint_roundtrip, "pretrained_names": pretrained_names, "pretrained_lm": pretrained_lm,
     "snapshot_compare": snapshot_compare, "key_compare": key_compare, "object_compare": object_compare, "deviation_bound": deviation_bound,
 }
 _SHARDED = adamw_sql(1, False)
@@ -316,11 +347,11 @@ ORACLES = {
     "adamw_three_steps": adamw_sql(3, False),
     "adamw_step_eps_variant": adamw_sql(2, True),
     "ddp_grad_avg": f"WITH {_RANKS} SELECT name, i, j, round(v, 6) + 0.0 AS v FROM a",
-    "fsdp_shards": _fsdp_sql(),
-    "fsdp_gather": f"WITH {P0} SELECT name, i, j, round(v, 9) + 0.0 AS v FROM p",
+    "fsdp_shards": FSDP_SQL,
+    "fsdp_gather": f"WITH {TABLE} SELECT name, i, j, round(v, 9) + 0.0 AS v FROM p",
     "fsdp_reduce_scatter": f"WITH {_RANKS} SELECT CAST(i * 4 // {ROWS} AS INT) AS shard, name, i, j, round(v, 6) + 0.0 AS v FROM a",
     "sharded_adamw": _SHARDED,
-    "replica_check": f"SELECT 'w' AS name, CAST(3 AS INT) AS i, CAST(j AS INT) AS j, CAST(0.25 AS DOUBLE) AS spread FROM range({D}) b(j)",
+    "replica_check": f"WITH {TABLE} SELECT name, i, j, CAST(0.25 AS DOUBLE) AS spread FROM p WHERE label % 4 = 3",
     "temperature": "WITH " + _LOGITS.format(" / 0.7", " / 0.7") + " SELECT b, token, round(p, 6) + 0.0 AS p FROM p",
     "topp_filter": f"WITH {_L}, c AS (SELECT b, token, p, sum(p) OVER (PARTITION BY b ORDER BY p DESC, token ROWS UNBOUNDED PRECEDING) AS cum, row_number() OVER (PARTITION BY b ORDER BY p DESC, token) AS rn FROM p), k AS (SELECT * FROM c WHERE cum <= 0.6 OR rn = 1) SELECT b, token, round(p / sum(p) OVER (PARTITION BY b), 6) + 0.0 AS p FROM k",
     "topk_filter": f"WITH {_L} SELECT b, token, round(logit, 6) + 0.0 AS logit FROM (SELECT *, rank() OVER (PARTITION BY b ORDER BY logit DESC) AS r FROM l) WHERE r <= 5",
@@ -330,9 +361,10 @@ ORACLES = {
     "lm_generate_topk": generate_sql(0.8, "rk <= 5", 7, False, False),
     "train_loop": train_loop_sql(),
     "checkpoint_roundtrip": f"SELECT *, CAST(2 AS INT) AS iteration FROM ({adamw_sql(2, False)})",
-    "pretrained_names": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({c} AS BIGINT))" for n, c in _SHAPES) + ") t(name, n)",
-    "snapshot_compare": f"SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, i = 1 AS missing FROM range({ROWS}) a(i), range({D}) b(j) WHERE (i = 1 AND j < 3) OR (i = 4 AND j % 16 = 0)",
-    "key_compare": f"SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CASE WHEN i < 2 THEN 'left' ELSE 'right' END AS side FROM range({ROWS}) a(i), range({D}) b(j) WHERE i < 2 OR i >= 6",
+    "pretrained_names": PRETRAINED_SQL,
+    "pretrained_lm": LM_SQL,
+    "snapshot_compare": f"WITH {TABLE} SELECT i, j, label % 4 = 1 AND j < 3 AS missing FROM p WHERE (label % 4 = 1 AND j < 3) OR (i % 8 = 4 AND j % 16 = 0)",
+    "key_compare": f"WITH {TABLE} SELECT i, j, CASE WHEN label % 4 = 0 THEN 'left' ELSE 'right' END AS side FROM p WHERE label % 4 IN (0, 3)",
     "object_compare": "SELECT n_nationkey, n_name, n_regionkey, 'left' AS side FROM nation WHERE n_nationkey = 3 UNION ALL SELECT n_nationkey, 'changed', n_regionkey, 'right' FROM nation WHERE n_nationkey = 3",
     "deviation_bound": f"SELECT start, n FROM ({_HIST}) WHERE abs(n - 16000 / CAST(93 AS DOUBLE)) > 5 * sqrt(16000 / CAST(93 AS DOUBLE) * (1 - 1 / CAST(93 AS DOUBLE)))",
 }

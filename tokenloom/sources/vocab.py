@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +63,53 @@ def config(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def plain_names(params: DataFrame) -> DataFrame:
     """Parameter names without the prefix that compiled models add."""
     return params.withColumn("name", F.regexp_replace("name", r"^_orig_mod\.", ""))
+
+
+def shapes(config: dict) -> dict[str, tuple[int, int]]:
+    """Rows and columns of every parameter of a configured model; gains are one row."""
+    v, d, ff = config["vocab_size"], config["d_model"], config["d_ff"]
+    out = {"embedding": (v, d), "head": (v, d), "ln_final": (1, d)}
+    for n in range(config["num_layers"]):
+        layer = {**{c: (d, d) for c in "qkvo"}, "w1": (ff, d), "w3": (ff, d), "w2": (d, ff), "ln1": (1, d), "ln2": (1, d)}
+        out |= {f"layers.{n}.{k}": s for k, s in layer.items()}
+    return out
+
+
+CONFIG = "vocab_size int, context_length int, d_model int, num_layers int, num_heads int, d_ff int, rope_theta double"
+
+
+def save_model(params: DataFrame, config_row: DataFrame, path: str) -> None:
+    """path/parameters: name, i, j, v; path/config: one JSON object."""
+    params.select("name", "i", "j", "v").write.parquet(f"{path}/parameters")
+    config_row.coalesce(1).write.json(f"{path}/config")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[dict, dict]:
+    """The configuration, and the parameters as a tree for the Transformer kernels: embedding, head, ln_final and layers by number.
+
+    Names lose the prefix of compiled models. A name that the configuration doesn't have, one that is missing, and a matrix with
+    missing, repeated or further cells raise an error before any cell comes to the driver; what comes is the model.
+    """
+    settings = config(spark, f"{path}/config", CONFIG).head().asDict()
+    want = shapes(settings)
+    params = plain_names(spark.read.parquet(f"{path}/parameters"))
+    have = {r["name"]: r for r in params.groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("i", "j").alias("cells"), F.max("i").alias("i"), F.max("j").alias("j")).collect()}
+    if unknown := sorted(set(have) - set(want)):
+        raise ValueError(f"unknown parameters: {', '.join(unknown)}")
+    if missing := sorted(set(want) - set(have)):
+        raise ValueError(f"missing parameters: {', '.join(missing)}")
+    for name, (rows, columns) in want.items():
+        r = have[name]
+        if not r["n"] == r["cells"] == rows * columns or (r["i"], r["j"]) != (rows - 1, columns - 1):
+            raise ValueError(f"{name} is not {rows} by {columns}")
+    tree: dict = {"layers": [{} for _ in range(settings["num_layers"])]}
+    for name, cells in params.select("name", "i", "j", "v").toPandas().groupby("name"):
+        m = np.zeros(want[name])
+        m[cells["i"], cells["j"]] = cells["v"]
+        m = m[0] if name.rpartition(".")[2].startswith("ln") else m
+        if name.startswith("layers."):
+            _, n, own = name.split(".")
+            tree["layers"][int(n)][own] = m
+        else:
+            tree[name] = m
+    return settings, tree
