@@ -17,6 +17,7 @@ def pretokens(text: Column) -> Column:
 def pretokens_sql(text: str) -> str:
     """The same in a dialect without lookahead: the last white space of a run before a word is cut off first."""
     cut = rf"regexp_replace({text}, '(\s+)(\s)(\S)', concat('\1', chr(1), '\2\3'), 'g')"
+    # Fixed value: the same public pattern without its lookahead.
     pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+".replace("'", "''")
     return f"flatten(list_transform(string_split({cut}, chr(1)), lambda p: regexp_extract_all(p, '{pattern}')))"
 
@@ -64,3 +65,10 @@ def merge_pair(tokens: Column, left: Column, right: Column) -> Column:
         return F.when(hit, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
 
     return F.aggregate(tokens, F.array().cast("array<string>"), step)
+
+
+def without_broken_bytes(text: Column) -> Column:
+    """text without the bytes that are not UTF-8; a replacement character that stands in the text stays."""
+    kept = F.replace(F.replace(text, F.lit("\u0001"), F.lit("\u0001a")), F.lit("\ufffd"), F.lit("\u0001b"))
+    clean = F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit(""))
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.replace(clean, F.lit("\u0001b"), F.lit("\ufffd")), F.lit("\u0001a"), F.lit("\u0001")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +88,38 @@ def reduce_scattered(grads: DataFrame, shards: int) -> DataFrame:
     return sharded(averaged(grads), shards)
 
 
+def compute_copy(shards: DataFrame, of: Callable[[Column], Column]) -> DataFrame:
+    """Full parameters (name, i, j, v) in a compute type, gathered from shards of the master ones, which stay as they are."""
+    return gathered(shards).withColumn("v", of(F.col("v")))
+
+
+def linear_gradient(rows: DataFrame, weights: DataFrame, name: str) -> DataFrame:
+    """rank, name, i, j, v: each rank's mean gradient of (x W^T - y)^2 / 2 over its rows (rank, x, y); y has an entry a row of W."""
+    spread = rows.select("rank", F.monotonically_increasing_id().alias("row"), "x", "y")
+    w = weights.where(F.col("name") == name).groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda c: c["v"]).alias("w"))
+    matrix = w.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda r: r["w"]).alias("m"))  # one row: the layer that is computed
+    off = lambda m: F.transform(m, lambda r, i: F.aggregate(F.zip_with(r, "x", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) - F.get("y", i))
+    each = spread.crossJoin(F.broadcast(matrix)).select("rank", "x", F.posexplode(off(F.col("m"))).alias("i", "e")).select("rank", "i", "e", F.posexplode("x").alias("j", "x"))
+    return each.groupBy("rank", "i", "j").agg(F.avg(F.col("e") * F.col("x")).alias("v")).select("rank", F.lit(name).alias("name"), "i", "j", "v")
+
+
+def sharded_step(shards: DataFrame, rows: DataFrame, name: str, many: int, step: int, of: Callable[[Column], Column], **options) -> DataFrame:
+    """The next shards (shard, name, i, j, v, m, s) of a linear layer after one step on the ranks' rows (rank, x, y).
+
+    Weights are gathered and rounded by of, used with rounded inputs, and let go; the mean gradient goes back to the shards, rounded too.
+    The master parameters are kept in single precision and each shard updates its own.
+    """
+    copied = rows.select("rank", *[F.transform(c, of).alias(c) for c in ("x", "y")])
+    grads = linear_gradient(copied, compute_copy(shards.select("shard", *KEYS, "v"), of), name)
+    back = reduce_scattered(grads, many).withColumn("v", of(F.col("v")))
+    state = shards.withColumn("name", F.concat_ws("@", "name", F.col("shard").cast("string")))
+    own = back.withColumn("name", F.concat_ws("@", "name", F.col("shard").cast("string")))
+    single = lambda c: F.col(c).cast("float").cast("double").alias(c)
+    new = adamw(state, own.select(*KEYS, "v"), step, **options)
+    part = F.split("name", "@")
+    return new.select(part[1].cast("int").alias("shard"), part[0].alias("name"), "i", "j", *[single(c) for c in ("v", "m", "s")])
+
+
 def differing_replicas(replicas: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Rows of (rank, name, i, j, v) whose values on some ranks lie further apart than tolerance."""
     return replicas.groupBy(*KEYS).agg((F.max("v") - F.min("v")).alias("spread")).where(F.col("spread") > tolerance)

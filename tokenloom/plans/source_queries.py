@@ -48,6 +48,23 @@ def chunk_boundaries(spark, d):
     return T.docs(spark, d).select("doc_id", files.boundaries(F.encode("text", "UTF-8"), 4, "\n").alias("b")).select("doc_id", F.array_join(F.col("b").cast("array<string>"), ",").alias("boundaries"))
 
 
+def file_chunks(spark, d):
+    """All texts as records of 16 files, each cut into eight chunks at delimiters: where chunks start."""
+    path = scratch_path(spark, "files")
+    rows = T.docs(spark, d).where("text IS NOT NULL").select("doc_id", F.concat("text", F.lit(DELIMITER)).alias("value"), (F.col("doc_id") % 16).alias("part"))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").select("value", "part").write.partitionBy("part").text(path)
+    cut = files.file_boundaries(spark, path, 8, DELIMITER).select(F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint").alias("part"), F.posexplode("boundaries").alias("chunk", "start"))
+    return cut
+
+
+_WIDE = len(DELIMITER) + 1
+FILE_CHUNKS_SQL = f"""WITH r AS (SELECT doc_id % 16 AS part, strlen(text) + {_WIDE} AS n, doc_id FROM documents WHERE text IS NOT NULL),
+e AS (SELECT part, sum(n) OVER (PARTITION BY part ORDER BY doc_id) - {_WIDE} AS e FROM r), z AS (SELECT part, sum(n) AS size FROM r GROUP BY part),
+b AS (SELECT part, coalesce(min(e), any_value(size)) AS b FROM (SELECT *, i * (size // 8) AS at_least FROM z, range(1, 8) t(i)) LEFT JOIN e USING (part) WHERE e >= at_least OR e IS NULL GROUP BY part, i),
+a AS (SELECT part, b FROM b UNION SELECT part, 0 FROM z UNION SELECT part, size FROM z)
+SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY b) - 1 AS INT) AS chunk, CAST(b AS BIGINT) AS start FROM a"""
+
+
 def vocab_roundtrip(spark, d):
     merges = written(bpe.train(T.docs(spark, d), T.MERGES), "merges")
     path = scratch_path(spark, "vocab")
@@ -111,7 +128,7 @@ def distinct_boundaries(spark, d):
 
 
 QUERIES = {
-    "text_records": text_records, "text_lines": text_lines, "whole_text": whole_text, "chunked_counts": chunked_counts, "chunk_boundaries": chunk_boundaries, "vocab_roundtrip": vocab_roundtrip, "merges_roundtrip": merges_roundtrip, "letter_import": letter_import, "byte_letter_codec": byte_letter_codec,
+    "text_records": text_records, "text_lines": text_lines, "whole_text": whole_text, "chunked_counts": chunked_counts, "chunk_boundaries": chunk_boundaries, "file_chunks": file_chunks, "vocab_roundtrip": vocab_roundtrip, "merges_roundtrip": merges_roundtrip, "letter_import": letter_import, "byte_letter_codec": byte_letter_codec,
     "token_array": token_array, "streaming_encode": streaming_encode, "streaming_token_counts": streaming_token_counts, "distinct_boundaries": distinct_boundaries,
 }
 ORACLES = {
@@ -119,6 +136,7 @@ ORACLES = {
     "text_lines": "SELECT md5(l || chr(10)) AS line_md5, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY 1",
     "whole_text": "SELECT CAST(sum(length(text) + length(CAST(doc_id AS VARCHAR)) + 2) AS BIGINT) AS n_chars, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS n_lines FROM documents",
     "chunked_counts": T.G.WORDS,
+    "file_chunks": FILE_CHUNKS_SQL,
     "chunk_boundaries": """WITH l AS (SELECT doc_id, strlen(text) AS size, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
 p AS (SELECT doc_id, size, sum(strlen(l) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos FROM l),
 b AS (SELECT doc_id, min(pos) AS cut FROM p, range(1, 4) t(i) WHERE pos >= i * (size // 4) GROUP BY doc_id, i UNION SELECT doc_id, 0 FROM documents UNION SELECT doc_id, strlen(text) FROM documents)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tensor import half
 from ..operators import optim, sampling, training, verify
 from ..sources import state as S
 from ..sources import vocab as V
 from ..sources.scratch import scratch_path, written
 from .sqlgen import weight
-from .tensor_queries import _SHAPES, LM_SQL, SEQ, THETA, D, HEADS, VOCAB, block_ctes, cell, lin, lm_logits, lm_weights, parameters, rms, rounded, vectors
+from .tensor_queries import _SHAPES, LM_SQL, SEQ, THETA, D, HEADS, VOCAB, block_ctes, cell, half_sql, lin, lm_logits, lm_weights, parameters, rms, rounded, vectors
 
 ROWS = 8
 
@@ -134,6 +135,35 @@ def sharded_adamw(spark, d):
     return _state(out)
 
 
+def fsdp_half_step(spark, d):
+    """Two steps of a linear layer, sharded in four, with half-precision computing; its targets are the first entries of the vectors."""
+    rows = vectors(spark, d).select((F.col("vec_id") % 4).cast("int").alias("rank"), "x", F.slice("x", 1, ROWS).alias("y"))
+    st = optim.sharded(optim.fresh(params(spark)), 4)
+    for t in (1, 2):
+        st = written(optim.sharded_step(st, rows, "w", 4, t, half, lr=0.1, decay=0.1), "shards")
+    return st.select("shard", *optim.KEYS, rounded("v").alias("v"))
+
+
+def _half_step_sql() -> str:
+    ctes = [
+        X, P0, f"hx AS MATERIALIZED (SELECT vec_id, k, {half_sql('v')} AS v FROM x)",
+        "s0 AS (SELECT *, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS s FROM p)",
+    ]
+    for t in (1, 2):
+        f1, f2 = f"(1 - pow(CAST(0.9 AS DOUBLE), {t}))", f"(1 - pow(CAST(0.999 AS DOUBLE), {t}))"
+        ctes += [
+            f"w{t} AS MATERIALIZED (SELECT i, j, {half_sql('v')} AS v FROM s{t - 1})",
+            f"o{t} AS MATERIALIZED (SELECT vec_id, i, sum(hx.v * w.v) AS v FROM hx JOIN w{t} w ON hx.k = w.j GROUP BY vec_id, i)",
+            f"e{t} AS MATERIALIZED (SELECT o.vec_id, o.i, o.v - hx.v AS e FROM o{t} o JOIN hx ON hx.vec_id = o.vec_id AND hx.k = o.i)",
+            f"r{t} AS MATERIALIZED (SELECT e.vec_id % 4 AS rank, i, CAST(k AS INT) AS j, avg(e * hx.v) AS v FROM e{t} e JOIN hx USING (vec_id) GROUP BY ALL)",
+            f"a{t} AS MATERIALIZED (SELECT i, j, avg(v) AS v FROM r{t} GROUP BY i, j)",
+            f"g{t} AS MATERIALIZED (SELECT i, j, {half_sql('v')} AS g FROM a{t})",
+            f"n{t} AS MATERIALIZED (SELECT name, i, j, v, g, CAST(0.9 AS DOUBLE) * m + (1 - CAST(0.9 AS DOUBLE)) * g AS m, CAST(0.999 AS DOUBLE) * s + (1 - CAST(0.999 AS DOUBLE)) * g * g AS s FROM s{t - 1} JOIN g{t} USING (i, j))",
+            f"s{t} AS MATERIALIZED (SELECT name, i, j, CAST(CAST(v * (1 - CAST(0.01 AS DOUBLE)) - 0.1 / {f1} * m / (sqrt(s / {f2}) + 1e-8) AS FLOAT) AS DOUBLE) AS v, CAST(CAST(m AS FLOAT) AS DOUBLE) AS m, CAST(CAST(s AS FLOAT) AS DOUBLE) AS s FROM n{t})",
+        ]
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT CAST(i * 4 // {ROWS} AS INT) AS shard, name, i, j, round(v, 6) + 0.0 AS v FROM s2"
+
+
 def replica_check(spark, d):
     """Four replicas of the table's matrix; one has drifted in the rows of a label."""
     r = table_params(spark, d).withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(3))))
@@ -331,7 +361,7 @@ _HIST = "SELECT CAST((b * 1103515245 + 12345) % 93 AS BIGINT) AS start, count(*)
 QUERIES = {
     "lr_cosine": lr_cosine, "grad_norm": grad_norm, "grad_clip": _clip(False), "grad_clip_always": _clip(True), "grad_clip_unchanged": clip_unchanged,
     "adamw_step": _adamw(1), "adamw_three_steps": _adamw(3), "adamw_step_eps_variant": _adamw(2, True),
-    "ddp_grad_avg": ddp_grad_avg, "fsdp_shards": fsdp_shards, "fsdp_gather": fsdp_gather, "fsdp_reduce_scatter": fsdp_reduce_scatter, "sharded_adamw": sharded_adamw, "replica_check": replica_check,
+    "ddp_grad_avg": ddp_grad_avg, "fsdp_shards": fsdp_shards, "fsdp_gather": fsdp_gather, "fsdp_reduce_scatter": fsdp_reduce_scatter, "sharded_adamw": sharded_adamw, "fsdp_half_step": fsdp_half_step, "replica_check": replica_check,
     "temperature": temperature, "topp_filter": topp_filter, "topk_filter": topk_filter, "inverse_cdf_sample": inverse_cdf_sample, "greedy_generate": greedy_generate, "lm_generate_topp": _generate(t=0.8, p=0.9, end=7), "lm_generate_topk": _generate(t=0.8, k=5, end=7, keep_end=False, return_prompt=False),
     "train_loop": train_loop, "checkpoint_roundtrip": checkpoint_roundtrip, "pretrained_names": pretrained_names, "pretrained_lm": pretrained_lm,
     "snapshot_compare": snapshot_compare, "key_compare": key_compare, "object_compare": object_compare, "deviation_bound": deviation_bound,
@@ -351,6 +381,7 @@ ORACLES = {
     "fsdp_gather": f"WITH {TABLE} SELECT name, i, j, round(v, 9) + 0.0 AS v FROM p",
     "fsdp_reduce_scatter": f"WITH {_RANKS} SELECT CAST(i * 4 // {ROWS} AS INT) AS shard, name, i, j, round(v, 6) + 0.0 AS v FROM a",
     "sharded_adamw": _SHARDED,
+    "fsdp_half_step": _half_step_sql(),
     "replica_check": f"WITH {TABLE} SELECT name, i, j, CAST(0.25 AS DOUBLE) AS spread FROM p WHERE label % 4 = 3",
     "temperature": "WITH " + _LOGITS.format(" / 0.7", " / 0.7") + " SELECT b, token, round(p, 6) + 0.0 AS p FROM p",
     "topp_filter": f"WITH {_L}, c AS (SELECT b, token, p, sum(p) OVER (PARTITION BY b ORDER BY p DESC, token ROWS UNBOUNDED PRECEDING) AS cum, row_number() OVER (PARTITION BY b ORDER BY p DESC, token) AS rn FROM p), k AS (SELECT * FROM c WHERE cum <= 0.6 OR rn = 1) SELECT b, token, round(p / sum(p) OVER (PARTITION BY b), 6) + 0.0 AS p FROM k",

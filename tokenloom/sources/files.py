@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import without_broken_bytes
+
 
 def whole_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """value: each file's text, with CRLF and CR read as LF. strict: bytes that are not UTF-8 raise an error, else they become U+FFFD."""
@@ -18,9 +20,10 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, lineSep="\n").select(F.concat("value", F.lit("\n")).alias("value"))
 
 
-def records(spark: SparkSession, path: str, delimiter: str = "<|endoftext|>") -> DataFrame:
-    """value: the documents between delimiters; Spark's splits are aligned to them, so none is cut."""
-    return spark.read.text(path, lineSep=delimiter)
+def records(spark: SparkSession, path: str, delimiter: str = "<|endoftext|>", ignore: bool = False) -> DataFrame:
+    """value: the documents between delimiters; Spark's splits are aligned to them, so none is cut. ignore: bytes that are not UTF-8 are left out."""
+    rows = spark.read.text(path, lineSep=delimiter)
+    return rows.select(without_broken_bytes(F.col("value")).alias("value")) if ignore else rows
 
 
 def chunk_boundaries(path: str, chunks: int, delimiter: bytes, window: int = 4096) -> list[int]:
@@ -64,5 +67,26 @@ def boundaries(content: Column, chunks: int, delimiter: str) -> Column:
 
 
 def file_boundaries(spark: SparkSession, path: str, chunks: int, delimiter: str) -> DataFrame:
-    """path, boundaries of each file; Spark gives no row for an empty one."""
-    return spark.read.format("binaryFile").load(path).select("path", boundaries(F.col("content"), chunks, delimiter).alias("boundaries"))
+    """path, boundaries of each file, of any size and on any file system; Spark gives no row for an empty one.
+
+    Files are read in the splits of the text source, aligned to the delimiter; a split's records give the places of their delimiters, a row
+    a split what lies before it. So no file is a row, and what is grouped by file is a few numbers a split or a chunk. A delimiter that
+    overlaps itself is found as the source finds it.
+    """
+    wide = len(delimiter.encode())
+    file, at = "_metadata.file_path", "_metadata.file_block_start"
+    rows = spark.read.text(path, lineSep=delimiter).select(F.col(file).alias("path"), F.col(at).alias("split"), F.col("_metadata.file_size").alias("size"), (F.octet_length("value") + wide).cast("bigint").alias("n"), F.monotonically_increasing_id().alias("row"))
+    splits = rows.groupBy("path", "size", "split").agg(F.sum("n").alias("all"))
+    files = Window.partitionBy("path").orderBy("split")
+    whole = Window.partitionBy("path")
+    splits = splits.select("path", "size", "split", (F.sum("all").over(files) - F.col("all")).alias("before"), F.sum("all").over(whole).alias("total"))
+    inside = Window.partitionBy("path", "split").orderBy("row")
+    ends = rows.withColumn("upto", F.sum("n").over(inside)).drop("size").join(splits, ["path", "split"])
+    end, start = F.col("before") + F.col("upto") - wide, F.col("before") + F.col("upto") - F.col("n")  # of a record; its delimiter begins at its end
+    step = F.floor(F.col("size") / chunks)
+    last = F.when(step == 0, F.lit(chunks - 1)).otherwise(F.least(F.lit(chunks - 1), F.floor(end / F.greatest(step, F.lit(1)))))
+    first = F.when(step == 0, F.when(start == 0, 1).otherwise(chunks)).when(start == 0, 1).otherwise(F.floor((start - wide) / F.greatest(step, F.lit(1))) + 1)
+    cut = (end < F.col("size")) & (first <= last)  # the last record may have no delimiter
+    found = ends.groupBy("path", "size").agg(F.collect_set(F.when(cut, end)).alias("found"))
+    inner = F.concat("found", F.array(F.lit(0).cast("bigint"), F.col("size")))
+    return found.select("path", F.array_sort(F.array_distinct(inner)).alias("boundaries"))
