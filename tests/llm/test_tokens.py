@@ -312,3 +312,34 @@ def test_texts_without_white_space_leave_no_keys():
     for k in range(12):
         mine.encode(["".join(chr(0x4E00 + (i * 7919 + k * 31) % 20_000) for i in range(40_000))])
     assert mine._table.long_bytes == 0 and mine._table.filled < 1000 and len(mine._table.pool) <= 1 << 23
+
+
+@pytest.mark.parametrize("shares", [[1] * 20, [10, 6, 3, 1]], ids=["twenty", "steep"])
+def test_every_window_holds_the_targets(spark, shares):
+    """As long as no source has run dry: a quantum and two stretches at most from the target, whatever the documents' lengths."""
+    r = random.Random(len(shares))
+    rows = []
+    for s, w in enumerate(shares):
+        left = 60_000 * w // max(shares)
+        while left > 0:
+            n = r.choice([3, 30, 200, 700, 5000])
+            rows.append((len(rows), "word " * n, f"s{s:02}"))
+            left -= n
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    source, tokens = {i: s for i, _, s in rows}, defaultdict(int)
+    windows = defaultdict(lambda: defaultdict(int))
+    for p in packing.packed(docs, tokenizer(WORD), targets={f"s{s:02}": float(w) for s, w in enumerate(shares)}).collect():
+        windows[p["sequence_id"]][source[p["doc_id"]]] += p["length"]
+        tokens[source[p["doc_id"]]] += p["length"]
+    rest, seen = dict(tokens), 0
+    for w in sorted(windows):
+        if any(rest[f"s{s:02}"] < 4 * 4096 * share / sum(shares) for s, share in enumerate(shares)):
+            break
+        for s, share in enumerate(shares):
+            target = 4096 * share / sum(shares)
+            quantum = target / packing.ROUNDS
+            stretch = min(packing.STRETCH, max(packing.LEAST_STRETCH, quantum))
+            assert abs(windows[w][f"s{s:02}"] - target) <= quantum + 2 * stretch
+            rest[f"s{s:02}"] -= windows[w][f"s{s:02}"]
+        seen += 1
+    assert seen > 8

@@ -1,9 +1,10 @@
 """Mixture-controlled packing (operator 8): deficit round-robin over source queues.
 
-Each source is a queue of its documents' tokens, cut into stretches: a document of up to ``STRETCH`` tokens is one,
-a longer one is cut after each ``STRETCH``. In a round every source gains a quantum, its target share of a
+Each source is a queue of its documents' tokens, cut into stretches: a document of up to a stretch's tokens is one,
+a longer one is cut after each so many. In a round every source gains a quantum, its target share of a ``ROUNDS``-th of a
 window of 4096 tokens, and gives its next stretches as long as its deficit (what it gained and has not
-given yet) covers them; what is left is carried to the next round. A source whose quantum is less than its next stretch
+given yet) covers them; what is left is carried to the next round. A source's stretch is its quantum, but at least ``LEAST_STRETCH`` and at
+most ``STRETCH`` tokens, so that every window, wherever rounds end, holds a source's target but for a quantum and two stretches. A source whose quantum is less than its next stretch
 waits until it has saved enough, so rare sources come in whole stretches; one that runs dry drops out and the others
 go on. The rounds in a row, sources in order of name, are one stream that is cut into windows of 4096 tokens, so
 all windows but the last are full, no source is ever further than one stretch from its target, and windows need
@@ -42,7 +43,8 @@ from pyspark.sql import functions as F
 from .common import fan_out, lean, range_bounds, session, small_batches, written
 from .encoding import HELD, binary, drop_encoders, encoder
 
-LENGTH, END_ID, STRETCH, UNIT = 4096, 2, 512, 1 << 16
+LENGTH, END_ID, UNIT = 4096, 2, 1 << 16
+ROUNDS, LEAST_STRETCH, STRETCH = 8, 64, 512
 SAMPLES, BROADCAST_ROWS = 1000, 500_000
 
 
@@ -69,10 +71,11 @@ def _encode(tokenizer: str, end_id: int, held: int):
 class Runs:
     """What each document of a batch gives in one round: row, start, length and round of each run of its stretches."""
 
-    def __init__(self, b: pa.RecordBatch, stretch: int):
-        begin, n, quantum, after = (b.column(c).to_numpy() for c in ("begin", "n", "quantum", "after"))
-        many = -(-n // stretch)
+    def __init__(self, b: pa.RecordBatch):
+        begin, n, quantum, after, stretches = (b.column(c).to_numpy() for c in ("begin", "n", "quantum", "after", "stretch"))
+        many = -(-n // stretches)
         row = np.repeat(np.arange(len(n)), many)
+        stretch = stretches[row]
         nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
         end = np.minimum((nth + 1) * stretch, n[row])
         rounds = after[row] - -((begin[row] + end) * UNIT) // quantum[row]
@@ -83,24 +86,24 @@ class Runs:
         self.length = end[last] - self.start
 
 
-def _sizes(bounds: list[int], stretch: int):
+def _sizes(bounds: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r = Runs(b, stretch)
+            r = Runs(b)
             part, at = np.unique(np.searchsorted(bounds, r.round, side="right"), return_inverse=True)
             yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(np.bincount(at, weights=r.length, minlength=len(part)).astype(np.int64))], names=["part", "n"])
 
     return run
 
 
-def _dealt(bounds: list[int], stretch: int):
+def _dealt(bounds: list[int]):
     names = ["part", "round", "queue", "pos", "doc_id", "start", "doc_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_encoders()
         lean()
         for b in batches:
-            r = Runs(b, stretch)
+            r = Runs(b)
             row = pa.array(r.row)
             ids = b.column("ids").cast(pa.binary())
             at = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
@@ -162,8 +165,11 @@ def _table(rows: list[list], names: list[str]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(names))], names=names)
 
 
-def quanta(queues: DataFrame, targets: dict | None, alpha: float, length: int = LENGTH) -> DataFrame:
-    """queue, tokens, quantum (in 1 / UNIT tokens a round) and after (the round before its first) of each queue."""
+def quanta(queues: DataFrame, targets: dict | None, alpha: float, length: int = LENGTH, stretch: int | None = None) -> DataFrame:
+    """queue, tokens, quantum (in 1 / UNIT tokens a round), stretch and after (the round before its first) of each queue.
+
+    stretch: one for all queues, whose rounds are then a whole window; None: by each queue's quantum.
+    """
     spark = session(queues)
     if targets is None:
         weighed = queues.withColumn("weight", F.pow(F.col("tokens").cast("double"), F.lit(float(alpha))))
@@ -174,11 +180,12 @@ def quanta(queues: DataFrame, targets: dict | None, alpha: float, length: int =
     weighed = weighed.withColumn("late", late).withColumn("weight", F.when(late, F.col("tokens").cast("double")).otherwise(F.col("weight")))
     whole = {r["late"]: r["w"] for r in weighed.groupBy("late").agg(F.sum("weight").alias("w")).collect()}
     of = F.when(F.col("late"), F.lit(whole.get(True) or 1.0)).otherwise(F.lit(whole.get(False) or 1.0))
-    each = weighed.withColumn("quantum", F.greatest(F.lit(1), F.round(F.col("weight") / of * F.lit(float(length * UNIT)))).cast("bigint"))
+    each = weighed.withColumn("quantum", F.greatest(F.lit(1), F.round(F.col("weight") / of * F.lit(float(length * UNIT) / (1 if stretch else ROUNDS)))).cast("bigint"))
     each = written(each.select("queue", "tokens", "late", "quantum"), "packing-quanta")
     ends = F.expr(f"(tokens * {UNIT} + quantum - 1) div quantum")
     last = each.where("NOT late").agg(F.max(ends).alias("r")).head()["r"] or 0
-    return each.select("queue", "tokens", "quantum", F.when(F.col("late"), F.lit(last)).otherwise(F.lit(0)).cast("bigint").alias("after"))
+    own = F.lit(stretch) if stretch else F.least(F.lit(STRETCH), F.greatest(F.lit(LEAST_STRETCH), F.expr(f"quantum div {UNIT}")))
+    return each.select("queue", "tokens", "quantum", own.cast("bigint").alias("stretch"), F.when(F.col("late"), F.lit(last)).otherwise(F.lit(0)).cast("bigint").alias("after"))
 
 
 def round_bounds(each: DataFrame, parts: int) -> list[int]:
@@ -190,10 +197,10 @@ def round_bounds(each: DataFrame, parts: int) -> list[int]:
     return range_bounds(at.withColumn("round", F.expr(f"after + ((at + 1) * {UNIT} + quantum - 1) div quantum")), "round", parts)
 
 
-def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, targets: dict | None = None, alpha: float = 1.0, stretch: int = STRETCH, held: int = HELD) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, targets: dict | None = None, alpha: float = 1.0, stretch: int | None = None, held: int = HELD) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    targets: source to weight (None key: rows without a source); None: tokens to the power alpha.
+    targets: source to weight (None key: rows without a source); None: tokens to the power alpha. stretch: see quanta.
     held: chunks that a worker's cache holds, which changes its memory and time only.
     """
     spark = session(docs)
@@ -204,15 +211,15 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     sums = ids.groupBy("task", "queue").agg(F.max(F.col("at") + F.col("n")).alias("tokens"))
     earlier = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
     sums = written(sums.withColumn("base", F.coalesce(F.sum("tokens").over(earlier), F.lit(0))), "packing-sums")
-    each = quanta(sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")), targets, alpha, length)
+    each = quanta(sums.groupBy("queue").agg(F.sum("tokens").alias("tokens")), targets, alpha, length, stretch)
     bases = written(sums.drop("tokens").join(each.drop("tokens"), "queue"), "packing-bases")
     parts = fan_out(spark)
     bounds = round_bounds(each, parts)
     placed = ids.join(F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases, ["task", "queue"]).withColumn("begin", F.col("base") + F.col("at"))
-    sizes = placed.select("begin", "n", "quantum", "after").mapInArrow(_sizes(bounds, stretch), "part int, n bigint").groupBy("part").agg(F.sum("n").alias("n")).collect()  # one row a part
+    sizes = placed.select("begin", "n", "quantum", "after", "stretch").mapInArrow(_sizes(bounds), "part int, n bigint").groupBy("part").agg(F.sum("n").alias("n")).collect()  # one row a part
     ahead, total = {}, 0
     for r in sorted(sizes, key=lambda r: r["part"]):
         ahead[r["part"]], total = total, total + r["n"]
-    runs = placed.select("doc_id", "queue", "begin", "n", "quantum", "after", "ids").mapInArrow(_dealt(bounds, stretch), "part int, round bigint, queue string, pos bigint, doc_id bigint, start bigint, doc_tokens bigint, ids binary")
+    runs = placed.select("doc_id", "queue", "begin", "n", "quantum", "after", "stretch", "ids").mapInArrow(_dealt(bounds), "part int, round bigint, queue string, pos bigint, doc_id bigint, start bigint, doc_tokens bigint, ids binary")
     stream = runs.repartitionById(parts, "part").sortWithinPartitions("part", "round", "queue", "pos")
     return stream.mapInArrow(_filled(ahead, length), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
