@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tokenloom.llm import near_dup
+from tokenloom.llm import common, near_dup
 from tokenloom.llm.graph import components
 
 
@@ -131,6 +131,31 @@ def test_repeated_ids_of_different_texts(spark):
     assert sorted((d or 0, (t or "")[:1]) for d, t, _ in got) == [(0, ""), (0, ""), (0, "c"), (3, "a"), (5, "b"), (6, ""), (7, "x")]
 
 
+def test_many_copies_share_no_task(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    texts = {i: "one text that has very many copies here" if i % 2 else "" if i % 3 == 0 else f"text {i} of its own words {i * 7} and {i * 13}" for i in range(3000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(16)
+    shared = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        out = near_dup.near_duplicates(df)
+        got, copies = result(df), out.rdd.mapPartitions(lambda p: [sum(r["doc_id"] % 2 for r in p)]).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", shared[0])
+        spark.conf.set("spark.sql.shuffle.partitions", shared[1])
+    assert got == brute(texts) and sum(copies) == 1500 and max(copies) < 800
+
+
+def test_lookups_of_hot_and_cold_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    rows = spark.createDataFrame([(i, 0 if i < 60 else i % 20 if i < 95 else None) for i in range(100)], "id int, k int")
+    one = rows.where("k IS NOT NULL").groupBy("k").count().selectExpr("k", "k * 10 AS v", "count AS n")
+    got = common.looked_up(rows, one, "k", "n", 100)
+    assert sorted(map(tuple, got.select("id", "v").collect())) == [(r["id"], r["k"] * 10) for r in rows.where("k IS NOT NULL").orderBy("id").collect()]
+    assert got.columns == ["k", "id", "v"]
+
+
 def test_components(spark):
     rng = random.Random(1)
     for n, m in ((1, 0), (50, 20), (200, 180), (60, 400)):

@@ -63,6 +63,22 @@ def lean() -> None:
         trim(0)
 
 
+#: Keys that hold more than this part of all rows are looked up by broadcast: there are fewer of them than this number.
+HOT_KEYS = 4096
+
+
+def looked_up(rows: DataFrame, one: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows with the columns of one (a row for each key) joined on key; one's column count, dropped here, says how many of the total rows hold it.
+
+    Rows of hot keys stay in place: at most HOT_KEYS keys hold more than total / HOT_KEYS rows each, so their side is broadcast.
+    The others are joined by a shuffle in which no key fills more than that share. Null keys match nothing.
+    """
+    hot = F.col(count) * HOT_KEYS > total
+    few, rest = one.where(hot).drop(count), one.where(~hot).drop(count)
+    cold = rows.where(F.col(key).isNotNull()).join(F.broadcast(few.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(cold.join(rest, key))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files of finished steps now, not when the driver next collects its garbage."""
     gc.collect()

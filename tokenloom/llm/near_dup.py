@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import OWN, forget, lean, release, session, small_batches, written
+from .common import OWN, forget, lean, looked_up, release, session, small_batches, written
 from .graph import components
 from .words import WordHashes, windows
 
@@ -282,7 +282,7 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     signed = written(docs.mapInArrow(_signed, "doc_id bigint, set_key binary, node bigint, n bigint, sig binary"), "near-signatures")
     some = signed.where("set_key IS NOT NULL")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node", "n", "sig")).alias("f")
-    reps = written(some.groupBy("set_key").agg(first).select("f.doc_id", "f.node", "f.n", "f.sig"), "near-classes")
+    reps = written(some.groupBy("set_key").agg(first, F.count("*").alias("copies")).select("f.doc_id", "f.node", "f.n", "f.sig", "copies"), "near-classes")
     keys = reps.select("node", "sig").mapInArrow(_keys, "key bigint, node bigint")
     mix = F.xxhash64("key")
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.col("node").bitwiseXOR(mix)).alias("least")).where("size > 1")
@@ -304,10 +304,13 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     if more.head(1):
         roots = written(components(links.unionByName(more)), "near-roots")
     member = reps.select("node", "doc_id").join(roots, "node")
-    names = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = member.join(names, "root").select("node", "root", "component_id")
-    alone = reps.select("node", F.col("doc_id").alias(f"{OWN}first"))
-    out = signed.select("doc_id", "node", "n").join(alone, "node", "left").join(of_node, "node", "left")
+    names = member.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"))
+    of_node = looked_up(member.select("node", "root"), names, "root", "members", roots.count())
+    alone = reps.select("node", F.col("doc_id").alias(f"{OWN}first"), "copies")
+    known = written(alone.join(of_node, "node", "left"), "near-names")
+    rows = signed.select("doc_id", "node", "n")
+    out = looked_up(rows, known, "node", "copies", rows.count())
+    out = out.unionByName(rows.where("node IS NULL"), allowMissingColumns=True)
     component = F.coalesce("component_id", f"{OWN}first", "doc_id")
     out = out.select("doc_id", "node", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("group"), component.alias("component_id"))
     plain = out.withColumn("kept", F.col("node").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
