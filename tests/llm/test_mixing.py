@@ -68,3 +68,27 @@ def test_rows_without_an_id_are_drawn_by_their_text(spark):
     assert 1100 < len(got) < 1430 and abs(sum(got.values()) - 2000) < 200
     keys = {r["shuffle_key"] for r in mixing.mixture(df).collect()}
     assert len(keys) == sum(got.values())
+
+
+def test_equal_texts_without_an_id_are_drawn_one_by_one(spark):
+    df = spark.range(3000).selectExpr("cast(null as bigint) AS doc_id", "if(id % 3 < 2, 'same', null) AS text", "if(id % 2 = 0, 'a', null) AS source", "map('k', id) AS extra").repartition(16)
+    out = mixing.replicated(df)
+    got = Counter(r["text"] for r in out.collect())
+    assert out.columns == df.columns and abs(got["same"] - 2000) < 300 and abs(got[None] - 1000) < 200
+    names = mixing.named(df).select("_tl_name", "source").collect()
+    want = {f"text:{hashlib.md5(t).hexdigest()}" + (f":{i}" if i else "") for t, n in ((b"same", 2000), (b"", 1000)) for i in range(n)}
+    assert {r["_tl_name"] for r in names} == want and len(names) == 3000
+    sizes = out.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert max(sizes) < sum(sizes) / 2
+
+
+def test_oracle_numbers_rows_without_an_id_alike(spark, tmp_path):
+    import duckdb
+
+    df = spark.range(300).selectExpr("if(id % 5 = 0, id, null) AS doc_id", "if(id % 3 = 0, null, concat('t', id % 7)) AS text", "if(id % 4 = 0, null, concat('s', id % 2)) AS source")
+    df.coalesce(3).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    out = mixing.mixture(df)
+    want = con.sql(f"SELECT {', '.join(out.columns)} FROM ({mixing.oracle()})").fetchall()  # no pandas: doc_id and bytes have nulls
+    assert Counter(map(tuple, out.collect())) == Counter(want)

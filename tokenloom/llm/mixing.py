@@ -16,14 +16,15 @@ Default targets: the shares of the sources' bytes to the power ``ALPHA``, which
 and lowers large ones.
 
 Edge cases: null source is a source of its own; null or empty text has no bytes and is drawn at its
-source's rate, which is 1.0 if the whole source is empty; a row of null doc_id is drawn by its text in place of the id;
-repeated rows (of one doc_id, or of one text without an id) share a draw, and each is repeated so often. Sources without a target (when targets are given) have
+source's rate, which is 1.0 if the whole source is empty; a row of null doc_id is drawn by its text in place of the id, and such rows
+of one text by their number among these (in the order of source) too, so each has a draw of its own;
+repeated rows of one doc_id share a draw, and each is repeated so often. Sources without a target (when targets are given) have
 rate 0. An empty table gives no rows. Columns of the documents stay as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import OWN, fan_out, session, written
@@ -65,9 +66,27 @@ def _inverse(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda a: a["n"])
 
 
-def name() -> Column:
-    """What the hashes know a document by: its doc_id, or else its text."""
-    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
+def named(docs: DataFrame) -> DataFrame:
+    """docs with what the hashes know a document by: its doc_id, or else its text and number among the rows of this text without an id.
+
+    Numbers are a number inside the task that reads a row, and an offset from the counts of each (text, source, task), so
+    many rows of one text meet in no task. Rows without an id are written first: a retried task reads the same ones.
+    """
+    name, text, task, at, before = (f"{OWN}{x}" for x in ("name", "text", "task", "at", "before"))
+    known = docs.withColumn(name, F.col("doc_id").cast("string"))
+    if not docs.where("doc_id IS NULL").head(1):
+        return known
+    none = written(docs.where("doc_id IS NULL"), "mixing-nameless").withColumn(text, F.md5(F.coalesce("text", F.lit("")))).withColumn(task, F.spark_partition_id())
+    none = none.withColumn(f"{OWN}row", F.monotonically_increasing_id())
+    counts = none.groupBy(text, "source", task).count()
+    by = Window.partitionBy(text).orderBy(F.col("source").asc_nulls_first(), task).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(text).alias(f"{text}2"), F.col("source").alias(f"{OWN}source2"), F.col(task).alias(f"{task}2"), F.coalesce(F.sum("count").over(by), F.lit(0)).alias(before))
+    inside = none.withColumn(at, F.row_number().over(Window.partitionBy(text, "source", task).orderBy(f"{OWN}row")) - 1)
+    same = (inside[text] == offsets[f"{text}2"]) & inside["source"].eqNullSafe(offsets[f"{OWN}source2"]) & (inside[task] == offsets[f"{task}2"])
+    number = F.col(at) + F.col(before)
+    own = F.concat(F.lit("text:"), F.col(text), F.when(number > 0, F.concat(F.lit(":"), number.cast("string"))).otherwise(""))
+    numbered = inside.join(offsets, same).withColumn(name, own).select(*[F.col(f"`{c}`") for c in docs.columns], name)
+    return known.where("doc_id IS NOT NULL").unionByName(numbered)
 
 
 def copies(doc_id: Column, rate: Column, seed: str = SEED) -> Column:
@@ -83,13 +102,14 @@ def mixed(docs: DataFrame, targets: dict[str | None, float] | None = None, alpha
     table = written(rates(docs, targets, alpha), "mixing-rates")
     table = table.select(F.col("source").alias(f"{OWN}source"), F.col("rate").alias(f"{OWN}rate"))
     rows = table.count()
+    docs = named(docs)
     joined = docs.join(F.broadcast(table) if rows <= BROADCAST_ROWS else table, docs["source"].eqNullSafe(table[f"{OWN}source"]))
-    drawn = joined.withColumn(f"{OWN}n", copies(name(), F.col(f"{OWN}rate"), seed)).where(F.col(f"{OWN}n") > 0)
+    drawn = joined.withColumn(f"{OWN}n", copies(F.col(f"{OWN}name"), F.col(f"{OWN}rate"), seed)).where(F.col(f"{OWN}n") > 0)
     each = drawn.withColumn(f"{OWN}copy", F.explode(F.sequence(F.lit(0), F.col(f"{OWN}n") - 1)))
-    each = each.withColumn(f"{OWN}key", uniform(f"{seed}-order", name(), F.col(f"{OWN}copy")))
+    each = each.withColumn(f"{OWN}key", uniform(f"{seed}-order", F.col(f"{OWN}name"), F.col(f"{OWN}copy")))
     parts = fan_out(session(docs))
     dealt = each.repartitionById(parts, F.floor(F.col(f"{OWN}key") * parts).cast("int")).sortWithinPartitions(f"{OWN}key")
-    return dealt.drop(f"{OWN}source", f"{OWN}n")
+    return dealt.drop(f"{OWN}source", f"{OWN}n", f"{OWN}name")
 
 
 def mixture(docs: DataFrame, targets: dict[str | None, float] | None = None) -> DataFrame:
@@ -113,7 +133,8 @@ parts AS (SELECT source, rate, CAST(greatest(ceil(rate / {step}), 1) AS INT) AS
 steps AS (SELECT source, rate, parts, unnest(range(0, CAST(ceil(rate / parts + 12 * sqrt(rate / parts) + 40) AS BIGINT))) AS k FROM parts),
 terms AS (SELECT source, rate, parts, k, exp(-rate / parts) * pow(rate / parts, k) / exp(lgamma(k + 1)) AS p FROM steps),
 upto AS (SELECT source, rate, parts, list(s ORDER BY k) AS cdf FROM (SELECT *, sum(p) OVER (PARTITION BY source ORDER BY k) AS s FROM terms) GROUP BY source, rate, parts),
-named AS (SELECT doc_id, source, text, coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, ''))) AS name FROM documents),
+numbered AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY doc_id IS NULL, coalesce(text, '') ORDER BY source NULLS FIRST) - 1 AS number FROM documents),
+named AS (SELECT doc_id, source, text, coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')) || CASE WHEN number > 0 THEN ':' || number ELSE '' END) AS name FROM numbered),
 draws AS (SELECT d.doc_id, d.name, d.source, strlen(d.text) AS bytes, u.rate, u.cdf, unnest(range(0, u.parts)) AS i FROM named d JOIN upto u ON d.source IS NOT DISTINCT FROM u.source WHERE u.rate > 0),
 counts AS (SELECT doc_id, name, source, bytes, rate, CAST(sum(len(list_filter(cdf, lambda c: c <= CAST(('0x' || substr(md5(concat_ws('|', '{seed}', name, CAST(i AS VARCHAR))), 1, 13)) AS BIGINT) / CAST({1 << 52} AS DOUBLE)))) AS INT) AS n FROM draws GROUP BY doc_id, name, source, bytes, rate),
 each AS (SELECT doc_id, name, source, bytes, rate, CAST(unnest(range(0, n)) AS INT) AS copy FROM counts WHERE n > 0)
