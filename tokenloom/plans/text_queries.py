@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import bpe, windows
+from ..operators import bpe, token_array, windows
 from ..sources.scratch import written
 from . import sqlgen as G
 
@@ -204,6 +204,28 @@ LM_BATCH_SQL = f"""WITH {_POINTS_SQL}, s AS (SELECT doc_id, ids, b, (b * 1103515
 SELECT doc_id, CAST(b AS INT) AS sample, CAST(s AS BIGINT) AS start, array_to_string(ids[s + 1:s + 32], ',') AS x, array_to_string(ids[s + 2:s + 33], ',') AS y FROM s"""
 
 
+def array_offsets(spark, d):
+    return token_array.offsets(_points(spark, d)).select("doc_id", "start", F.size("ids").alias("n"))
+
+
+ARRAY_OFFSETS_SQL = "SELECT doc_id, CAST(coalesce(sum(len(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(coalesce(len(text), 0) AS INT) AS n FROM documents"
+
+
+def array_batch(spark, d):
+    w = token_array.sampled(_points(spark, d), context=64)
+    return w.select("sample", "start", F.md5(F.array_join("x", ",")).alias("x_md5"), F.md5(F.array_join("y", ",")).alias("y_md5"))
+
+
+ARRAY_BATCH_SQL = f"""WITH {_POINTS_SQL},
+o AS (SELECT ids, coalesce(sum(len(ids)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+t AS (SELECT CAST(before AS BIGINT) + unnest(range(len(ids))) AS pos, unnest(ids) AS id FROM o),
+n AS (SELECT count(*) AS total FROM t),
+s AS (SELECT sample, CAST(floor(CAST(('0x' || substr(md5('batch|' || sample), 1, 13)) AS BIGINT) / CAST({1 << 52} AS DOUBLE) * (total - 64)) AS BIGINT) AS start
+  FROM (SELECT total, unnest(range(total // 64)) AS sample FROM n)),
+w AS (SELECT sample, start, list(id ORDER BY k) AS ids FROM (SELECT sample, start, unnest(range(65)) AS k FROM s) JOIN t ON pos = start + k GROUP BY sample, start)
+SELECT sample, start, md5(array_to_string(ids[1:64], ',')) AS x_md5, md5(array_to_string(ids[2:65], ',')) AS y_md5 FROM w"""
+
+
 def start_histogram(spark, d):
     starts = windows.batch(docs(spark, d).select("doc_id", F.sequence(F.lit(0), F.lit(99)).alias("ids")), context=7, size=16)
     return starts.groupBy("start").agg(F.count("*").alias("n"))
@@ -231,6 +253,8 @@ QUERIES = {
     "compression_ratio": compression_ratio,
     "lm_windows": lm_windows,
     "lm_batch": lm_batch,
+    "array_offsets": array_offsets,
+    "array_batch": array_batch,
     "start_histogram": start_histogram,
 }
 ORACLES = {
@@ -253,5 +277,7 @@ ORACLES = {
     "compression_ratio": f"{ENCODED} SELECT lang, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, CAST(sum(len(ids)) AS BIGINT) AS n_tokens, round(sum(strlen(text)) / sum(len(ids)), 6) AS bytes_per_token FROM e JOIN documents USING (doc_id) GROUP BY lang",
     "lm_windows": LM_WINDOWS_SQL,
     "lm_batch": LM_BATCH_SQL,
+    "array_offsets": ARRAY_OFFSETS_SQL,
+    "array_batch": ARRAY_BATCH_SQL,
     "start_histogram": START_HISTOGRAM_SQL,
 }
